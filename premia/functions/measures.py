@@ -15,6 +15,7 @@ every grouping is re-aggregated from the fact.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -85,12 +86,16 @@ def metric_measures(metric: str) -> list:
     return [SumOf("gwp", F.col(AMOUNT)), DistinctPets("unique_pets", not_returned())]
 
 
+DISTINCT_METHOD = os.environ.get("PREMIA_DISTINCT_METHOD", "direct")
+
+
 def aggregate(df: DataFrame, dims: dict[str, Column] | None, measures: list,
-              method: str = "pregroup") -> DataFrame:
+              method: str | None = None) -> DataFrame:
     """Evaluate ``measures`` per group of ``dims`` (``None``/empty = one global row).
 
     The global form returns one row even on empty input (sums null, counts 0).
     """
+    method = method or DISTINCT_METHOD
     dims = dims or {}
     dim_cols = [c.alias(n) for n, c in dims.items()]
     names = list(dims)

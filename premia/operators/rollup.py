@@ -85,9 +85,17 @@ def weekly_performance(fact: DataFrame, period: Period) -> DataFrame:
 
 
 def with_share(grouped: DataFrame, value: str, out: str = "share_pct") -> DataFrame:
-    """Add ``value / sum(value)`` over all rows, rounded to 6 places."""
-    total = grouped.agg(F.sum(value)).scalar()
-    return grouped.withColumn(out, M.ratio(F.col(value), total))
+    """Add ``value / sum(value)`` over all rows, rounded to 6 places.
+
+    The total is a scalar subquery over the grouped rows. Its struct also takes the
+    max of every other grouped column, so column pruning leaves the subquery's
+    aggregation identical to the main one (``max`` cannot be simplified away) and
+    Spark reuses the main query's shuffle for it (``ReusedExchange``) instead of
+    scanning the fact a second time.
+    """
+    others = [F.max(c).alias(f"_k{i}") for i, c in enumerate(grouped.columns) if c != value]
+    total = grouped.agg(F.struct(F.sum(value).alias("total"), *others).alias("t")).scalar()
+    return grouped.withColumn(out, M.ratio(F.col(value), total.getField("total")))
 
 
 # Q11 / Q12

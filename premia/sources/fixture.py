@@ -102,6 +102,11 @@ def fixture_fact(spark: SparkSession, sf_dir: str, as_of_exclusive: str = AS_OF_
                    .join(nation, F.col("c_nationkey") == nation.n_nationkey)
                    .select("o_orderkey", "o_orderdate", "o_orderpriority", "c_custkey", "c_mktsegment", "n_name"))
 
+    # Both sides hash-partitioned on the order key: the distribution a sort-merge
+    # join needs at scale (so no extra exchange there), and parallel work even when
+    # an input file is a single row group.
+    li = li.repartition("l_orderkey")
+    order_attrs = order_attrs.repartition("o_orderkey")
     joined = (li
               .join(order_attrs, li.l_orderkey == order_attrs.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey)

@@ -52,19 +52,19 @@ def read_budget_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def write_fact(fact: DataFrame, path: str, num_partitions: int | None = None) -> None:
+def write_fact(fact: DataFrame, path: str) -> None:
     """Write the fact as Parquet partitioned by report month.
 
-    Rows are range-partitioned on (report_date, pet_id) first: each task writes
-    one or two months, files are date-clustered (tight min/max statistics for the
-    date filters), and a month holding a third of all rows is still spread over
-    many tasks because the range key continues into pet_id.
+    ``REBALANCE(report_month)`` lets AQE size the write tasks at run time: a month
+    holding a third of all rows is split over several tasks, small months are
+    coalesced, so files come out near the advisory size without a sampling pass.
+    Sorting by date within each task gives tight min/max statistics per row group
+    for day-level filters inside a month.
     """
     if PARTITION_COLUMN not in fact.columns:
         fact = fact.withColumn(PARTITION_COLUMN, F.trunc("report_date", "month"))
-    spark = fact.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (fact.repartitionByRange(n, "report_date", "pet_id")
+    (fact.hint("rebalance", PARTITION_COLUMN)
+         .sortWithinPartitions(PARTITION_COLUMN, "report_date")
          .write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(path))
 
 
