@@ -11,13 +11,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from premia import oracle as O
 from premia.functions.dims import DRILLDOWN_DIMENSIONS
 from premia.operators import budget as B
 from premia.operators import kpi as K
 from premia.operators import quality as Q
+from premia.operators import narrative as N
 from premia.operators import rollup as R
+from premia.operators import transforms as X
+from premia.functions import formats as FM
 from premia.plans.period import Period
 from premia.sources import fixture as FX
 from premia.sources.fixture import load_tables
@@ -110,6 +114,7 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
             O.q_control_totals()),
         "pct_change": (lambda s, d: K.month_over_month(_t(s, d).fact), O.q_month_over_month()),
     }
+    reg.update(_transforms())
     for dim in DRILLDOWN_DIMENSIONS:
         reg[f"drilldown_{dim.lower()}"] = (
             (lambda dim: lambda s, d: R.drilldown(_t(s, d).fact, FULL, dim))(dim),
@@ -121,6 +126,80 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
     return reg
 
 
+DISPLAY = FULL.end.strftime("%B %Y")
+
+
+def _transforms() -> dict[str, tuple[Callable, str | None]]:
+    P, B_, T_ = FX.PLAN_YEAR, FX.BASE_YEAR, FX.TREND_YEAR
+    cut = FX.ACTUALS_CUTOFF_MONTH
+
+    def afvp(s, d):
+        t = _t(s, d)
+        return B.actual_forecast_vs_plan(t.fact, t.plan, t.forecast, P)
+
+    def comparison(s, d):
+        t = _t(s, d)
+        return B.plan_comparison(t.fact, t.plan, t.forecast, B_, P)
+
+    reg = {
+        "exec_trend": (lambda s, d: X.exec_trend(R.monthly_trend(_t(s, d).fact), afvp(s, d), T_, B_, P, cut),
+                       O.q_exec_trend(T_, B_, P, cut)),
+        "weekly_highlights": (lambda s, d: X.weekly_highlights(R.weekly_performance(_t(s, d).fact, FULL)),
+                              O.q_weekly_highlights(*FX.FULL_RANGE)),
+        "trend_masked": (lambda s, d: X.trend_masked(R.monthly_trend(_t(s, d).fact), P, cut),
+                         O.q_trend_masked(P, cut)),
+        "ytd_compare": (lambda s, d: X.ytd_compare(K.ytd_snapshot(_t(s, d).fact, _t(s, d).plan, MONTH, P)),
+                        O.q_ytd_compare(MONTH, P)),
+        "top_growth_channels": (lambda s, d: X.top_growth_channels(R.growth_drivers(_t(s, d).fact, FULL)),
+                                O.q_top_growth_channels(*FX.FULL_RANGE)),
+        "full_year_totals": (lambda s, d: X.full_year_totals(comparison(s, d), B_, P), O.q_full_year_totals(B_, P)),
+        "default_period": (lambda s, d: X.default_period(R.date_bounds(_t(s, d).fact), FX.FULL_RANGE[0]),
+                           O.q_default_period(FX.FULL_RANGE[0])),
+        "classification_summary": (
+            lambda s, d: _t(s, d).fact.groupBy(
+                "channel", "sub_channel", "wellness", "accident", "product", "iph_channel_5", "iph_channel_6",
+                "vendor_5", "vendor_6", "channel_key").agg(F.count(F.lit(1)).alias("row_count")),
+            O.q_classification_summary()),
+        "dim_calendar": (lambda s, d: _t(s, d).calendar, O.q_dim_calendar()),
+        "format_report_weekly": (
+            lambda s, d: FM.format_report(R.weekly_performance(_t(s, d).fact, FULL)),
+            O.q_format_report(O.q_weekly_range(*FX.FULL_RANGE), _WEEKLY_COLS)),
+        "format_report_drilldown_week": (
+            lambda s, d: FM.format_report(R.drilldown(_t(s, d).fact, FULL, "Week")),
+            O.q_format_report(O.q_drilldown("Week", *FX.FULL_RANGE), _DRILL_COLS)),
+        "format_report_drilldown_state": (
+            lambda s, d: FM.format_report(R.drilldown(_t(s, d).fact, FULL, "State")),
+            O.q_format_report(O.q_drilldown("State", *FX.FULL_RANGE), _DRILL_COLS)),
+        "format_report_plan_range": (
+            lambda s, d: FM.format_report(
+                B.actual_plan_forecast_range(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL)),
+            O.q_format_report(O.q_actual_plan_forecast_range(*FX.FULL_RANGE), _APF_COLS)),
+        "commentary_text": (lambda s, d: N.monthly_commentary(_t(s, d).fact), O.q_monthly_commentary()),
+        "commentary_context": (
+            lambda s, d: N.commentary_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, DISPLAY),
+            O.q_commentary_context(*FX.FULL_RANGE, DISPLAY)),
+        "assistant_context": (
+            lambda s, d: N.assistant_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, DISPLAY, B_, P),
+            O.q_assistant_context(*FX.FULL_RANGE, DISPLAY, B_, P)),
+    }
+    for kind in ["states", "channels", "products", "weeks", "growth"]:
+        reg[f"top_n_lines_{kind}"] = (
+            (lambda kind: lambda s, d: N.blocks(_t(s, d).fact, FULL)[kind])(kind),
+            O.block_sql(kind, *FX.FULL_RANGE))
+    return reg
+
+
+_WEEKLY_COLS = ["week_start", "gwp", "nbw_gwp", "renewal_gwp", "nbw_unique_pets", "renewal_unique_pets",
+                "avg_nbw_premium", "avg_renewal_premium", "nbw_mix_pct", "renewal_mix_pct",
+                "gwp_wow_pct", "nbw_gwp_wow_pct", "renewal_gwp_wow_pct", "nbw_unique_pets_wow_pct",
+                "renewal_unique_pets_wow_pct"]
+_DRILL_COLS = ["drilldown_group", "actual_gwp", "nbw_gwp", "renewal_gwp", "nbw_unique_pets", "renewal_unique_pets",
+               "avg_nbw_premium", "avg_renewal_premium"]
+_APF_COLS = ["month_start"] + [f"{k}_{s}" for k in ("actual", "plan", "forecast")
+                               for s in ("gwp", "nbw_gwp", "renewal_gwp", "nbw_unique_pets", "renewal_unique_pets")] + \
+    ["actual_plus_forecast_gwp", "actual_vs_plan_gwp", "actual_vs_plan_pct"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in _registry().items()}
 
