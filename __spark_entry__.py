@@ -182,6 +182,29 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
             lambda s, d: N.assistant_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, DISPLAY, B_, P),
             O.q_assistant_context(*FX.FULL_RANGE, DISPLAY, B_, P)),
     }
+    classifiers = {
+        "derive_product": ["wellness", "accident", "product"],
+        "map_channel_5": ["channel", "iph_channel_5"],
+        "map_channel_6": ["channel", "sub_channel", "iph_channel_6"],
+        "map_vendor_5": ["channel", "sub_channel", "hospital", "vendor_5"],
+        "map_vendor_6": ["channel", "sub_channel", "hospital", "vendor_6"],
+        "channel_key": ["channel_key"],
+    }
+    for key, cols in classifiers.items():
+        reg[key] = ((lambda cols: lambda s, d: _t(s, d).fact.groupBy(*cols).agg(F.count(F.lit(1)).alias("row_count")))(cols),
+                    O.q_channel_key() if key == "channel_key" else O.q_classifier(cols))
+    reg["detect_date_column"] = (
+        lambda s, d: _detect(R.drilldown(_t(s, d).fact, FULL, "Week")),
+        O.q_detect_date_column("Week", *FX.FULL_RANGE))
+    reg["detect_date_column_state"] = (
+        lambda s, d: _detect(R.drilldown(_t(s, d).fact, FULL, "State")),
+        O.q_detect_date_column("State", *FX.FULL_RANGE))
+    reg["value_formatters"] = (
+        lambda s, d: _formatted_kpis(K.kpi_snapshot_range(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL)),
+        O.q_value_formatters(*FX.FULL_RANGE))
+    reg["load_check"] = (
+        lambda s, d: Q.load_check(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, _t(s, d).calendar, _EXPECTED),
+        O.q_load_check(_EXPECTED_COUNTS, _EXPECTED_OK))
     for kind in ["states", "channels", "products", "weeks", "growth"]:
         reg[f"top_n_lines_{kind}"] = (
             (lambda kind: lambda s, d: N.blocks(_t(s, d).fact, FULL)[kind])(kind),
@@ -189,6 +212,36 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
     return reg
 
 
+def _detect(df: DataFrame) -> DataFrame:
+    share = FM.date_share(df, "drilldown_group")
+    return share.select("date_share", (F.col("date_share") > FM.DATE_SHARE_THRESHOLD).alias("is_date"))
+
+
+def _formatted_kpis(k: DataFrame) -> DataFrame:
+    cur = ["gwp", "nbw_gwp", "renewal_gwp", "avg_nbw_premium", "avg_renewal_premium"]
+    num = ["nbw_unique_pets", "renewal_unique_pets"]
+    pct = ["nbw_mix_pct", "renewal_mix_pct", "renewal_pet_share"]
+    cols = ([FM.fmt_currency(c).alias(f"{c}_display") for c in cur]
+            + [FM.fmt_number(c).alias(f"{c}_display") for c in num]
+            + [FM.fmt_pct(c).alias(f"{c}_display") for c in pct]
+            + [FM.plan_delta_label(c).alias(f"{c}_label")
+               for c in ["gwp_vs_plan_pct", "nbw_vs_plan_pct", "renewal_vs_plan_pct"]])
+    return k.select(*cols)
+
+
+# Columns each engine table must carry for the operators (fixture fact: the mapped subset).
+_EXPECTED = {
+    "fact_written_details": ["report_date", "trans_code", "written_amount", "pet_id", "returned_pet", "state",
+                             "iph_channel_5", "product", "vendor_5", "report_month"],
+    "fact_plan": ["plan_month", "metric_name", "dimension_type", "dimension_value", "plan_amount"],
+    "fact_forecast": ["forecast_month", "metric_name", "dimension_type", "dimension_value", "forecast_amount"],
+    "dim_calendar": ["date", "week_start", "month_start", "month_name", "month_number", "quarter", "year",
+                     "is_month_end"],
+}
+_EXPECTED_COUNTS = {"fact_written_details": 22,  # 15 mapped + channel_type + 5 classes + key + month
+                    "fact_plan": 5, "fact_forecast": 5, "dim_calendar": 8}
+_EXPECTED_OK = {k: True for k in _EXPECTED}
+
 _WEEKLY_COLS = ["week_start", "gwp", "nbw_gwp", "renewal_gwp", "nbw_unique_pets", "renewal_unique_pets",
                 "avg_nbw_premium", "avg_renewal_premium", "nbw_mix_pct", "renewal_mix_pct",
                 "gwp_wow_pct", "nbw_gwp_wow_pct", "renewal_gwp_wow_pct", "nbw_unique_pets_wow_pct",

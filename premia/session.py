@@ -26,6 +26,9 @@ def build_session(master: str = "local[8]", app: str = "premia", shuffle_partiti
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.driver.memory": "8g",
+        # Python call-site capture costs several JVM round trips per Column call
+        # while a plan is built; plans here are built from many small expressions.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     conf.update(extra or {})
     for k, v in conf.items():

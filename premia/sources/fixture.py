@@ -193,29 +193,40 @@ _CACHE: dict[tuple[str, str], Tables] = {}
 def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Tables:
     """The four engine tables for a test-data folder.
 
-    With ``materialize`` the fact is written once per session as Parquet partitioned
-    by report month into the shared folder (``spark.checkpoint.dir``); queries then
-    read it with partition pruning and file statistics, and lineage back to the
-    six-way join is cut, so a lost executor only re-reads files.
+    With ``materialize`` each table is written once per session as Parquet into the
+    shared folder (``spark.checkpoint.dir``), the fact partitioned by report month;
+    queries then read files with partition pruning and statistics, lineage back to
+    the six-way join is cut, and a lost executor only re-reads files.
     """
     from .calendar import calendar_from_fact
-    from .written_details import write_fact, read_fact
+    from .written_details import read_fact, write_fact
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _CACHE:
         return _CACHE[key]
     fact = fixture_fact(spark, sf_dir)
+    plan = plan_fixture(spark)
+    forecast = forecast_fixture(plan)
     path = None
     if materialize:
         path = new_table_path(spark, "fact_written_details")
         write_fact(fact, path)
         fact = read_fact(spark, path)
-    plan = plan_fixture(spark)
-    tables = Tables(fact=fact, plan=plan, forecast=forecast_fixture(plan),
-                    calendar=calendar_from_fact(fact), fact_path=path)
+        plan = _materialize(plan, new_table_path(spark, "fact_plan"))
+        forecast = _materialize(forecast, new_table_path(spark, "fact_forecast"))
+    calendar = calendar_from_fact(fact)
+    if materialize:
+        calendar = _materialize(calendar, new_table_path(spark, "dim_calendar"))
+    tables = Tables(fact=fact, plan=plan, forecast=forecast, calendar=calendar, fact_path=path)
     _CACHE[key] = tables
     return tables
 
 
+def _materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write a small derived table once (one file) and read it back."""
+    df.coalesce(1).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parse_date(s: str | dt.date) -> dt.date:
     return s if isinstance(s, dt.date) else dt.date.fromisoformat(s)

@@ -86,3 +86,13 @@ def resolve_vendor_column(df: DataFrame) -> str:
 
 def empty_fact(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], written_details_schema())
+
+
+def register_views(tables) -> None:
+    """Expose the engine tables and the monthly KPI view to ``spark.sql``."""
+    from ..operators.rollup import monthly_kpis
+    tables.fact.createOrReplaceTempView("fact_written_details")
+    tables.plan.createOrReplaceTempView("fact_plan")
+    tables.forecast.createOrReplaceTempView("fact_forecast")
+    tables.calendar.createOrReplaceTempView("dim_calendar")
+    monthly_kpis(tables.fact).createOrReplaceTempView("vw_monthly_premium_kpis")

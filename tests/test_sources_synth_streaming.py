@@ -87,3 +87,21 @@ def test_streaming_ingest_exactly_once(spark, synth_fact, tmp_path):
     assert n2 == 2000
     assert ingest_available(spark, landing + "/*", table, ckpt) == 0  # nothing new: nothing twice
     assert spark.read.parquet(table).count() == 3000
+
+
+def test_views_and_control_totals(spark):
+    from premia.operators.quality import control_totals, load_check
+    from premia.sources.fixture import load_tables
+    from premia.sources.written_details import register_views
+    from conftest import SF_SMALL
+    t = load_tables(spark, SF_SMALL)
+    register_views(t)
+    n = spark.sql("select count(*) from fact_written_details").collect()[0][0]
+    assert n == t.fact.count()
+    v = spark.sql("select sum(row_count) from vw_monthly_premium_kpis").collect()[0][0]
+    assert v == n
+    counts = dict(control_totals(t.fact, t.plan, t.forecast, t.calendar).collect())
+    assert counts["fact_written_details"] == n and counts["fact_plan"] == 588 and counts["fact_forecast"] == 392
+    checks = {r["table_name"]: r["schema_ok"] for r in
+              load_check(t.fact, t.plan, t.forecast, t.calendar, {"fact_plan": ["plan_month", "nope"]}).collect()}
+    assert checks["fact_plan"] is False and checks["fact_forecast"] is True
