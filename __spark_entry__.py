@@ -193,6 +193,8 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
     for key, cols in classifiers.items():
         reg[key] = ((lambda cols: lambda s, d: _t(s, d).fact.groupBy(*cols).agg(F.count(F.lit(1)).alias("row_count")))(cols),
                     O.q_channel_key() if key == "channel_key" else O.q_classifier(cols))
+    reg["drilldown_all_dimensions"] = (lambda s, d: R.drilldown_all(_t(s, d).fact, FULL),
+                                       O.q_drilldown_all(*FX.FULL_RANGE))
     reg["detect_date_column"] = (
         lambda s, d: _detect(R.drilldown(_t(s, d).fact, FULL, "Week")),
         O.q_detect_date_column("Week", *FX.FULL_RANGE))

@@ -204,3 +204,37 @@ def growth_drivers(fact: DataFrame, period: Period) -> DataFrame:
         M.ratio("renewal_gwp", "gwp").alias("renewal_mix_pct"),
     ).orderBy(*_desc_then_key("total_gwp", "iph_channel_5"))
     return M.as_output(out)
+
+
+# Q20, all dimensions in one pass
+def drilldown_all(fact: DataFrame, period: Period, group_bys: list[str] | None = None) -> DataFrame:
+    """Every drilldown of a refresh in one scan: ``GROUPING SETS`` over the
+    dimensions, the group label cast to text, and a ``dimension`` column naming
+    the grouping. Distinct pet counts are per grouping set (never added across)."""
+    from ..functions.dims import DRILLDOWN_DIMENSIONS
+    names = group_bys or DRILLDOWN_DIMENSIONS
+    src = period.filter(fact)
+    keys = [f"_d{i}" for i in range(len(names))]
+    keyed = src.select(*[dimension(n, src).cast("string").alias(k) for n, k in zip(names, keys)],
+                       M.AMOUNT, "trans_code", "returned_pet", M.PET)
+    measures = M.core_measures()
+    aggs = ([F.sum(m.value).alias(m.name) for m in measures if isinstance(m, M.SumOf)]
+            + [F.count_distinct(F.when(m.condition, F.col(M.PET))).alias(m.name)
+               for m in measures if isinstance(m, M.DistinctPets)]
+            + [F.grouping_id(*keys).alias("gid")])
+    g = keyed.groupingSets([[k] for k in keys], *keys).agg(*aggs)
+    n = len(keys)
+    label = F.lit(None).cast("string")
+    group = F.lit(None).cast("string")
+    for i, name in enumerate(names):
+        gid = (1 << n) - 1 - (1 << (n - 1 - i))  # only key i is grouped
+        label = F.when(F.col("gid") == gid, F.lit(name)).otherwise(label)
+        group = F.when(F.col("gid") == gid, F.col(f"_d{i}")).otherwise(group)
+    out = g.select(
+        label.alias("dimension"), group.alias("drilldown_group"),
+        F.round("gwp", 2).alias("actual_gwp"), F.round("nbw_gwp", 2).alias("nbw_gwp"),
+        F.round("renewal_gwp", 2).alias("renewal_gwp"), "nbw_unique_pets", "renewal_unique_pets",
+        M.per_pet("nbw_gwp", "nbw_unique_pets").alias("avg_nbw_premium"),
+        M.per_pet("renewal_gwp", "renewal_unique_pets").alias("avg_renewal_premium"),
+    ).orderBy("dimension", F.desc_nulls_first("actual_gwp"), F.asc_nulls_first("drilldown_group"))
+    return M.as_output(out)
