@@ -57,8 +57,21 @@ NULL_CHANNEL_EVERY = 33     # c_custkey % 33 = 0 -> no channel
 NULL_HOSPITAL_EVERY = 7     # l_suppkey % 7 = 0 -> no hospital
 
 
+# FIXED VALUES — the columns read from each test table, with their stored types.
+# A declared schema skips per-table schema inference and prunes columns at the source.
+TEST_TABLE_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_size int",
+    "supplier": "s_suppkey bigint, s_name string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TEST_TABLE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _trans_code() -> Column:
