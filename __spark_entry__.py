@@ -193,6 +193,22 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
     for key, cols in classifiers.items():
         reg[key] = ((lambda cols: lambda s, d: _t(s, d).fact.groupBy(*cols).agg(F.count(F.lit(1)).alias("row_count")))(cols),
                     O.q_channel_key() if key == "channel_key" else O.q_classifier(cols))
+    refresh = {
+        "refresh_kpi_snapshot_range": (lambda r: r.kpi_snapshot(), O.q_kpi_snapshot_range(*FX.FULL_RANGE)),
+        "refresh_weekly_performance": (lambda r: r.weekly_performance(), O.q_weekly_range(*FX.FULL_RANGE)),
+        "refresh_top_states": (lambda r: r.top_states(), O.q_top_states_range(*FX.FULL_RANGE)),
+        "refresh_channel_mix": (lambda r: r.channel_mix(), O.q_mix_range("iph_channel_5", *FX.FULL_RANGE)),
+        "refresh_product_mix": (lambda r: r.product_mix(), O.q_mix_range("product", *FX.FULL_RANGE)),
+        "refresh_growth_drivers": (lambda r: r.growth_drivers(), O.q_growth_range(*FX.FULL_RANGE)),
+        "refresh_drilldown_vendor": (lambda r: r.drilldown("Vendor"), O.q_drilldown("Vendor", *FX.FULL_RANGE)),
+        "refresh_drilldown_week": (lambda r: r.drilldown("Week"), O.q_drilldown("Week", *FX.FULL_RANGE)),
+        "refresh_metric_drilldown_total_state": (lambda r: r.metric_drilldown("Total", "State"),
+                                                 O.q_metric_drilldown("Total", "State", *FX.FULL_RANGE)),
+        "refresh_metric_drilldown_nbw_channel": (lambda r: r.metric_drilldown("NBW", "Channel"),
+                                                 O.q_metric_drilldown("NBW", "Channel", *FX.FULL_RANGE)),
+    }
+    for key, (fn, sql) in refresh.items():
+        reg[key] = ((lambda fn: lambda s, d: fn(_refresh(s, d)))(fn), sql)
     reg["drilldown_all_dimensions"] = (lambda s, d: R.drilldown_all(_t(s, d).fact, FULL),
                                        O.q_drilldown_all(*FX.FULL_RANGE))
     reg["detect_date_column"] = (
@@ -214,6 +230,19 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
     return reg
 
 
+_REFRESH: dict = {}
+
+
+def _refresh(spark: SparkSession, sf_dir: str):
+    """One single-scan refresh of the full range per session and test-data folder."""
+    from premia.operators.refresh import RangeRefresh
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _REFRESH:
+        t = _t(spark, sf_dir)
+        _REFRESH[key] = RangeRefresh(t.fact, t.plan, t.forecast, FULL)
+    return _REFRESH[key]
+
+
 def _detect(df: DataFrame) -> DataFrame:
     share = FM.date_share(df, "drilldown_group")
     return share.select("date_share", (F.col("date_share") > FM.DATE_SHARE_THRESHOLD).alias("is_date"))

@@ -124,10 +124,18 @@ def kpi_snapshot_range(fact: DataFrame, plan: DataFrame, forecast: DataFrame, pe
     whole month (both bounds truncated to the month), so a partial month compares
     with its full-month plan. No plan-year gate."""
     actual = M.aggregate(period.filter(fact), None, M.core_measures())
+    return range_snapshot_finish(actual, plan, forecast, period)
+
+
+def range_snapshot_finish(actual: DataFrame, plan: DataFrame, forecast: DataFrame, period: Period) -> DataFrame:
+    """One row of core measures for the period -> the range snapshot with plan and forecast."""
     months = period.months()
     plan_row = budget_total(plan, "plan_month", "plan_amount", "plan", PLAN_METRICS[:5], True, months)
     fc_row = budget_total(forecast, "forecast_month", "forecast_amount", "forecast", PLAN_METRICS[:3], True, months)
     row = one_row(actual, plan_row, fc_row)
+    # distinct counts of an empty period are 0 (a global aggregate's answer)
+    row = row.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+                           for c in ("nbw_unique_pets", "renewal_unique_pets")})
     row = row.select(
         *CORE,
         M.per_pet("nbw_gwp", "nbw_unique_pets").alias("avg_nbw_premium"),

@@ -72,7 +72,11 @@ def weekly_performance(fact: DataFrame, period: Period) -> DataFrame:
     week of the period, a count bounded by the calendar, not by the data.
     """
     src = period.filter(fact)
-    g = M.aggregate(src, {"week_start": dimension("Week", src)}, M.core_measures())
+    return weekly_finish(M.aggregate(src, {"week_start": dimension("Week", src)}, M.core_measures()))
+
+
+def weekly_finish(g: DataFrame) -> DataFrame:
+    """Weekly rows (week_start + core measures) -> averages, mixes, week-over-week change."""
     g = g.select(
         "week_start", *WOW_COLUMNS,
         M.per_pet("nbw_gwp", "nbw_unique_pets").alias("avg_nbw_premium"),
@@ -119,6 +123,11 @@ def top_states(fact: DataFrame, period: Period, top_n: int = 10, with_prior_year
     else:
         src = period.filter(fact)
         g = src.groupBy(F.col("state")).agg(F.sum(M.AMOUNT).alias("current_gwp"))
+    return top_states_finish(g, top_n, with_prior_year)
+
+
+def top_states_finish(g: DataFrame, top_n: int, with_prior_year: bool) -> DataFrame:
+    """State rows (state, current_gwp[, py_raw]) -> share, prior-year columns, top N."""
     g = with_share(g, "current_gwp")
     if with_prior_year:
         py0 = F.coalesce(F.col("py_raw"), F.lit(0))
@@ -137,6 +146,10 @@ def mix(fact: DataFrame, period: Period, dim: str, name: str) -> DataFrame:
     """GWP by one dimension with each group's share of the total, largest first."""
     src = period.filter(fact)
     g = src.groupBy(dimension(dim, src).alias(name)).agg(F.sum(M.AMOUNT).alias("gwp"))
+    return mix_finish(g, name)
+
+
+def mix_finish(g: DataFrame, name: str) -> DataFrame:
     g = with_share(g, "gwp")
     out = (g.orderBy(*_desc_then_key("gwp", name))
            .select(name, F.round("gwp", 2).alias("gwp"), "share_pct"))
@@ -156,7 +169,10 @@ def drilldown(fact: DataFrame, period: Period, group_by: str) -> DataFrame:
     """Core measures by one dimension (Week, State, Channel, Vendor, Product)."""
     key = dimension(group_by, fact)  # raises on an unknown name before any work
     src = period.filter(fact)
-    g = M.aggregate(src, {"drilldown_group": key}, M.core_measures())
+    return drilldown_finish(M.aggregate(src, {"drilldown_group": key}, M.core_measures()))
+
+
+def drilldown_finish(g: DataFrame) -> DataFrame:
     out = g.select(
         "drilldown_group",
         F.round("gwp", 2).alias("actual_gwp"),
@@ -178,7 +194,11 @@ def metric_drilldown(fact: DataFrame, period: Period, metric: str, group_by: str
     """
     key = dimension(group_by, fact)
     src = period.filter(fact)
-    g = M.aggregate(src, {"drilldown_group": key}, M.metric_measures(metric))
+    return metric_finish(M.aggregate(src, {"drilldown_group": key}, M.metric_measures(metric)))
+
+
+def metric_finish(g: DataFrame) -> DataFrame:
+    """Rows (drilldown_group, gwp, unique_pets) -> average premium and share."""
     g = with_share(g, "gwp")
     out = g.select(
         "drilldown_group",
@@ -193,7 +213,10 @@ def metric_drilldown(fact: DataFrame, period: Period, metric: str, group_by: str
 # Q22 / Q23
 def growth_drivers(fact: DataFrame, period: Period) -> DataFrame:
     src = period.filter(fact)
-    g = M.aggregate(src, {"iph_channel_5": dimension("Channel", src)}, M.core_measures())
+    return growth_finish(M.aggregate(src, {"iph_channel_5": dimension("Channel", src)}, M.core_measures()))
+
+
+def growth_finish(g: DataFrame) -> DataFrame:
     out = g.select(
         "iph_channel_5",
         F.round("gwp", 2).alias("total_gwp"),

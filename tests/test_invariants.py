@@ -114,3 +114,22 @@ def test_period_filter_pushed_and_pruned(spark, t):
 def test_share_reuses_main_shuffle(spark, t):
     plan = _plan(R.metric_drilldown(t.fact, FULL, "NBW", "State"))
     assert "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("period", [FULL, Period("2001-02-10", "2001-03-03"), Period("1990-01-01", "1990-02-01")])
+def test_single_scan_refresh_equals_operators(spark, t, period):
+    from premia.operators.refresh import RangeRefresh
+    r = RangeRefresh(t.fact, t.plan, t.forecast, period)
+
+    def same(a, b):
+        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    same(r.kpi_snapshot(), K.kpi_snapshot_range(t.fact, t.plan, t.forecast, period))
+    same(r.weekly_performance(), R.weekly_performance(t.fact, period))
+    same(r.top_states(), R.top_states(t.fact, period, with_prior_year=False))
+    same(r.channel_mix(), R.channel_mix(t.fact, period))
+    same(r.product_mix(), R.product_mix(t.fact, period))
+    same(r.growth_drivers(), R.growth_drivers(t.fact, period))
+    for dim in DRILLDOWN_DIMENSIONS:
+        same(r.drilldown(dim), R.drilldown(t.fact, period, dim))
+        for metric in ["NBW", "Renewal", "Total"]:
+            same(r.metric_drilldown(metric, dim), R.metric_drilldown(t.fact, period, metric, dim))
