@@ -176,10 +176,12 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
             O.q_format_report(O.q_actual_plan_forecast_range(*FX.FULL_RANGE), _APF_COLS)),
         "commentary_text": (lambda s, d: N.monthly_commentary(_t(s, d).fact), O.q_monthly_commentary()),
         "commentary_context": (
-            lambda s, d: N.commentary_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, DISPLAY),
+            lambda s, d: N.commentary_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, DISPLAY,
+                                              refresh=_refresh(s, d)),
             O.q_commentary_context(*FX.FULL_RANGE, DISPLAY)),
         "assistant_context": (
-            lambda s, d: N.assistant_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, DISPLAY, B_, P),
+            lambda s, d: N.assistant_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, DISPLAY, B_, P,
+                                             refresh=_refresh(s, d)),
             O.q_assistant_context(*FX.FULL_RANGE, DISPLAY, B_, P)),
     }
     classifiers = {
@@ -225,7 +227,7 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
         O.q_load_check(_EXPECTED_COUNTS, _EXPECTED_OK))
     for kind in ["states", "channels", "products", "weeks", "growth"]:
         reg[f"top_n_lines_{kind}"] = (
-            (lambda kind: lambda s, d: N.blocks(_t(s, d).fact, FULL)[kind])(kind),
+            (lambda kind: lambda s, d: N.block(kind, _t(s, d).fact, FULL))(kind),
             O.block_sql(kind, *FX.FULL_RANGE))
     return reg
 

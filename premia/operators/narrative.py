@@ -220,20 +220,36 @@ def _order(value: str, key: str | None) -> list[Column]:
     return cols + [F.asc_nulls_first(key)] if key else [F.asc_nulls_first(value)]
 
 
-def blocks(fact: DataFrame, period: Period, top_n: int = 10) -> dict[str, DataFrame]:
-    """The five one-row blocks for a period (states, channels, products, weeks, growth)."""
-    return {
-        "states": lines_block(R.top_states(fact, period, top_n, with_prior_year=False), _order("current_gwp", "state"),
-                              state_line(), FALLBACK_STATES, name="states"),
-        "channels": lines_block(R.channel_mix(fact, period), _order("gwp", "iph_channel_5"), channel_line(), FALLBACK_CHANNELS,
-                                name="channels"),
-        "products": lines_block(R.product_mix(fact, period), _order("gwp", "product"), product_line(), FALLBACK_PRODUCTS,
-                                name="products"),
-        "weeks": lines_block(R.weekly_performance(fact, period), [F.asc_nulls_first("week_start")], week_line(), FALLBACK_WEEKS,
-                             name="weeks"),
-        "growth": lines_block(R.growth_drivers(fact, period), _order("total_gwp", "iph_channel_5"), growth_line(), FALLBACK_GROWTH,
-                              name="growth"),
-    }
+BLOCK_KINDS = ["states", "channels", "products", "weeks", "growth"]
+
+
+def block(kind: str, fact: DataFrame, period: Period, top_n: int = 10, refresh=None) -> DataFrame:
+    """One one-row bullet block (states, channels, products, weeks or growth) for a period.
+
+    With a ``RangeRefresh`` of the period the underlying result comes from its one
+    grouping-sets scan; without one, the block runs its own operator.
+    """
+    if kind == "states":
+        res = refresh.top_states(top_n) if refresh else R.top_states(fact, period, top_n, with_prior_year=False)
+        return lines_block(res, _order("current_gwp", "state"), state_line(), FALLBACK_STATES, name=kind)
+    if kind == "channels":
+        res = refresh.channel_mix() if refresh else R.channel_mix(fact, period)
+        return lines_block(res, _order("gwp", "iph_channel_5"), channel_line(), FALLBACK_CHANNELS, name=kind)
+    if kind == "products":
+        res = refresh.product_mix() if refresh else R.product_mix(fact, period)
+        return lines_block(res, _order("gwp", "product"), product_line(), FALLBACK_PRODUCTS, name=kind)
+    if kind == "weeks":
+        res = refresh.weekly_performance() if refresh else R.weekly_performance(fact, period)
+        return lines_block(res, [F.asc_nulls_first("week_start")], week_line(), FALLBACK_WEEKS, name=kind)
+    if kind == "growth":
+        res = refresh.growth_drivers() if refresh else R.growth_drivers(fact, period)
+        return lines_block(res, _order("total_gwp", "iph_channel_5"), growth_line(), FALLBACK_GROWTH, name=kind)
+    raise ValueError(f"Unknown block: {kind}")
+
+
+def blocks(fact: DataFrame, period: Period, top_n: int = 10, refresh=None) -> dict[str, DataFrame]:
+    """The five one-row blocks for a period."""
+    return {k: block(k, fact, period, top_n, refresh) for k in BLOCK_KINDS}
 
 
 # ---------------------------------------------------------------------------
@@ -279,12 +295,18 @@ def _one_row_frames(frames: list[DataFrame]) -> DataFrame:
     return K.one_row(*frames)
 
 
+def _refresh_for(fact: DataFrame, plan: DataFrame, forecast: DataFrame, period: Period, refresh):
+    from .refresh import RangeRefresh
+    return refresh if refresh is not None else RangeRefresh(fact, plan, forecast, period)
+
+
 def commentary_context(fact: DataFrame, plan: DataFrame, forecast: DataFrame, period: Period,
-                       period_display: str) -> DataFrame:
-    """The commentary prompt for a period: range KPIs plus top-state and channel blocks."""
-    kpi = K.kpi_snapshot_range(fact, plan, forecast, period)
-    b = blocks(fact, period)
-    row = _one_row_frames([kpi, b["states"], b["channels"]])
+                       period_display: str, refresh=None) -> DataFrame:
+    """The commentary prompt for a period: range KPIs plus top-state and channel blocks,
+    all taken from one grouping-sets scan of the period."""
+    r = _refresh_for(fact, plan, forecast, period, refresh)
+    b = blocks(fact, period, refresh=r)
+    row = _one_row_frames([r.kpi_snapshot(), b["states"], b["channels"]])
     vals = _kpi_values()
     vals.update({
         "period": F.lit(period_display), "vs_plan": FM.fmt_pct("gwp_vs_plan_pct"),
@@ -296,15 +318,15 @@ def commentary_context(fact: DataFrame, plan: DataFrame, forecast: DataFrame, pe
 
 def assistant_context(fact: DataFrame, plan: DataFrame, forecast: DataFrame, period: Period,
                       period_display: str, base_year: int, plan_year: int,
-                      questions: list[tuple[str, str]] | None = None) -> DataFrame:
+                      questions: list[tuple[str, str]] | None = None, refresh=None) -> DataFrame:
     """One context text per (assistant type, question): role instruction, question,
     range KPIs, five bullet blocks and full-year plan-comparison totals."""
     from . import budget as B
     from . import transforms as X
-    kpi = K.kpi_snapshot_range(fact, plan, forecast, period)
-    b = blocks(fact, period)
+    r = _refresh_for(fact, plan, forecast, period, refresh)
+    b = blocks(fact, period, refresh=r)
     fy = X.full_year_totals(B.plan_comparison(fact, plan, forecast, base_year, plan_year), base_year, plan_year)
-    row = _one_row_frames([kpi, *b.values(), fy])
+    row = _one_row_frames([r.kpi_snapshot(), *b.values(), fy])
     # The questions are parameters: exploded from a literal array into the one
     # context row (a generator, no join).
     qs = F.array(*[F.struct(F.lit(t).alias("assistant_type"), F.lit(q).alias("question"))
