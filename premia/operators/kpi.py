@@ -8,7 +8,6 @@ input): no join, no cross product, one tiny final exchange.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
