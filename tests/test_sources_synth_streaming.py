@@ -105,3 +105,19 @@ def test_views_and_control_totals(spark):
     checks = {r["table_name"]: r["schema_ok"] for r in
               load_check(t.fact, t.plan, t.forecast, t.calendar, {"fact_plan": ["plan_month", "nope"]}).collect()}
     assert checks["fact_plan"] is False and checks["fact_forecast"] is True
+
+
+def test_parameterised_sql_over_views(spark):
+    from premia.sources.fixture import load_tables
+    from premia.sources.written_details import register_views
+    from premia.operators.rollup import growth_drivers
+    from premia.plans.period import Period
+    from conftest import SF_SMALL
+    t = load_tables(spark, SF_SMALL)
+    register_views(t)
+    got = spark.sql(
+        "select iph_channel_5, round(sum(written_amount), 2) as total_gwp from fact_written_details "
+        "where report_date between :a and :b group by iph_channel_5",
+        args={"a": dt.date(2001, 1, 1), "b": dt.date(2001, 5, 4)}).collect()
+    want = growth_drivers(t.fact, Period("2001-01-01", "2001-05-04")).select("iph_channel_5", "total_gwp").collect()
+    assert sorted((r[0], float(r[1])) for r in got) == sorted((r[0], r[1]) for r in want)
