@@ -224,7 +224,7 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
     if materialize:
         path = new_table_path(spark, "fact_written_details")
         write_fact(fact, path)
-        fact = read_fact(spark, path)
+        fact = read_fact(spark, path, fact.schema)
         plan = _materialize(plan, new_table_path(spark, "fact_plan"))
         forecast = _materialize(forecast, new_table_path(spark, "fact_forecast"))
     calendar = calendar_from_fact(fact)

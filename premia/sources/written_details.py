@@ -68,8 +68,9 @@ def write_fact(fact: DataFrame, path: str) -> None:
          .write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(path))
 
 
-def read_fact(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
+def read_fact(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Read the partitioned fact; with the written schema known, no inference job runs."""
+    schema = schema or spark.read.parquet(path).schema
     fields = [f for f in schema.fields if f.name != PARTITION_COLUMN]
     fields.append(T.StructField(PARTITION_COLUMN, T.DateType()))
     return spark.read.schema(T.StructType(fields)).parquet(path)
