@@ -126,7 +126,8 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
     return reg
 
 
-DISPLAY = FULL.end.strftime("%B %Y")
+DISPLAY = FULL.end.strftime("%B %Y")                 # commentary: the end month
+ASSIST_DISPLAY = f"{FULL.start} to {FULL.end}"        # assistant: the analysis range
 
 
 def _transforms() -> dict[str, tuple[Callable, str | None]]:
@@ -180,9 +181,9 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
                                               refresh=_refresh(s, d)),
             O.q_commentary_context(*FX.FULL_RANGE, DISPLAY)),
         "assistant_context": (
-            lambda s, d: N.assistant_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, DISPLAY, B_, P,
-                                             refresh=_refresh(s, d)),
-            O.q_assistant_context(*FX.FULL_RANGE, DISPLAY, B_, P)),
+            lambda s, d: N.assistant_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, ASSIST_DISPLAY,
+                                             B_, P, refresh=_refresh(s, d)),
+            O.q_assistant_context(*FX.FULL_RANGE, ASSIST_DISPLAY, B_, P)),
     }
     classifiers = {
         "derive_product": ["wellness", "accident", "product"],
