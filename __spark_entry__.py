@@ -50,13 +50,13 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
         "available_months": (lambda s, d: R.available_months(_t(s, d).fact), O.q_available_months()),
         "date_bounds": (lambda s, d: R.date_bounds(_t(s, d).fact), O.q_date_bounds()),
         "year_split": (lambda s, d: R.year_split(_t(s, d).fact), O.q_year_split()),
-        "monthly_kpis": (lambda s, d: R.monthly_kpis(_t(s, d).fact), O.q_monthly_kpis()),
-        "monthly_trend": (lambda s, d: R.monthly_trend(_t(s, d).fact), O.q_monthly_trend()),
+        "monthly_kpis": (lambda s, d: R.monthly_kpis(_t(s, d).fact, monthly=_t(s, d).monthly), O.q_monthly_kpis()),
+        "monthly_trend": (lambda s, d: R.monthly_trend(_t(s, d).fact, _t(s, d).monthly), O.q_monthly_trend()),
         "kpi_snapshot_month": (
-            lambda s, d: K.kpi_snapshot_month(_t(s, d).fact, _t(s, d).plan, MONTH, FX.PLAN_YEAR),
+            lambda s, d: K.kpi_snapshot_month(_t(s, d).fact, _t(s, d).plan, MONTH, FX.PLAN_YEAR, _t(s, d).monthly),
             O.q_kpi_snapshot_month(MONTH, FX.PLAN_YEAR)),
         "kpi_snapshot_month_base_year": (
-            lambda s, d: K.kpi_snapshot_month(_t(s, d).fact, _t(s, d).plan, "2000-04-01", FX.PLAN_YEAR),
+            lambda s, d: K.kpi_snapshot_month(_t(s, d).fact, _t(s, d).plan, "2000-04-01", FX.PLAN_YEAR, _t(s, d).monthly),
             O.q_kpi_snapshot_month("2000-04-01", FX.PLAN_YEAR)),
         "kpi_snapshot_range": (
             lambda s, d: K.kpi_snapshot_range(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL),
@@ -93,7 +93,8 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
         "product_mix_range": (
             lambda s, d: R.product_mix(_t(s, d).fact, FULL), O.q_mix_range("product", *FX.FULL_RANGE)),
         "actual_forecast_vs_plan": (
-            lambda s, d: B.actual_forecast_vs_plan(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FX.PLAN_YEAR),
+            lambda s, d: B.actual_forecast_vs_plan(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FX.PLAN_YEAR,
+                                                   _t(s, d).monthly),
             O.q_actual_forecast_vs_plan(FX.PLAN_YEAR)),
         "actual_plan_forecast_range": (
             lambda s, d: B.actual_plan_forecast_range(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL),
@@ -103,7 +104,7 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
             O.q_actual_plan_forecast_range(*FX.PARTIAL_RANGE)),
         "plan_comparison": (
             lambda s, d: B.plan_comparison(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FX.BASE_YEAR,
-                                           FX.PLAN_YEAR),
+                                           FX.PLAN_YEAR, _t(s, d).monthly),
             O.q_plan_comparison(FX.BASE_YEAR, FX.PLAN_YEAR)),
         "growth_drivers_month": (
             lambda s, d: R.growth_drivers(_t(s, d).fact, Period.month(MONTH)), O.q_growth_month(MONTH)),
@@ -112,7 +113,7 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
         "control_totals": (
             lambda s, d: Q.control_totals(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, _t(s, d).calendar),
             O.q_control_totals()),
-        "pct_change": (lambda s, d: K.month_over_month(_t(s, d).fact), O.q_month_over_month()),
+        "pct_change": (lambda s, d: K.month_over_month(_t(s, d).fact, _t(s, d).monthly), O.q_month_over_month()),
     }
     reg.update(_transforms())
     for dim in DRILLDOWN_DIMENSIONS:
@@ -136,18 +137,19 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
 
     def afvp(s, d):
         t = _t(s, d)
-        return B.actual_forecast_vs_plan(t.fact, t.plan, t.forecast, P)
+        return B.actual_forecast_vs_plan(t.fact, t.plan, t.forecast, P, t.monthly)
 
     def comparison(s, d):
         t = _t(s, d)
-        return B.plan_comparison(t.fact, t.plan, t.forecast, B_, P)
+        return B.plan_comparison(t.fact, t.plan, t.forecast, B_, P, t.monthly)
 
     reg = {
-        "exec_trend": (lambda s, d: X.exec_trend(R.monthly_trend(_t(s, d).fact), afvp(s, d), T_, B_, P, cut),
+        "exec_trend": (lambda s, d: X.exec_trend(R.monthly_trend(_t(s, d).fact, _t(s, d).monthly), afvp(s, d),
+                                                 T_, B_, P, cut),
                        O.q_exec_trend(T_, B_, P, cut)),
         "weekly_highlights": (lambda s, d: X.weekly_highlights(R.weekly_performance(_t(s, d).fact, FULL)),
                               O.q_weekly_highlights(*FX.FULL_RANGE)),
-        "trend_masked": (lambda s, d: X.trend_masked(R.monthly_trend(_t(s, d).fact), P, cut),
+        "trend_masked": (lambda s, d: X.trend_masked(R.monthly_trend(_t(s, d).fact, _t(s, d).monthly), P, cut),
                          O.q_trend_masked(P, cut)),
         "ytd_compare": (lambda s, d: X.ytd_compare(K.ytd_snapshot(_t(s, d).fact, _t(s, d).plan, MONTH, P)),
                         O.q_ytd_compare(MONTH, P)),
@@ -175,14 +177,15 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
             lambda s, d: FM.format_report(
                 B.actual_plan_forecast_range(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL)),
             O.q_format_report(O.q_actual_plan_forecast_range(*FX.FULL_RANGE), _APF_COLS)),
-        "commentary_text": (lambda s, d: N.monthly_commentary(_t(s, d).fact), O.q_monthly_commentary()),
+        "commentary_text": (lambda s, d: N.monthly_commentary(_t(s, d).fact, _t(s, d).monthly),
+                            O.q_monthly_commentary()),
         "commentary_context": (
             lambda s, d: N.commentary_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, DISPLAY,
                                               refresh=_refresh(s, d)),
             O.q_commentary_context(*FX.FULL_RANGE, DISPLAY)),
         "assistant_context": (
             lambda s, d: N.assistant_context(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, FULL, ASSIST_DISPLAY,
-                                             B_, P, refresh=_refresh(s, d)),
+                                             B_, P, refresh=_refresh(s, d), monthly=_t(s, d).monthly),
             O.q_assistant_context(*FX.FULL_RANGE, ASSIST_DISPLAY, B_, P)),
     }
     classifiers = {

@@ -27,12 +27,16 @@ def _pivot_max(budget: DataFrame, month_col: str, amount_col: str, prefix: str)
 
 
 # Q17
-def actual_forecast_vs_plan(fact: DataFrame, plan: DataFrame, forecast: DataFrame, plan_year: int) -> DataFrame:
+def actual_forecast_vs_plan(fact: DataFrame, plan: DataFrame, forecast: DataFrame, plan_year: int,
+                            monthly: DataFrame | None = None) -> DataFrame:
     """Plan months drive the rows; actuals are the plan year's months; MAX pivots
     (duplicate Total rows are not added)."""
     year = Period(f"{plan_year}-01-01", f"{plan_year}-12-31")
-    src = year.filter(fact)
-    actual = M.aggregate(src, {"month_start": dimension("Month", src)}, M.core_measures())
+    if monthly is None:
+        src = year.filter(fact)
+        actual = M.aggregate(src, {"month_start": dimension("Month", src)}, M.core_measures())
+    else:
+        actual = monthly.where(year.contains("month_start"))
     actual = actual.select("month_start", *[F.col(s).alias(f"actual_{s}") for _, s in FIVE])
     plan_total = _pivot_max(plan, "plan_month", "plan_amount", "plan")
     fc_total = _pivot_max(forecast, "forecast_month", "forecast_amount", "forecast")
@@ -83,18 +87,22 @@ def month_spine(spark) -> DataFrame:
 
 
 # Q19
-def plan_comparison(fact: DataFrame, plan: DataFrame, forecast: DataFrame, base_year: int, plan_year: int) -> DataFrame:
+def plan_comparison(fact: DataFrame, plan: DataFrame, forecast: DataFrame, base_year: int, plan_year: int,
+                    monthly: DataFrame | None = None) -> DataFrame:
     """Twelve rows: base-year actual, plan, plan-year actual and forecast by month
     number. Plan and forecast are grouped by month number over all their years."""
-    yrs = [Period(f"{y}-01-01", f"{y}-12-31") for y in (base_year, plan_year)]
-    from ..plans.period import union_predicate
-    src = fact.where(union_predicate(fact, yrs))
-    yr = F.year("report_date")
     a_base, p_plan = f"actual_{base_year}_gwp", f"plan_{plan_year}_gwp"
     a_plan, f_plan = f"actual_{plan_year}_gwp", f"forecast_{plan_year}_gwp"
-    actual = src.groupBy(F.month("report_date").alias("month_num")).agg(
-        F.sum(F.when(yr == base_year, F.col(M.AMOUNT))).alias(a_base),
-        F.sum(F.when(yr == plan_year, F.col(M.AMOUNT))).alias(a_plan))
+    if monthly is None:
+        yrs = [Period(f"{y}-01-01", f"{y}-12-31") for y in (base_year, plan_year)]
+        from ..plans.period import union_predicate
+        rows, date_col, amount = fact.where(union_predicate(fact, yrs)), "report_date", M.AMOUNT
+    else:
+        rows, date_col, amount = monthly, "month_start", "gwp"
+    yr = F.year(date_col)
+    actual = rows.groupBy(F.month(date_col).alias("month_num")).agg(
+        F.sum(F.when(yr == base_year, F.col(amount))).alias(a_base),
+        F.sum(F.when(yr == plan_year, F.col(amount))).alias(a_plan))
     tot = F.col("dimension_type") == V.TOTAL_DIMENSION
     p = (plan.where(tot).groupBy(F.month("plan_month").alias("month_num"))
          .agg(F.sum(F.when(F.col("metric_name") == "GWP", F.col("plan_amount"))).alias(p_plan)))

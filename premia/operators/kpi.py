@@ -71,15 +71,21 @@ def _pet_share() -> Column:
 
 
 # Q6
-def kpi_snapshot_month(fact: DataFrame, plan: DataFrame, selected_month, plan_year: int) -> DataFrame:
+def kpi_snapshot_month(fact: DataFrame, plan: DataFrame, selected_month, plan_year: int,
+                       monthly: DataFrame | None = None) -> DataFrame:
     """The month's KPIs with prior month, prior year and plan; empty if the month has no rows.
 
-    Versus-plan changes are filled only when the month lies in ``plan_year``.
+    Versus-plan changes are filled only when the month lies in ``plan_year``. With
+    the materialised monthly view the three months are read from it; otherwise one
+    scan of the three months' partitions aggregates them.
     """
     m = month_start(as_date(selected_month))
     prev, py = add_months(m, -1), add_years(m, -1)
-    src = fact.where(union_predicate(fact, [Period.month(x) for x in (m, prev, py)]))
-    monthly = M.aggregate(src, {"month_start": dimension("Month", src)}, M.core_measures())
+    if monthly is None:
+        src = fact.where(union_predicate(fact, [Period.month(x) for x in (m, prev, py)]))
+        monthly = M.aggregate(src, {"month_start": dimension("Month", src)}, M.core_measures())
+    else:
+        monthly = monthly.where(F.col("month_start").isin([F.lit(x) for x in (m, prev, py)]))
     ms = F.col("month_start")
     actual = monthly.agg(
         F.max(F.when(ms == F.lit(m), ms)).alias("month_start"),
@@ -191,14 +197,16 @@ def ytd_snapshot(fact: DataFrame, plan: DataFrame, selected_month, plan_year: in
 
 
 # Q25
-def month_over_month(fact: DataFrame) -> DataFrame:
+def month_over_month(fact: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
     """Each month's GWP with the previous calendar month's GWP and the change.
 
     The previous month is looked up by date (a missing month gives null), through
     an equi-join of the monthly rows with themselves shifted one month; both sides
     hold one row per month.
     """
-    monthly = M.aggregate(fact, {"month_start": dimension("Month", fact)}, [M.SumOf("gwp", F.col(M.AMOUNT))])
+    if monthly is None:
+        monthly = M.aggregate(fact, {"month_start": dimension("Month", fact)}, [M.SumOf("gwp", F.col(M.AMOUNT))])
+    monthly = monthly.select("month_start", "gwp")
     prev = monthly.select(F.add_months("month_start", 1).alias("month_start"), F.col("gwp").alias("prev_gwp"))
     out = (monthly.join(prev, "month_start", "left")
            .select("month_start", "gwp", "prev_gwp", M.pct_change("gwp", "prev_gwp").alias("gwp_mom_pct"))

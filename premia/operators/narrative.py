@@ -256,11 +256,11 @@ def blocks(fact: DataFrame, period: Period, top_n: int = 10, refresh=None) -> di
 # X12 — templated commentary for every month
 # ---------------------------------------------------------------------------
 
-def kpi_by_month(fact: DataFrame) -> DataFrame:
+def kpi_by_month(fact: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
     """Monthly KPIs for all months with prior-month and prior-year GWP, changes and
     renewal pet share. Prior values are date lookups (equi-joins of the monthly
     rows with themselves shifted), so a missing month gives null."""
-    monthly = R.monthly_kpis(fact)
+    monthly = R.monthly_kpis(fact, monthly=monthly)
     prev = monthly.select(F.add_months("month_start", 1).alias("month_start"), F.col("gwp").alias("prev_gwp"))
     py = monthly.select(F.add_months("month_start", 12).alias("month_start"), F.col("gwp").alias("py_gwp"))
     return (monthly.join(prev, "month_start", "left").join(py, "month_start", "left")
@@ -279,9 +279,9 @@ def _kpi_values() -> dict[str, Column]:
     }
 
 
-def monthly_commentary(fact: DataFrame) -> DataFrame:
+def monthly_commentary(fact: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
     """(month_start, commentary): the templated summary for every month."""
-    k = kpi_by_month(fact)
+    k = kpi_by_month(fact, monthly)
     vals = _kpi_values()
     vals["period"] = FM.month_display("month_start")
     return k.select("month_start", fill(COMMENTARY_TEMPLATE, vals).alias("commentary")).orderBy("month_start")
@@ -318,14 +318,16 @@ def commentary_context(fact: DataFrame, plan: DataFrame, forecast: DataFrame, pe
 
 def assistant_context(fact: DataFrame, plan: DataFrame, forecast: DataFrame, period: Period,
                       period_display: str, base_year: int, plan_year: int,
-                      questions: list[tuple[str, str]] | None = None, refresh=None) -> DataFrame:
+                      questions: list[tuple[str, str]] | None = None, refresh=None,
+                      monthly: DataFrame | None = None) -> DataFrame:
     """One context text per (assistant type, question): role instruction, question,
     range KPIs, five bullet blocks and full-year plan-comparison totals."""
     from . import budget as B
     from . import transforms as X
     r = _refresh_for(fact, plan, forecast, period, refresh)
     b = blocks(fact, period, refresh=r)
-    fy = X.full_year_totals(B.plan_comparison(fact, plan, forecast, base_year, plan_year), base_year, plan_year)
+    fy = X.full_year_totals(B.plan_comparison(fact, plan, forecast, base_year, plan_year, monthly),
+                            base_year, plan_year)
     row = _one_row_frames([r.kpi_snapshot(), *b.values(), fy])
     # The questions are parameters: exploded from a literal array into the one
     # context row (a generator, no join).

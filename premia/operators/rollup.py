@@ -44,11 +44,16 @@ def year_split(fact: DataFrame) -> DataFrame:
 
 
 # Q4
-def monthly_kpis(fact: DataFrame, period: Period | None = None) -> DataFrame:
-    """One row per report month: core measures, unrounded average premiums, row count."""
-    src = period.filter(fact) if period else fact
-    g = M.aggregate(src, {"month_start": dimension("Month", src)}, M.core_measures(row_count=True))
-    return M.as_output(g.select(
+def monthly_kpis(fact: DataFrame, period: Period | None = None, monthly: DataFrame | None = None) -> DataFrame:
+    """One row per report month: core measures, unrounded average premiums, row count.
+
+    ``monthly`` is the materialised monthly view (``operators.views``) when there
+    is one; otherwise the months are aggregated from the fact here.
+    """
+    if monthly is None:
+        src = period.filter(fact) if period else fact
+        monthly = M.aggregate(src, {"month_start": dimension("Month", src)}, M.core_measures(row_count=True))
+    return M.as_output(monthly.select(
         "month_start", "gwp", "nbw_gwp", "renewal_gwp", "nbw_unique_pets", "renewal_unique_pets",
         M.per_pet("nbw_gwp", "nbw_unique_pets", None).alias("avg_nbw_premium"),
         M.per_pet("renewal_gwp", "renewal_unique_pets", None).alias("avg_renewal_premium"),
@@ -56,8 +61,8 @@ def monthly_kpis(fact: DataFrame, period: Period | None = None) -> DataFrame:
 
 
 # Q5
-def monthly_trend(fact: DataFrame) -> DataFrame:
-    return monthly_kpis(fact).drop("row_count").orderBy("month_start")
+def monthly_trend(fact: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
+    return monthly_kpis(fact, monthly=monthly).drop("row_count").orderBy("month_start")
 
 
 # Q9 / Q10

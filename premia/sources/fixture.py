@@ -198,6 +198,7 @@ class Tables:
     forecast: DataFrame
     calendar: DataFrame
     fact_path: str | None = None
+    monthly: DataFrame | None = None   # materialised monthly KPI view (decimal measures)
 
 
 _CACHE: dict[tuple[str, str], Tables] = {}
@@ -228,9 +229,12 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
         plan = _materialize(plan, new_table_path(spark, "fact_plan"))
         forecast = _materialize(forecast, new_table_path(spark, "fact_forecast"))
     calendar = calendar_from_fact(fact)
+    monthly = None
     if materialize:
+        from ..operators.views import MonthlyView
         calendar = _materialize(calendar, new_table_path(spark, "dim_calendar"))
-    tables = Tables(fact=fact, plan=plan, forecast=forecast, calendar=calendar, fact_path=path)
+        monthly = MonthlyView(new_table_path(spark, "vw_monthly_premium_kpis")).build(fact).read(spark)
+    tables = Tables(fact=fact, plan=plan, forecast=forecast, calendar=calendar, fact_path=path, monthly=monthly)
     _CACHE[key] = tables
     return tables
 
