@@ -28,7 +28,7 @@ from ..session import new_table_path
 from .schema import PARTITION_COLUMN
 
 # FIXED VALUES — fixture parameters (the standard periods of the test data).
-AS_OF_EXCLUSIVE = "2001-05-05"
+AS_OF_EXCLUSIVE = "2001-05-05"   # optional snapshot cut; registered queries read whole tables
 PLAN_YEAR = 2001
 BASE_YEAR = 2000
 TREND_YEAR = 1999
@@ -99,10 +99,16 @@ def _sub_channel() -> Column:
     return expr
 
 
-def fixture_fact(spark: SparkSession, sf_dir: str, as_of_exclusive: str = AS_OF_EXCLUSIVE) -> DataFrame:
-    """The written-details fact (engine column names), as a lazy DataFrame."""
-    li = (_read(spark, sf_dir, "lineitem")
-          .where(F.col("l_shipdate") < F.lit(as_of_exclusive).cast("timestamp_ntz"))
+def fixture_fact(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None = None) -> DataFrame:
+    """The written-details fact (engine column names), as a lazy DataFrame.
+
+    Every line item becomes a fact row. ``as_of_exclusive`` optionally takes a
+    snapshot of the actuals known before a date (pushed to the lineitem scan).
+    """
+    li = _read(spark, sf_dir, "lineitem")
+    if as_of_exclusive:
+        li = li.where(F.col("l_shipdate") < F.lit(as_of_exclusive).cast("timestamp_ntz"))
+    li = (li
           .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus",
                   "l_extendedprice", "l_returnflag", "l_shipdate"))
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
