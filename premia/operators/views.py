@@ -3,22 +3,22 @@
 Trend, snapshot, plan-comparison and commentary results all read one row per report
 month. Computing that from the fact once and keeping it as a small table in the
 shared folder replaces a full fact scan per result with a read of one row per
-month. The table is partitioned by month: after new fact rows land, ``refresh``
-recomputes only the touched months and overwrites just their partitions (dynamic
-partition overwrite). That is exact, because a month's distinct pet counts depend
-only on that month's rows.
+month. The table has one row per month whatever the data volume, so it is kept as
+a single file and versioned copy-on-write: after new fact rows land, ``refresh``
+recomputes only the touched months (partition-pruned scan of the fact), keeps the
+other months' rows, and writes the next version. That is exact, because a month's
+distinct pet counts depend only on that month's rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions.dims import dimension
-from ..sources.schema import PARTITION_COLUMN
 
 
 def monthly_rollup(fact: DataFrame) -> DataFrame:
@@ -27,25 +27,31 @@ def monthly_rollup(fact: DataFrame) -> DataFrame:
 
 
 class MonthlyView:
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, base_path: str):
+        self.base_path = base_path.rstrip("/")
+        self.version = -1
+        self.schema = None
+
+    @property
+    def path(self) -> str:
+        return f"{self.base_path}/v{self.version}"
 
     def build(self, fact: DataFrame) -> "MonthlyView":
-        self._write(monthly_rollup(fact), "static")
-        return self
+        return self._write(monthly_rollup(fact))
 
     def refresh(self, fact: DataFrame, months: list[dt.date]) -> "MonthlyView":
-        """Recompute the given months only (partition pruning on the fact) and
-        overwrite only their partitions of the view."""
-        src = fact.where(dimension("Month", fact).isin([F.lit(m) for m in months]))
-        self._write(monthly_rollup(src), "dynamic")
+        """Recompute the given months only and write the next version of the view."""
+        keys = [F.lit(m) for m in months]
+        fresh = monthly_rollup(fact.where(dimension("Month", fact).isin(keys)))
+        kept = self.read(fact.sparkSession).where(~F.col("month_start").isin(keys))
+        return self._write(kept.unionByName(fresh))
+
+    def _write(self, rows: DataFrame) -> "MonthlyView":
+        self.version += 1
+        self.schema = rows.schema
+        # one row per month: a single small file
+        rows.coalesce(1).write.mode("overwrite").parquet(self.path)
         return self
 
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        (rows.withColumn(PARTITION_COLUMN, F.col("month_start"))
-             .write.mode("overwrite").option("partitionOverwriteMode", mode)
-             .partitionBy(PARTITION_COLUMN).parquet(self.path))
-
-    def read(self, spark) -> DataFrame:
-        from ..sources.written_details import read_fact
-        return read_fact(spark, self.path).drop(PARTITION_COLUMN)
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self.path)
