@@ -43,24 +43,38 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _sql_name(x: Column | str) -> str | None:
+    return "`" + x.replace("`", "``") + "`" if isinstance(x, str) else None
+
+
+def _null_dash(x: Column | str, body: str, col_body) -> Column:
+    """``body`` over ``CAST(x AS DOUBLE)``, or an em dash for null / NaN.
+
+    With a column name the whole expression is one SQL text (one JVM call)."""
+    name = _sql_name(x)
+    if name:
+        v = f"CAST({name} AS DOUBLE)"
+        return F.expr(f"CASE WHEN {v} IS NULL OR isnan({v}) THEN '{V.NULL_DISPLAY}' ELSE {body.format(v=v)} END")
+    c = _c(x).cast("double")
+    return F.when(c.isNull() | F.isnan(c), F.lit(V.NULL_DISPLAY)).otherwise(col_body(c))
+
+
 def fmt_number(x: Column | str) -> Column:
     """``x,xxx`` (no decimals); null -> em dash."""
-    c = _c(x).cast("double")
-    return F.when(c.isNull() | F.isnan(c), F.lit(V.NULL_DISPLAY)).otherwise(F.format_number(c, 0))
+    return _null_dash(x, "format_number({v}, 0)", lambda c: F.format_number(c, 0))
 
 
 def fmt_currency(x: Column | str) -> Column:
     """``$x,xxx`` (negative: ``$-x,xxx``); null -> em dash."""
-    c = _c(x).cast("double")
-    return F.when(c.isNull() | F.isnan(c), F.lit(V.NULL_DISPLAY)).otherwise(
-        F.concat(F.lit("$"), F.format_number(c, 0)))
+    return _null_dash(x, "concat('$', format_number({v}, 0))",
+                      lambda c: F.concat(F.lit("$"), F.format_number(c, 0)))
 
 
 def fmt_pct(x: Column | str) -> Column:
     """``x.x%`` of a ratio (no thousands separator); null -> em dash."""
-    c = _c(x).cast("double")
-    return F.when(c.isNull() | F.isnan(c), F.lit(V.NULL_DISPLAY)).otherwise(
-        F.concat(F.regexp_replace(F.format_number(c * F.lit(100.0), 1), ",", ""), F.lit("%")))
+    return _null_dash(x, "concat(regexp_replace(format_number({v} * 100.0D, 1), ',', ''), '%')",
+                      lambda c: F.concat(F.regexp_replace(F.format_number(c * F.lit(100.0), 1), ",", ""),
+                                         F.lit("%")))
 
 
 def plan_delta_label(x: Column | str) -> Column:
