@@ -105,19 +105,28 @@ def format_report(df: DataFrame) -> DataFrame:
     """Format the known date / currency / count / percent columns; keep others.
 
     ``drilldown_group`` is shown as ``yyyy-MM-dd`` when more than 80% of its values
-    parse as dates, else as text. The share is a distributed global aggregate
-    used through a scalar subquery, so no value reaches the driver.
+    parse as dates, else as text. For a text column the share is a distributed
+    global aggregate used through a scalar subquery (no value reaches the driver).
     """
     cols = {}
     for c in DATE_COLUMNS:
         if c in df.columns:
             cols[c] = fmt_date(F.col(c).cast("date"))
     if "drilldown_group" in df.columns:
-        share = date_share(df, "drilldown_group").scalar()
-        as_text = F.col("drilldown_group").cast("string")
-        parsed = F.try_to_date(as_text)
-        cols["drilldown_group"] = F.when(share > F.lit(DATE_SHARE_THRESHOLD),
-                                         F.date_format(parsed, "yyyy-MM-dd")).otherwise(as_text)
+        if isinstance(df.schema["drilldown_group"].dataType, T.DateType):
+            # every value of a date column parses, and both branches render a date
+            # as yyyy-MM-dd: no detection pass is needed
+            cols["drilldown_group"] = F.date_format("drilldown_group", "yyyy-MM-dd")
+        else:
+            as_text = F.col("drilldown_group").cast("string")
+            parsed = F.try_to_date(as_text)
+            # The struct also takes the max of every column so that the subquery's
+            # plan equals the main one and Spark reuses its shuffle (one scan).
+            others = [F.max(c).alias(f"_k{i}") for i, c in enumerate(df.columns)]
+            share = df.agg(F.struct(F.avg(parsed.isNotNull().cast("double")).alias("share"), *others)
+                           .alias("t")).scalar().getField("share")
+            cols["drilldown_group"] = F.when(share > F.lit(DATE_SHARE_THRESHOLD),
+                                             F.date_format(parsed, "yyyy-MM-dd")).otherwise(as_text)
     for c in CURRENCY_COLUMNS:
         if c in df.columns:
             cols[c] = fmt_currency(c)
