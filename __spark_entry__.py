@@ -47,9 +47,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _registry() -> dict[str, tuple[Callable, str | None]]:
     reg: dict[str, tuple[Callable, str | None]] = {
-        "available_months": (lambda s, d: R.available_months(_t(s, d).fact), O.q_available_months()),
+        "available_months": (lambda s, d: R.available_months(_t(s, d).fact, _t(s, d).monthly),
+                             O.q_available_months()),
         "date_bounds": (lambda s, d: R.date_bounds(_t(s, d).fact), O.q_date_bounds()),
-        "year_split": (lambda s, d: R.year_split(_t(s, d).fact), O.q_year_split()),
+        "year_split": (lambda s, d: R.year_split(_t(s, d).fact, _t(s, d).monthly), O.q_year_split()),
         "monthly_kpis": (lambda s, d: R.monthly_kpis(_t(s, d).fact, monthly=_t(s, d).monthly), O.q_monthly_kpis()),
         "monthly_trend": (lambda s, d: R.monthly_trend(_t(s, d).fact, _t(s, d).monthly), O.q_monthly_trend()),
         "kpi_snapshot_month": (
@@ -111,7 +112,8 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
         "growth_drivers_range": (
             lambda s, d: R.growth_drivers(_t(s, d).fact, FULL), O.q_growth_range(*FX.FULL_RANGE)),
         "control_totals": (
-            lambda s, d: Q.control_totals(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, _t(s, d).calendar),
+            lambda s, d: Q.control_totals(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, _t(s, d).calendar,
+                                         _t(s, d).monthly),
             O.q_control_totals()),
         "pct_change": (lambda s, d: K.month_over_month(_t(s, d).fact, _t(s, d).monthly), O.q_month_over_month()),
     }

@@ -63,13 +63,13 @@ class PremiumAnalytics:
 
     # -- queries -----------------------------------------------------------------------
     def get_available_months(self) -> DataFrame:
-        return R.available_months(self.fact)
+        return R.available_months(self.fact, self.monthly)
 
     def get_date_bounds(self) -> DataFrame:
         return R.date_bounds(self.fact)
 
     def get_year_split(self) -> DataFrame:
-        return R.year_split(self.fact)
+        return R.year_split(self.fact, self.monthly)
 
     def get_monthly_kpis(self) -> DataFrame:
         return R.monthly_kpis(self.fact, monthly=self.monthly)
@@ -132,7 +132,8 @@ class PremiumAnalytics:
         return R.growth_drivers(self.fact, Period.range(start_date, end_date))
 
     def get_control_totals(self) -> tuple[DataFrame, list[str]]:
-        return Q.control_totals(self.fact, self.plan, self.forecast, self.calendar), list(Q.SOURCE_TABLES)
+        return (Q.control_totals(self.fact, self.plan, self.forecast, self.calendar, self.monthly),
+                list(Q.SOURCE_TABLES))
 
     # -- refresh, transforms and text ----------------------------------------------------
     def refresh(self, start_date, end_date) -> RangeRefresh:
