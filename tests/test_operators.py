@@ -223,3 +223,38 @@ def test_monthly_view_incremental_refresh(spark, make_fact, tmp_path):
     assert got == want
     feb = [r for r in got if r[0] == dt.date(2026, 2, 1)][0]
     assert feb[4] == 2  # NBW pets B and C: recomputed from the month's rows, not added
+
+
+def test_t9_descending_order_puts_null_groups_first(spark, make_fact):
+    from conftest import FACT_SCHEMA
+    fact = make_fact([row("2026-04-02", NEW, 50, channel="DTC"), row("2026-04-02", NEW, 10, channel="Vet")]).union(
+        spark.createDataFrame([(D("2026-04-03"), NEW, None, "X", 0, "CA", "Partner", "AI", "V")], FACT_SCHEMA))
+    out = R.drilldown(fact, APR, "Channel").collect()
+    assert [r["drilldown_group"] for r in out] == ["Partner", "DTC", "Vet"]  # null GWP first, like PostgreSQL DESC
+
+
+def test_t13_partial_range_compares_with_full_month_plan(spark, make_fact):
+    from decimal import Decimal as Dm
+    fact = make_fact([row("2026-02-10", NEW, 10), row("2026-02-05", NEW, 1000)])
+    plan = _budget(spark, [(D("2026-02-01"), "GWP", "Total", "All", Dm("100")),
+                           (D("2026-03-01"), "GWP", "Total", "All", Dm("999"))])
+    r = one(K.kpi_snapshot_range(fact, plan, _budget(spark, [], "forecast"), Period("2026-02-10", "2026-02-20")))
+    assert r["gwp"] == 10.0 and r["plan_gwp"] == 100.0  # actual by day, plan by whole February
+    assert r["gwp_vs_plan_pct"] == pytest.approx(-0.9)
+
+
+def test_t18_null_current_gives_null_change(spark):
+    from premia.functions import measures as Mm
+    df = spark.createDataFrame([(None, 5.0), (6.0, None), (6.0, 0.0), (6.0, 3.0)], "c double, b double")
+    got = [r[0] for r in df.select(Mm.pct_change("c", "b")).collect()]
+    assert got == [None, None, None, 1.0]
+
+
+def test_t19_range_snapshot_has_no_plan_year_gate(spark, make_fact):
+    from decimal import Decimal as Dm
+    fact = make_fact([row("2031-04-02", NEW, 50)])
+    plan = _budget(spark, [(D("2031-04-01"), "GWP", "Total", "All", Dm("100"))])
+    r = one(K.kpi_snapshot_range(fact, plan, _budget(spark, [], "forecast"), Period("2031-04-01", "2031-04-30")))
+    assert r["gwp_vs_plan_pct"] == pytest.approx(-0.5)
+    m = one(K.kpi_snapshot_month(fact, plan, "2031-04-01", plan_year=2026))
+    assert m["gwp_vs_plan_pct"] is None  # the month snapshot is gated
