@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
-from .written_details import to_source_names, write_fact  # noqa: F401  (re-export)
+from .written_details import to_source_names
 
 
 def report_file_name(label: str, start: str | dt.date, end: str | dt.date, group: str | None = None) -> str:

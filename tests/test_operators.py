@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import CAN, D, MTA, NEW, REI, REN, row
 from premia.functions.dims import dimension
