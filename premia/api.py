@@ -47,11 +47,23 @@ class PremiumAnalytics:
         path = new_table_path(spark, "fact_written_details")
         write_fact(fact, path)
         fact = read_fact(spark, path)
-        monthly = MonthlyView(new_table_path(spark, "vw_monthly_premium_kpis")).build(fact).read(spark)
+        view = MonthlyView(new_table_path(spark, "vw_monthly_premium_kpis")).build(fact)
         plan = read_budget_csv(spark, plan_csv, "plan")
         forecast = read_budget_csv(spark, forecast_csv, "forecast")
         calendar = read_budget_csv(spark, calendar_csv, "calendar") if calendar_csv else None
-        return cls(fact, plan, forecast, calendar, monthly, **years)
+        pa = cls(fact, plan, forecast, calendar, view.read(spark), **years)
+        pa.view = view
+        return pa
+
+    def refresh_monthly_view(self, months: list) -> "PremiumAnalytics":
+        """After new fact rows land (e.g. from ``streaming.ingest``), recompute only the
+        given months of the materialised monthly view and read its new version."""
+        view = getattr(self, "view", None)
+        if view is None:
+            raise ValueError("No materialised monthly view: load with from_csv")
+        view.refresh(self.fact, [as_date(m).replace(day=1) for m in months])
+        self.monthly = view.read(self.fact.sparkSession)
+        return self
 
     @classmethod
     def from_tables(cls, tables, **years) -> "PremiumAnalytics":

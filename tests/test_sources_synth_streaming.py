@@ -145,3 +145,7 @@ def test_api_from_csv_end_to_end(spark, synth_fact, tmp_path):
     got = pa.sql(spark, "select count(*) from vw_monthly_premium_kpis where month_start >= :m",
                  m=dt.date(2026, 1, 1)).collect()[0][0]
     assert got == 5  # Jan-Apr plus early May: report dates lag transactions by up to 4 days
+    before = pa.get_monthly_kpis().where("month_start = '2026-03-01'").collect()[0]["row_count"]
+    pa.refresh_monthly_view(["2026-03-15"])
+    after = pa.get_monthly_kpis().where("month_start = '2026-03-01'").collect()[0]["row_count"]
+    assert after == before and pa.get_monthly_kpis().count() == pa.get_available_months().count()
