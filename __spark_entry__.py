@@ -26,6 +26,11 @@ from premia.plans.period import Period
 from premia.sources import fixture as FX
 from premia.sources.fixture import load_tables
 
+try:
+    from premia.llm.queries import registry as _llm_registry
+except ImportError:
+    _llm_registry = dict
+
 SF_SMOKE = "/root/testdata/sf0.001"
 
 FULL = Period(*FX.FULL_RANGE)
@@ -235,6 +240,7 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
         reg[f"top_n_lines_{kind}"] = (
             (lambda kind: lambda s, d: N.block(kind, _t(s, d).fact, FULL))(kind),
             O.block_sql(kind, *FX.FULL_RANGE))
+    reg.update(_llm_registry())
     return reg
 
 
