@@ -62,9 +62,15 @@ def learn(train: DataFrame, profile_size: int = PROFILE_SIZE, per_lang: int = SA
     count. Only the profiles themselves (languages x profile_size) reach the driver.
     """
     train = train.select("doc_id", "text", "lang").where("text is not null and lang is not null and doc_id is not null")
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
+    sizes = train.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages to learn")
+    if not sizes:
+        return {}
+    # One literal per language, so that no text is shuffled to take the sample.
+    of = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["count"])])
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = train.join(sizes, "lang").where(unit * F.col("of") < F.lit(per_lang << 30)).select("lang", "text")
+    sample = train.where(unit * of[F.col("lang")] < F.lit(per_lang << 30)).select("lang", "text")
 
     def count(batches):
         total: dict = {}
@@ -86,9 +92,7 @@ def learn(train: DataFrame, profile_size: int = PROFILE_SIZE, per_lang: int = SA
     rank = F.row_number()
     top = grams.withColumn("r", rank.over(part)).where(F.col("r") <= profile_size)
     top = top.withColumn("r", rank.over(whole)).where(F.col("r") <= profile_size)
-    rows = top.select("lang", "gram", "r").limit(profile_size * MAX_LANGS + 1).collect()
-    if len(rows) > profile_size * MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages to learn")
+    rows = top.select("lang", "gram", "r").collect()  # languages x profile_size at most
     out: dict[str, list[int]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
         out.setdefault(r["lang"], []).append(r["gram"])
