@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from premia.llm import langid
+from premia.llm import jaccard_join, langid
 
 
 def registry() -> dict:
     return {
+        "op3_jaccard_join": (jaccard_join.op3_jaccard_join, jaccard_join.ORACLE_SQL),
         "op10_language_id": (langid.op10_language_id, None),
     }

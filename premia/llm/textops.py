@@ -97,7 +97,7 @@ class Words:
         left = np.repeat(self.off[1:], np.diff(self.off)) - np.arange(n)
         h = np.zeros(n, np.uint64)
         for j in range(k):
-            part = mix(self.hash[j:] + np.uint64(j + 1) * _GOLD)
+            part = mix(self.hash[j:] + _CODE[j])
             h[:n - j] += part * np.uint64(2 * j + 1)
         return mix(h), left
 
@@ -120,14 +120,13 @@ def shingle_sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
     """
     data, off = text_buffers(col)
     w = Words(data, off)
-    h, left = w.shingles(k)
+    h, _ = w.shingles(k)
     for i in range(len(off) - 1):
         a, b = w.off[i], w.off[i + 1]
         if b - a >= k:
             yield np.unique(h[a:b - k + 1])
         elif b > a:
-            with np.errstate(over="ignore"):
-                part = w.hash[a:b] * (np.arange(b - a, dtype=np.uint64) * np.uint64(2) + np.uint64(3))
-                yield mix(np.array([part.sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
+            part = w.hash[a:b] * (np.arange(b - a, dtype=np.uint64) * np.uint64(2) + np.uint64(3))
+            yield mix(np.append(part, np.uint64(b - a)).sum(dtype=np.uint64, keepdims=True))
         else:
             yield np.zeros(0, np.uint64)
