@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,14 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+BROADCAST_ROWS = 2_000_000   # of narrow tables (two 8-byte columns at most): 32 MB
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written narrow table, marked for broadcast if its counted rows fit; else a shuffle joins it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)`` for every endpoint of ``edges``; component is the smallest reachable id.
 
@@ -67,3 +78,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
         if is_empty(e):
             return mapping
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.Table]]:
+    """Groups of consecutive rows with equal integer ``keys``, as lists of tables; a batch's last group waits for more."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        if waiting:
+            new[0] = any(waiting[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, cols, strict=True))
+        starts = np.flatnonzero(new).tolist()
+        if not starts:
+            waiting.append(batch)
+            continue
+        done = []
+        if waiting or starts[0]:
+            done.append(pa.Table.from_batches([*waiting, batch.slice(0, starts[0])]).combine_chunks())
+        done += [pa.Table.from_batches([batch.slice(i, j - i)]) for i, j in zip(starts, starts[1:], strict=False)]
+        waiting = [batch.slice(starts[-1])]
+        yield done
+    if waiting:
+        yield [pa.Table.from_batches(waiting).combine_chunks()]
+
+
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` over each group of equal non-null integer ``keys``; many small groups share an Arrow batch."""
+    def run(batches):
+        for groups in sorted_groups(batches, keys):
+            for b in pa.concat_tables([fn(g) for g in groups]).combine_chunks().to_batches():
+                yield b
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

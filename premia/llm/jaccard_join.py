@@ -5,11 +5,13 @@ sets is at least ``percent`` / 100. The result is exact up to 64-bit hashes.
 
 Routing. Linked sets of sizes x <= y differ in at most (x + y)(1 - t)/(1 + t)
 shingles. Sets are put in size bands of ratio 1.5 (a set near the upper end also
-goes to the next band); a band's hash space is cut into one slice more than two
-of its sets may differ in, so linked sets agree on a whole slice. A subtree of the
+goes to the next band); a band's hash space is cut into more slices than two of
+its sets may differ in, so linked sets agree on ``spare`` + 1 whole slices or more. A subtree of the
 forest holds the sets that agree on a slice: its key is (band, slice, digest of
-the slice). Subtrees with the same members are built once, and sets that are
-equal are one member.
+the slice). A set with at most ``spare`` slices of fewer than ``WEAK`` shingles needs no
+subtree for those, as its partners agree with it on another slice; a set with
+more of them keeps them all. Subtrees with the same members are built once, and
+sets that are equal are one member.
 
 Trees. The members of a subtree are sorted into leaves of ``FANOUT`` and upper
 levels of the same fan-out; each node holds the OR of its members' token bitmaps,
@@ -17,12 +19,15 @@ their smallest and largest size and the most tokens that share a bit. Two nodes
 can hold a link only if min(largest sizes, bits in common + shared bits) reaches
 the overlap that their smallest sizes ask for; all other node pairs are pruned.
 
-1. In each set's largest subtree, single-node traversals link it to the first
-   earlier member that the bounds leave; the pairs are verified on the full sets,
-   and the links' connected components follow.
+1. In each set's largest subtree, single-node traversals pair it with the most
+   central member that the bounds leave (central: nearest to the bits that most
+   members have); the pairs are verified on the full sets, and the links'
+   connected components follow.
 2. In every subtree that still holds two components, dual traversal of the tree
-   with itself gives all pairs of different components that the bounds leave;
-   they are verified too. Pairs inside a component change nothing and are skipped.
+   with itself finds the pairs of different components that the bounds leave: first
+   only the best pair of each member outside the subtree's main component, then,
+   with the components that these links give, all of them. They are verified too.
+   Pairs inside a component change nothing and are skipped.
 
 A subtree of more than ``BLOCK`` members is dealt out by blocks: stage 1 keeps
 the blocks apart, stage 2 compares each block of members outside the subtree's
@@ -43,10 +48,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from premia.llm import textops
-from premia.llm.common import components, materialise
+from premia.llm.common import bounded, components, map_groups, materialise
 
 FANOUT = 8
 BLOCK = 2048
+WEAK = 3
 SETS_SCHEMA = "doc_id long, n long, d1 long, d2 long, keys array<long>"
 
 
@@ -60,10 +66,12 @@ def _bands() -> list[int]:
 _LOWS = np.array(_bands(), np.int64)
 
 
-def slices(band: int, percent: int) -> int:
-    """Hash slices of a band: one more than two linked sets of the band may differ in."""
+def slices(band: int, percent: int) -> tuple[int, int]:
+    """Hash slices of a band, and how many of them are spare: linked sets agree on one more at least."""
     high = int(_LOWS[band + 1]) - 1
-    return (100 - percent) * 2 * high // (100 + percent) + 1
+    differ = (100 - percent) * 2 * high // (100 + percent)
+    spare = 1 + differ // 8 if differ else 0
+    return differ + spare + 1, spare
 
 
 def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -74,12 +82,14 @@ def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
     code = textops.mix(s)
     total = np.concatenate([[np.uint64(0)], np.cumsum(code, dtype=np.uint64)])
     for b in bands:
-        k = slices(b, percent)
+        k, spare = slices(b, percent)
         if k == 1:      # linked sets of this band are equal, hence one member already
             continue
         cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32), np.arange(k + 1, dtype=np.uint64))
         tag = np.arange(k, dtype=np.uint64) + np.uint64(b << 44)
-        out.append(textops.mix(textops.mix(tag) + (total[cut[1:]] - total[cut[:-1]])))
+        keys = textops.mix(textops.mix(tag) + (total[cut[1:]] - total[cut[:-1]]))
+        weak = np.diff(cut) < WEAK
+        out.append(keys if weak.sum() > spare else keys[~weak])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -132,8 +142,8 @@ def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                                                   pa.array(bits, pa.binary()), pa.array(raw, pa.binary())],
                                                  names=["id", "n", "bits", "shingles"])
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id long, n long, bits binary, shingles binary").dropDuplicates(["id"])
+    wanted = docs.select("doc_id", "text").join(bounded(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    return wanted.mapInArrow(run, "id long, n long, bits binary, shingles binary")
 
 
 class SignatureTree:
@@ -168,9 +178,25 @@ class SignatureTree:
             keep[x] = most * (100 + percent) >= percent * (loa[a[x]] + lob[b[x]])
         return keep
 
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits that members a and b have in common."""
+        rows = self.levels[0][0]
+        step = max(1, (8 << 20) // max(1, rows.shape[1] * 8))
+        return np.concatenate([np.bitwise_count(rows[a[i:i + step]] & rows[b[i:i + step]]).sum(axis=1, dtype=np.int64)
+                               for i in range(0, len(a), step)])
+
     def _children(self, level: int, nodes: np.ndarray) -> np.ndarray:
         return nodes[:, None] * FANOUT + np.arange(FANOUT)
 
+    def eccentricity(self) -> np.ndarray:
+        """Bits in which each member differs from the bits that more than half of the members have."""
+        rows = self.levels[0][0]
+        step = max(1, (4 << 20) // (rows.shape[1] * 64))
+        votes = sum(np.unpackbits(rows[i:i + step].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+                    for i in range(0, len(rows), step))
+        most = np.packbits(2 * votes > len(rows)).view(np.uint64)
+        return np.bitwise_count(rows ^ most).sum(axis=1, dtype=np.int64)
+
     def search(self, member: int, percent: int) -> np.ndarray:
         """Members that can link with ``member``."""
         nodes = np.zeros(1, np.int64)
@@ -208,13 +234,13 @@ def _pairs_table(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
 
 
 def first_partners(group: pa.Table, percent: int) -> pa.Table:
-    """Stage 1 in one block: each member with the first earlier member that the bounds leave."""
+    """Stage 1 in one block: each member with the most central member that the bounds leave."""
     ids, n = group["id"].to_numpy(), group["n"].to_numpy()
     order = np.lexsort((ids, n))
     ids, n, bits = ids[order], n[order], group["bits"].take(pa.array(order)).to_pylist()
     tree = SignatureTree(n, bits, np.arange(len(ids)))
     left, out = np.ones(len(ids), bool), []
-    for at in np.argsort(ids, kind="stable"):
+    for at in np.lexsort((ids, tree.eccentricity())):
         if left[at]:
             left[at] = False
             found = tree.search(int(at), percent)
@@ -224,11 +250,12 @@ def first_partners(group: pa.Table, percent: int) -> pa.Table:
     return _pairs_table(out)
 
 
-def cross_pairs(group: pa.Table, percent: int) -> pa.Table:
+def cross_pairs(group: pa.Table, percent: int, best: bool = False) -> pa.Table:
     """Stage 2 in one block pair: all pairs of different components that the bounds leave.
 
     ``side`` 0 rows belong to the row block and 1 to the column block; a pair needs
-    a row-block member.
+    a row-block member. ``best``: of each row-block member, only the pair with most
+    bits in common.
     """
     ids, n, comp, side = (group[c].to_numpy() for c in ("id", "n", "comp", "side"))
     order = np.lexsort((side, ids))
@@ -236,10 +263,20 @@ def cross_pairs(group: pa.Table, percent: int) -> pa.Table:
     order = order[np.lexsort((ids[order], n[order], comp[order]))]
     ids, n, comp, side = ids[order], n[order], comp[order], side[order]
     tree = SignatureTree(n, group["bits"].take(pa.array(order)).to_pylist(), comp)
-    out = []
+    out, most, partner = [], np.zeros(len(ids), np.int64), np.full(len(ids), -1)
     for a, b in tree.pairs(percent):
-        ok = (side[a] == 0) | (side[b] == 0)
-        out.append((ids[a[ok]], ids[b[ok]]))
+        if not best:
+            ok = (side[a] == 0) | (side[b] == 0)
+            out.append((ids[a[ok]], ids[b[ok]]))
+            continue
+        bits = tree.common(a, b)
+        for x, y in ((a, b), (b, a)):
+            np.maximum.at(most, x, bits)
+            top = bits == most[x]
+            partner[x[top]] = y[top]
+    if best:
+        x = np.flatnonzero((partner >= 0) & (side == 0))
+        out.append((ids[x], ids[partner[x]]))
     return _pairs_table(out)
 
 
@@ -262,6 +299,27 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def cross_candidates(rows: DataFrame, comp: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Distinct pairs of different components in the subtrees that hold several."""
+    labelled = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).select(
+        "key", "c", "id", "comp")
+    # Members outside the component with most members of the subtree make the row blocks.
+    per = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = materialise(per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("t"), F.sum("k").alias("c2")).select(
+        "key", F.col("t.comp").alias("main"), (F.col("c2") - F.col("t.k")).alias("rest")).where("rest > 0"),
+        "jaccard-mixed")
+    grid = labelled.join(main, "key").join(bits, "id")
+    nr, nc = F.ceil(F.col("rest") / BLOCK), F.ceil(F.col("c") / BLOCK)
+    row = F.pmod(F.xxhash64("id"), nr).cast("long")
+    col = F.pmod(F.xxhash64("id"), nc).cast("long")
+    span = lambda k: F.sequence(F.lit(0).cast("long"), (k - 1).cast("long"))
+    fields = ["key", "id", "comp", "n", "bits"]
+    as_row = grid.where("comp <> main").select(*fields, F.lit(0).alias("side"), row.alias("r"), F.explode(span(nc)).alias("q"))
+    as_col = grid.select(*fields, F.lit(1).alias("side"), F.explode(span(nr)).alias("r"), col.alias("q"))
+    return map_groups(as_row.unionByName(as_col), ["key", "r", "q"],
+                      lambda group: cross_pairs(group, percent, best), "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id`` (smallest id reachable by links)."""
     table = materialise(shingle_table(docs, words, percent), "jaccard-keys")
@@ -270,8 +328,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     member = materialise(table.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "jaccard-members")
     own = member.where("doc_id = rep").select("doc_id").distinct()
-    routed = materialise(some.where(F.size("keys") > 0).select("doc_id", "keys").join(own, "doc_id").dropDuplicates(
-        ["doc_id"]).select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "jaccard-routed")
+    routed = materialise(some.where(F.size("keys") > 0).select("doc_id", "keys").join(own, "doc_id").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "jaccard-routed")
 
     # Subtrees of two members or more; of subtrees with the same members, one.
     trees = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("m"),
@@ -279,37 +336,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
                                       F.sum(F.pmod(F.xxhash64("id", F.lit(7)), F.lit((1 << 31) - 1))).alias("h2"))
     trees = materialise(trees.where("c > 1").groupBy("c", "m", "h1", "h2").agg(F.min("key").alias("key")).select(
         "key", "c"), "jaccard-trees")
-    rows = materialise(routed.join(trees, "key"), "jaccard-rows")
-    sets = materialise(set_table(docs.where("doc_id is not null"), rows.select("id").distinct(), words), "jaccard-sets")
+    rows = materialise(routed.join(bounded(trees), "key"), "jaccard-rows")
+    ids = materialise(rows.select("id").distinct(), "jaccard-ids")
+    sets = materialise(set_table(docs.where("doc_id is not null"), ids, words), "jaccard-sets")
     bits = sets.select("id", "n", "bits")
 
     largest = rows.groupBy("id").agg(F.max(F.struct("c", "key")).alias("t")).select("id", "t.c", "t.key")
     blocks = F.ceil(F.col("c") / BLOCK)
-    stage1 = largest.join(bits, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks)).groupBy(
-        "key", "block").applyInArrow(lambda group: first_partners(group, percent), "a long, b long")
+    stage1 = map_groups(largest.join(bits, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks)),
+                        ["key", "block"], lambda group: first_partners(group, percent), "a long, b long")
     links = materialise(verify(stage1.distinct(), sets, percent), "jaccard-links")
 
     comp = components(links)
-    labelled = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).select(
-        "key", "c", "id", "comp")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
-        "lo < hi").select("key")
-    # Members outside the component with most members of the subtree make the row blocks.
-    per = labelled.join(mixed, "key").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("t"), F.sum("k").alias("c2")).select(
-        "key", F.col("t.comp").alias("main"), (F.col("c2") - F.col("t.k")).alias("rest"))
-    grid = labelled.join(main, "key").join(bits, "id")
-    nr, nc = F.ceil(F.col("rest") / BLOCK), F.ceil(F.col("c") / BLOCK)
-    row = F.pmod(F.xxhash64("id"), nr).cast("long")
-    col = F.pmod(F.xxhash64("id"), nc).cast("long")
-    span = lambda k: F.sequence(F.lit(0).cast("long"), (k - 1).cast("long"))
-    fields = ["key", "id", "comp", "n", "bits"]
-    as_row = grid.where("comp <> main").select(*fields, F.lit(0).alias("side"), row.alias("r"), F.explode(span(nc)).alias("q"))
-    as_col = grid.select(*fields, F.lit(1).alias("side"), F.explode(span(nr)).alias("r"), col.alias("q"))
-    stage2 = as_row.unionByName(as_col).groupBy("key", "r", "q").applyInArrow(
-        lambda group: cross_pairs(group, percent), "a long, b long")
-    more = materialise(verify(stage2.distinct(), sets, percent), "jaccard-links")
-    comp = components(links.unionByName(more))
+    for best in (True, False):
+        more = cross_candidates(rows, comp, bits, percent, best)
+        links = links.unionByName(materialise(verify(more, sets, percent), "jaccard-links"))
+        comp = components(links)
     return member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
