@@ -80,37 +80,43 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return mapping
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.Table]]:
-    """Groups of consecutive rows with equal integer ``keys``, as lists of tables; a batch's last group waits for more."""
-    waiting: list[pa.RecordBatch] = []
+def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (consecutive rows with equal integer ``keys``) and each group's first row."""
+    def opened(cols: list[np.ndarray]) -> np.ndarray:
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = False
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    waiting: list[pa.RecordBatch] = []     # the rows of a group that may go on
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        if waiting:
-            new[0] = any(waiting[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, cols, strict=True))
-        starts = np.flatnonzero(new).tolist()
-        if not starts:
+        at = opened(cols)
+        goes_on = waiting and all(waiting[-1].column(k)[-1].as_py() == c[0] for k, c in zip(keys, cols, strict=True))
+        if goes_on and len(at) == 1:
             waiting.append(batch)
             continue
-        done = []
-        if waiting or starts[0]:
-            done.append(pa.Table.from_batches([*waiting, batch.slice(0, starts[0])]).combine_chunks())
-        done += [pa.Table.from_batches([batch.slice(i, j - i)]) for i, j in zip(starts, starts[1:], strict=False)]
-        waiting = [batch.slice(starts[-1])]
-        yield done
+        if waiting or len(at) > 1:
+            whole = pa.Table.from_batches([*waiting, batch.slice(0, at[-1])]).combine_chunks()
+            yield whole, opened([whole[k].to_numpy() for k in keys])
+        waiting = [batch.slice(at[-1])]
     if waiting:
-        yield [pa.Table.from_batches(waiting).combine_chunks()]
+        yield pa.Table.from_batches(waiting).combine_chunks(), np.zeros(1, np.int64)
+
 
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str,
+               together: bool = False) -> DataFrame:
+    """``fn`` over each group of equal non-null integer ``keys``; many small groups share an Arrow batch.
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``fn`` over each group of equal non-null integer ``keys``; many small groups share an Arrow batch."""
+    ``together``: ``fn`` takes several whole groups at once.
+    """
     def run(batches):
-        for groups in sorted_groups(batches, keys):
-            for b in pa.concat_tables([fn(g) for g in groups]).combine_chunks().to_batches():
-                yield b
+        for whole, at in complete_groups(batches, keys):
+            ends = [*at[1:].tolist(), len(whole)]
+            out = [fn(whole)] if together else [fn(whole.slice(i, j - i)) for i, j in zip(at.tolist(), ends, strict=True)]
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
