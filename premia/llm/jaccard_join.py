@@ -293,7 +293,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b")], names=["a", "b"]).filter(
                 pa.array(ok, pa.bool_()))
 
-    s = sets.select("id", "shingles")
+    pairs = materialise(pairs, "jaccard-pairs")
+    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
+    s = sets.select("id", "shingles").join(bounded(ids), "id", "left_semi")
     rows = pairs.join(s.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
         s.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from premia.llm import jaccard_join, langid, suffix_dedup
+from premia.llm import decontaminate, jaccard_join, langid, suffix_dedup
 
 
 def registry() -> dict:
     return {
+        "op8_decontamination": (decontaminate.op8_decontamination, None),
         "op2_suffix_dedup": (suffix_dedup.op2_suffix_dedup, suffix_dedup.ORACLE_SQL),
         "op3_jaccard_join": (jaccard_join.op3_jaccard_join, jaccard_join.ORACLE_SQL),
         "op10_language_id": (langid.op10_language_id, None),

@@ -12,12 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20          # bytes hashed at once
-BATCH = 8 << 20          # bytes of text handled together
+PIECE = 1 << 20          # bytes hashed at once
+BATCH = 3 << 20          # bytes of text handled together
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,9 +67,9 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch: ``hash``, byte ``start``/``end`` (within the batch), ``off``: first word of each text."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SEP):
         n = len(data)
-        sep = _SEP[data]
+        sep = separators[data]
         word = ~sep
         first = word.copy()
         first[1:] &= sep[:-1]
