@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from premia.llm import decontaminate, jaccard_join, langid, suffix_dedup
+from premia.llm import decontaminate, jaccard_join, langid, packing, suffix_dedup, warc
 
 
 def registry() -> dict:
     return {
+        "op4_packing": (packing.op4_packing, None),
+        "op5_warc": (warc.op5_warc, None),
         "op8_decontamination": (decontaminate.op8_decontamination, None),
         "op2_suffix_dedup": (suffix_dedup.op2_suffix_dedup, suffix_dedup.ORACLE_SQL),
         "op3_jaccard_join": (jaccard_join.op3_jaccard_join, jaccard_join.ORACLE_SQL),
