@@ -23,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -45,6 +46,8 @@ _PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, p
            "sequence_id long, offset long")
 _SPACE = re.compile(r" (?:\s|\Z)")
 _BREAK = re.compile(r" (?=\S)")
+# The byte-level pre-tokenizer's pattern (fixed value).
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
@@ -61,27 +64,62 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        tokens = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(tokens.values()) + 1, bool)      # tokens that begin with a space
+        self.opens[[i for t, i in tokens.items() if t[0] == "\u0120"]] = True
+
+        self.by_rank = self._ranked(path, tokens)
+
+    def _ranked(self, path: str, tokens: dict[str, int]):
+        """The same encoding by token ranks, several times faster on new words.
+
+        None unless it must give the same ids: byte-level BPE without a normaliser, every merge's
+        result numbered in the order of the merges, after the single bytes.
+        """
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        plain = (model["type"] == "BPE" and not spec["normalizer"] and split.get("type") == "ByteLevel"
+                 and split.get("use_regex", True) and not split.get("add_prefix_space") and not model.get("ignore_merges")
+                 and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        if not plain or any(tokens.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+            return None
+        import tiktoken
+        # Byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for 256, 257, ...
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in tokens.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids(self, text: str) -> bytes:
+        if self.by_rank:
+            return array("I", self.by_rank.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words, each taken with a space before it; those without inner spaces are encoded in one text."""
+        plain = [w for w in words if w and " " not in w]
+        if plain:
+            raw = self._ids(" " + " ".join(plain))
+            at = (np.flatnonzero(self.opens[np.frombuffer(raw, np.uint32)]) * 4).tolist()
+            self.cache.update(zip(plain, (raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        self.cache.update((w, self._ids(" " + w)) for w in words if not w or " " in w)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         words = _BREAK.split(text) if _SPACE.search(text) else text.split(" ")
-        if text[0] == " " and not words[0]:
-            first, rest = b"", words[1:]
-        else:
-            first, rest = self._encode(words[:1])[0], words[1:]
-        got = list(map(self.cache.get, rest))
-        if None in got:
-            new = list({w for w, x in zip(rest, got, strict=True) if x is None})
-            code = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
-            if len(self.cache) < CACHE:
-                self.cache.update(code)
-            got = [code[w] if x is None else x for w, x in zip(rest, got, strict=True)]
-        return first + b"".join(got)
+        first = self._ids(words[0]) if words[0] else b""
+        del words[0]
+        new = list(set(words).difference(self.cache))
+        if new:
+            self._learn(new)
+        out = first + b"".join(map(self.cache.__getitem__, words))
+        if len(self.cache) > CACHE:
+            for w in new:
+                del self.cache[w]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
