@@ -2,15 +2,16 @@
 
 The benchmark's items are the indexed documents, every passage of the training
 texts is a query. A word is a run of ASCII letters and digits and non-ASCII
-characters, ASCII lower-cased. A passage is two cells of as many words as the
-longest item has, starting at every cell, so an item lies whole in some passage.
+characters, ASCII lower-cased. Items are put in classes of length ratio 2. A class's
+passages are two cells of as many words as its longest item has, starting at every
+cell, so an item lies whole in some passage.
 
 Retrieval is exact: all items whose BM25 score reaches ``SHARE`` of their score
 with themselves. Items are put in blocks; the index holds each term's largest
-impact per block. Terms of little impact, which together cannot reach any item's
-threshold, are not essential: passages without an essential term are skipped. For
-the others a block is scored only if the block maxima of the passage's essential
-terms, plus all that other terms could add, reach the block's lowest threshold.
+impact per block. Of each block the commonest terms, as many as together stay under
+half of the block's lowest threshold, are not essential: they cannot make a match
+alone. A block is scored for a passage only if the maxima of the essential terms that
+the passage holds, plus all that the others could add, reach the lowest threshold.
 
 A retrieved item is verified on 5-word shingles: its last sentence is its answer
 and the rest its question (an item of one sentence is a question). The document
@@ -39,10 +40,10 @@ from premia.llm import textops
 from premia.llm.common import bounded, materialise
 
 K1, B = 1.2, 0.75
-SHARE = 0.5
+SHARE = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK = 16
+BLOCK = 4
 SLICE = 1_000_000
 _ITEM_SCHEMA = "item_id long, row long, n long, terms array<long>, tf array<long>, question array<long>, answer array<long>"
 
@@ -91,8 +92,8 @@ def item_rows(items: DataFrame) -> DataFrame:
 class Index:
     """BM25 impacts of a slice of the items, by term, with block maxima and the essential terms."""
 
-    def __init__(self, items: list, df: dict[int, int], count: int, mean: float, cell: int):
-        self.cell = cell
+    def __init__(self, items: list, df: dict[int, int], count: int, mean: float):
+        self.cell = max(r["n"] for r in items)
         self.ids = np.array([r["item_id"] for r in items])
         self.question = [np.array(r["question"], np.int64).view(np.uint64) for r in items]
         self.answer = [np.array(r["answer"], np.int64).view(np.uint64) for r in items]
@@ -111,17 +112,21 @@ class Index:
         new = np.append(True, (block[1:] != block[:-1]) | (t[order][1:] != t[order][:-1]))
         at = np.flatnonzero(new)
         self.block, self.block_max = block[at], np.maximum.reduceat(self.impact, at)
-        self.block_first = np.searchsorted(t[order][at], np.arange(len(self.terms) + 1))
         blocks = int(block.max()) + 1
         self.block_low = np.minimum.reduceat(self.threshold, np.arange(blocks) * BLOCK)
-        top = np.maximum.reduceat(self.impact, self.first[:-1])
-        by = np.argsort(top, kind="stable")
-        idle = by[np.cumsum(top[by]) < self.threshold.min() * 0.999]
-        self.essential = np.ones(len(self.terms), bool)
-        self.essential[idle] = False
-        self.idle_most = np.zeros(blocks)       # all that terms that are not essential can add
-        x = ~self.essential[t[order][at]]
-        np.add.at(self.idle_most, self.block[x], self.block_max[x])
+        # Postings of block maxima, commonest terms first: idle while they stay under half the threshold.
+        tt = t[order][at]
+        often = np.array([df[x] for x in self.terms.view(np.int64).tolist()])[tt]
+        by = np.lexsort((self.block_max, -often, self.block))
+        run = np.cumsum(self.block_max[by])
+        begin = np.flatnonzero(np.append(True, self.block[by][1:] != self.block[by][:-1]))
+        before = np.repeat((run - self.block_max[by])[begin], np.diff(np.append(begin, len(by))))
+        idle = np.zeros(len(by), bool)
+        idle[by] = run - before < 0.5 * self.block_low[self.block[by]]
+        self.idle_most = np.bincount(self.block[idle], self.block_max[idle], blocks)
+        self.block, self.block_max, tt = self.block[~idle], self.block_max[~idle], tt[~idle]
+        self.block_first = np.searchsorted(tt, np.arange(len(self.terms) + 1))
+        self.essential = self.block_first[1:] > self.block_first[:-1]
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -151,12 +156,18 @@ class Index:
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Score of every item for the distinct terms of a passage."""
-        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
+        per = self.first[terms + 1] - self.first[terms]
+        at = np.repeat(self.first[terms] - np.cumsum(per) + per, per) + np.arange(per.sum())
         return np.bincount(self.item[at], self.impact[at], len(self.ids))
 
 
-def search_batch(index: Index, b: pa.RecordBatch) -> list[tuple]:
+def search_batch(indexes: list[Index], b: pa.RecordBatch) -> list[tuple]:
     w = textops.Words(*textops.text_buffers(b.column("text")), textops.NOT_ALNUM)
+    return [x for index in indexes for x in search_words(index, w)]
+
+
+def search_words(index: Index, w: textops.Words) -> list[tuple]:
+    """(text, item id, passage start and end, score, question and answer overlap) of a batch's verified matches."""
     term = index.find(w.hash)
     hit = np.flatnonzero(term >= 0)
     if not len(hit):
@@ -171,8 +182,11 @@ def search_batch(index: Index, b: pa.RecordBatch) -> list[tuple]:
     terms = np.concatenate([term[hit], term[hit][back]])
     found, block = index.candidates(terms, passage)
     out = []
-    for p in np.unique(found).tolist():
-        blocks = block[found == p]
+    if not len(found):
+        return []
+    first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    for x0, x1 in zip(first.tolist(), [*first[1:].tolist(), len(found)], strict=True):
+        p, blocks = int(found[x0]), block[x0:x1]
         i = int(np.searchsorted(base, p, "right")) - 1
         lo = w.off[i] + (p - base[i]) * index.cell
         hi = min(lo + 2 * index.cell, w.off[i + 1])
@@ -210,7 +224,7 @@ _HIT_SCHEMA = ("doc_id long, item_id long, start_word long, end_word long, score
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per contaminated document and item, with the best passage (most score, then the first)."""
     rows = materialise(item_rows(items), "bench-items")
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"), F.max("n").alias("cell")).first()
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
     spark = docs.sparkSession
     if not stats["n"]:
         return spark.createDataFrame([], _HIT_SCHEMA)
@@ -225,8 +239,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         chosen = sorted(some.collect(), key=lambda r: (r["n"], r["item_id"], r["row"]))   # SLICE values at most
         if not chosen:
             continue
-        index = Index(chosen, {r["t"]: r["df"] for r in known.collect()}, stats["n"], stats["mean"], stats["cell"])
-        shared = spark.sparkContext.broadcast(index)
+        of = {r["t"]: r["df"] for r in known.collect()}
+        classes: dict[int, list] = {}
+        for r in chosen:
+            classes.setdefault((r["n"] - 1).bit_length(), []).append(r)
+        indexes = [Index(c, of, stats["n"], stats["mean"]) for c in classes.values()]
+        shared = spark.sparkContext.broadcast(indexes)
 
         def run(batches, shared=shared):
             for whole in batches:
