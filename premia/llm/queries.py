@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from premia.llm import decontaminate, jaccard_join, langid, packing, suffix_dedup, warc
+import corpus_pipeline
+from premia.llm import decontaminate, jaccard_join, langid, packing, quality, suffix_dedup, toxicity, warc
 
 
 def registry() -> dict:
     return {
+        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
+        "op1_quality": (quality.op1_quality, None),
+        "op7_toxicity": (toxicity.op7_toxicity, None),
         "op4_packing": (packing.op4_packing, None),
         "op5_warc": (warc.op5_warc, None),
         "op8_decontamination": (decontaminate.op8_decontamination, None),
