@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from premia.llm import decontaminate, jaccard_join, langid, packing, quality, suffix_dedup, toxicity, warc
+from premia.llm import (
+    decontaminate,
+    embedding_dedup,
+    jaccard_join,
+    langid,
+    license_scan,
+    packing,
+    quality,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 
 
 def registry() -> dict:
     return {
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
         "op1_quality": (quality.op1_quality, None),
+        "op6_license_scan": (license_scan.op6_license_scan, None),
+        "op9_embedding_dedup": (embedding_dedup.op9_embedding_dedup, embedding_dedup.ORACLE_SQL),
         "op7_toxicity": (toxicity.op7_toxicity, None),
         "op4_packing": (packing.op4_packing, None),
         "op5_warc": (warc.op5_warc, None),
