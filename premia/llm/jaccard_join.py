@@ -8,9 +8,9 @@ shingles. Sets are put in size bands of ratio 1.5 (a set near the upper end also
 goes to the next band); a band's hash space is cut into more slices than two of
 its sets may differ in, so linked sets agree on ``spare`` + 1 whole slices or more. A subtree of the
 forest holds the sets that agree on a slice: its key is (band, slice, digest of
-the slice). A set with at most ``spare`` slices of fewer than ``WEAK`` shingles needs no
-subtree for those, as its partners agree with it on another slice; a set with
-more of them keeps them all. Subtrees with the same members are built once, and
+the slice). A set with at most ``spare`` weak slices (of few shingles) needs no subtree
+for those, as its partners agree with it on another slice; a set with more of them
+keeps them all. Subtrees with the same members are built once, and
 sets that are equal are one member.
 
 Trees. The members of a subtree are sorted into leaves of ``FANOUT`` and upper
@@ -42,17 +42,20 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import exp
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from premia.llm import textops
-from premia.llm.common import bounded, components, map_groups, materialise
+from premia.llm.common import bounded, components, discard, map_groups, materialise
 
 FANOUT = 8
 BLOCK = 2048
-WEAK = 3
+WEAK = 3                  # slices of fewer shingles may be weak; fewer still where slices are small
 SETS_SCHEMA = "doc_id long, n long, d1 long, d2 long, keys array<long>"
 
 
@@ -66,12 +69,23 @@ def _bands() -> list[int]:
 _LOWS = np.array(_bands(), np.int64)
 
 
-def slices(band: int, percent: int) -> tuple[int, int]:
-    """Hash slices of a band, and how many of them are spare: linked sets agree on one more at least."""
+@lru_cache(maxsize=None)
+def slices(band: int, percent: int) -> tuple[int, int, int]:
+    """Hash slices of a band, how many of them are spare, and the size under which a slice is weak.
+
+    Linked sets agree on one slice more than are spare. A slice is weak below the largest
+    size, WEAK at most, that the band's smallest sets have in fewer slices than are spare.
+    """
     high = int(_LOWS[band + 1]) - 1
     differ = (100 - percent) * 2 * high // (100 + percent)
-    spare = 1 + differ // 8 if differ else 0
-    return differ + spare + 1, spare
+    spare = 1 + differ // 6 if differ else 0
+    k = differ + spare + 1
+    mean = int(_LOWS[band]) * percent / 100 / k
+    below, term, weak = 0.0, exp(-mean), 0
+    while weak < WEAK and (weak == 0 or below + term <= 0.8 * spare / k):
+        below, weak = below + term, weak + 1
+        term *= mean / weak
+    return k, spare, weak
 
 
 def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -82,13 +96,13 @@ def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
     code = textops.mix(s)
     total = np.concatenate([[np.uint64(0)], np.cumsum(code, dtype=np.uint64)])
     for b in bands:
-        k, spare = slices(b, percent)
+        k, spare, size = slices(b, percent)
         if k == 1:      # linked sets of this band are equal, hence one member already
             continue
         cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32), np.arange(k + 1, dtype=np.uint64))
         tag = np.arange(k, dtype=np.uint64) + np.uint64(b << 44)
         keys = textops.mix(textops.mix(tag) + (total[cut[1:]] - total[cut[:-1]]))
-        weak = np.diff(cut) < WEAK
+        weak = np.diff(cut) < size
         out.append(keys if weak.sum() > spare else keys[~weak])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -125,25 +139,38 @@ def bitmap_bytes(n: int) -> int:
     return 1 << max(5, int(4 * n - 1).bit_length() - 3)
 
 
-def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``(id, n, bits, shingles)`` of the documents in ``ids(id)``; shingles are sorted 64-bit hashes."""
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").join(bounded(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+
+
+def bitmap_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``(id, n, bits)`` of the documents in ``ids(id)``."""
     def run(batches):
         for whole in batches:
             for b in textops.pieces(whole):
-                n, bits, raw = [], [], []
+                n, bits = [], []
                 for s in textops.shingle_sets(b.column("text"), words):
                     n.append(len(s))
-                    raw.append(s.tobytes())
                     width = bitmap_bytes(len(s))
                     flags = np.zeros(width * 8, np.uint8)
                     flags[(textops.mix(s) & np.uint64(width * 8 - 1)).astype(np.int64)] = 1
                     bits.append(np.packbits(flags, bitorder="little").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()),
-                                                  pa.array(bits, pa.binary()), pa.array(raw, pa.binary())],
-                                                 names=["id", "n", "bits", "shingles"])
+                                                  pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+
+    return _of_ids(docs, ids).mapInArrow(run, "id long, n long, bits binary")
+
+
+def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``(id, shingles)`` of the documents in ``ids(id)``: sorted 64-bit hashes."""
+    def run(batches):
+        for whole in batches:
+            for b in textops.pieces(whole):
+                raw = [s.tobytes() for s in textops.shingle_sets(b.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(raw, pa.binary())],
+                                                 names=["id", "shingles"])
 
-    wanted = docs.select("doc_id", "text").join(bounded(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id long, n long, bits binary, shingles binary")
+    return _of_ids(docs, ids).mapInArrow(run, "id long, shingles binary")
 
 
 class SignatureTree:
@@ -280,7 +307,7 @@ def cross_pairs(group: pa.Table, percent: int, best: bool = False) -> pa.Table:
     return _pairs_table(out)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that link, by their full sets."""
     def run(batches):
         for p in batches:
@@ -295,10 +322,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     pairs = materialise(pairs, "jaccard-pairs")
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    s = sets.select("id", "shingles").join(bounded(ids), "id", "left_semi")
+    s = materialise(set_table(docs, ids, words), "jaccard-sets")
     rows = pairs.join(s.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
         s.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    links = materialise(rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(s)
+    return links
 
 
 def cross_candidates(rows: DataFrame, comp: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -329,30 +358,34 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     reps = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = materialise(table.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "jaccard-members")
-    own = member.where("doc_id = rep").select("doc_id").distinct()
-    routed = materialise(some.where(F.size("keys") > 0).select("doc_id", "keys").join(own, "doc_id").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "jaccard-routed")
+    copies = bounded(materialise(member.where("n > 0 and doc_id > rep").select("doc_id").distinct(), "jaccard-copies"))
+    routed = some.where(F.size("keys") > 0).select("doc_id", "keys").join(copies, "doc_id", "left_anti").select(
+        F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
 
     # Subtrees of two members or more; of subtrees with the same members, one.
-    trees = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("m"),
-                                      F.sum(F.pmod(F.xxhash64("id"), F.lit((1 << 31) - 1))).alias("h1"),
-                                      F.sum(F.pmod(F.xxhash64("id", F.lit(7)), F.lit((1 << 31) - 1))).alias("h2"))
-    trees = materialise(trees.where("c > 1").groupBy("c", "m", "h1", "h2").agg(F.min("key").alias("key")).select(
-        "key", "c"), "jaccard-trees")
-    rows = materialise(routed.join(bounded(trees), "key"), "jaccard-rows")
+    several = materialise(routed.groupBy("key").count().where("count > 1").select("key"), "jaccard-several")
+    rows = materialise(routed.join(bounded(several), "key"), "jaccard-routed")
+    discard(table)
+    trees = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("m"),
+                                    F.sum(F.pmod(F.xxhash64("id"), F.lit((1 << 31) - 1))).alias("h1"),
+                                    F.sum(F.pmod(F.xxhash64("id", F.lit(7)), F.lit((1 << 31) - 1))).alias("h2"))
+    trees = materialise(trees.groupBy("c", "m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "c"),
+                        "jaccard-trees")
+    rows = materialise(rows.join(bounded(trees), "key"), "jaccard-rows")
+    texts = docs.where("doc_id is not null")
     ids = materialise(rows.select("id").distinct(), "jaccard-ids")
-    sets = materialise(set_table(docs.where("doc_id is not null"), ids, words), "jaccard-sets")
-    bits = sets.select("id", "n", "bits")
+    bits = materialise(bitmap_table(texts, ids, words), "jaccard-bits")
 
     largest = rows.groupBy("id").agg(F.max(F.struct("c", "key")).alias("t")).select("id", "t.c", "t.key")
     blocks = F.ceil(F.col("c") / BLOCK)
     stage1 = map_groups(largest.join(bits, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks)),
                         ["key", "block"], lambda group: first_partners(group, percent), "a long, b long")
-    links = materialise(verify(stage1.distinct(), sets, percent), "jaccard-links")
+    links = verify(stage1.distinct(), texts, words, percent)
 
     comp = components(links)
     for best in (True, False):
         more = cross_candidates(rows, comp, bits, percent, best)
-        links = links.unionByName(materialise(verify(more, sets, percent), "jaccard-links"))
+        links = links.unionByName(verify(more, texts, words, percent))
         comp = components(links)
     return member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

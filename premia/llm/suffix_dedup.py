@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from premia.llm import textops
-from premia.llm.common import bounded, map_groups, materialise
+from premia.llm.common import bounded, discard, map_groups, materialise
 
 MIN_WORDS = 50
 GRAM = 20
@@ -201,11 +201,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     starts = materialise(suffix_starts(docs.join(copies, "doc_id", "left_anti"), min_words), "suffix-starts")
     shared = materialise(starts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "suffix-shared")
     kept = materialise(starts.join(bounded(shared), "h"), "suffix-kept")
+    discard(starts)
     per_doc = kept.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("pos", "first", "last", "h")).alias("starts"))
     wanted = bounded(materialise(kept.select("doc_id").distinct(), "suffix-docs"))
     texts = docs.join(wanted, "doc_id", "left_semi")
     around = materialise(contexts(texts.join(per_doc, "doc_id").select("doc_id", "text", "starts"), min_words),
                          "suffix-contexts")
+    discard(kept)
     hot = F.broadcast(shared.where(F.col("c") > HOT).select("h")) if shared.where(F.col("c") > HOT).count() <= 100_000 \
         else shared.where(F.col("c") > HOT).select("h")
     spans = map_groups(around.join(hot, "h", "left_anti"), ["h"], lambda g: compare_suffixes(g, min_words),
