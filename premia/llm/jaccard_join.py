@@ -139,6 +139,30 @@ def bitmap_bytes(n: int) -> int:
     return 1 << max(5, int(4 * n - 1).bit_length() - 3)
 
 
+def shared_keys(routed: DataFrame) -> DataFrame:
+    """The rows ``(id, key)`` whose key has more than one, by one shuffle; a task streams its sorted
+    rows and holds one batch, however many rows a key has."""
+    def run(batches):
+        held = None                # the last row so far and whether its key came before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, keys = (b.column(c).to_numpy() for c in ("id", "key"))
+            before = np.append(False, keys[1:] == keys[:-1])
+            if held:
+                ids, keys = np.append(held[0], ids), np.append(held[1], keys)
+                before = np.concatenate([[held[2]], [keys[0] == keys[1]], before[1:]])
+            keep = before | np.append(keys[1:] == keys[:-1], False)
+            keep[-1] = False
+            held = (ids[-1], keys[-1], bool(before[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(keys[keep])], names=["id", "key"])
+        if held and held[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())],
+                                             names=["id", "key"])
+
+    return routed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, key long")
+
+
 def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(bounded(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
 
@@ -363,8 +387,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
 
     # Subtrees of two members or more; of subtrees with the same members, one.
-    several = materialise(routed.groupBy("key").count().where("count > 1").select("key"), "jaccard-several")
-    rows = materialise(routed.join(bounded(several), "key"), "jaccard-routed")
+    rows = materialise(shared_keys(routed), "jaccard-routed")
     discard(table)
     trees = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("m"),
                                     F.sum(F.pmod(F.xxhash64("id"), F.lit((1 << 31) - 1))).alias("h1"),
