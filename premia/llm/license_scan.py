@@ -9,7 +9,7 @@ gaps between are aligned in the same way. Coverage is the share of the template'
 that are aligned.
 
 Whole texts are searched. Result: one row per notice found; where regions overlap, the
-one of most coverage (then the longest, the first, the first by name) stays. Cases: null, empty and wordless texts and null ids give none; repeated
+one of most aligned words (then coverage, the first, the first by name) stays. Cases: null, empty and wordless texts and null ids give none; repeated
 rows repeat theirs; no documents give none. Other columns are ignored.
 """
 
@@ -106,12 +106,12 @@ def notices(h: np.ndarray, templates: dict[str, np.ndarray]) -> list[tuple]:
             pairs = align(t.tolist(), h[s:s + 2 * len(t)].tolist())
             if pairs and pairs[0][1] == 0 and len(pairs) >= need:
                 free = s + pairs[-1][1] + 1
-                out.append((name, len(pairs) / len(t), s, free))
+                out.append((name, len(pairs) / len(t), s, free, len(pairs)))
     best: list[tuple] = []
-    for x in sorted(out, key=lambda x: (-x[1], x[2] - x[3], x[2], x[0])):
+    for x in sorted(out, key=lambda x: (-x[4], -x[1], x[2], x[0])):
         if all(x[3] <= y[2] or y[3] <= x[2] for y in best):
             best.append(x)
-    return sorted(best, key=lambda x: x[2:])
+    return [x[:4] for x in sorted(best, key=lambda x: x[2:])]
 
 
 _SCHEMA = "doc_id long, license string, coverage double, start_word long, end_word long"
