@@ -52,7 +52,7 @@ class PremiumAnalytics:
         forecast = read_budget_csv(spark, forecast_csv, "forecast")
         calendar = read_budget_csv(spark, calendar_csv, "calendar") if calendar_csv else None
         pa = cls(fact, plan, forecast, calendar, view.read(spark), **years)
-        pa.view = view
+        pa.view, pa.fact_path = view, path
         return pa
 
     def refresh_monthly_view(self, months: list) -> "PremiumAnalytics":
@@ -61,8 +61,10 @@ class PremiumAnalytics:
         view = getattr(self, "view", None)
         if view is None:
             raise ValueError("No materialised monthly view: load with from_csv")
+        spark = self.fact.sparkSession
+        self.fact = read_fact(spark, self.fact_path, self.fact.schema)   # a new file list: appended files count
         view.refresh(self.fact, [as_date(m).replace(day=1) for m in months])
-        self.monthly = view.read(self.fact.sparkSession)
+        self.monthly = view.read(spark)
         return self
 
     @classmethod

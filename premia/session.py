@@ -41,13 +41,14 @@ def build_session(master: str = "local[8]", app: str = "premia", shuffle_partiti
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when unset (local tests) is a folder of our own set.
+    Only a local master, whose driver and executors are one process, may go without
+    the setting; it gets a folder of its own.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="premia-ckpt-")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir is not set: written tables need a folder that all executors share")
+        path = os.path.join(tempfile.gettempdir(), f"premia-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -55,9 +56,4 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh location under the shared folder for a written table."""
-    base = shared_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
-    return f"{base.rstrip('/')}/premia/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark).rstrip('/')}/premia/{name}-{uuid.uuid4().hex[:12]}"

@@ -21,18 +21,18 @@ def write_report_csv(result: DataFrame, path: str) -> None:
     ``coalesce(1)`` funnels rows into one writer task, so this is for report-sized
     results (grouped rows, at most one per group), never for the fact itself.
     """
-    result.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    result.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_csv(df: DataFrame, path: str, source_names: bool = False) -> None:
     """Distributed CSV (one part file per task), header on every part; the
     reader binds columns by header name, so part order does not matter."""
     out = to_source_names(df) if source_names else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -11,16 +11,31 @@ from .schema import (CALENDAR_SCHEMA, FORECAST_SCHEMA, PARTITION_COLUMN, PLAN_SC
                      WRITTEN_DETAILS_COLUMNS, written_details_schema)
 
 
+# COPY-like CSV: doubled quotes and line ends inside quoted fields, malformed rows are
+# errors. Line ends in fields make a file unsplittable, so large loads want many files.
+CSV_OPTIONS = {"header": True, "enforceSchema": False, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
+
+
 class SchemaError(ValueError):
     pass
 
 
 def _csv_header(spark: SparkSession, path: str) -> list[str]:
     # The header is the first line of the first file; reading it needs one tiny task.
-    first = spark.read.option("header", False).csv(path).limit(1).collect()
+    first = spark.read.options(**CSV_OPTIONS | {"header": False, "enforceSchema": True}).csv(path).limit(1).collect()
     if not first:
         raise SchemaError(f"Empty input: {path}")
-    return [c for c in first[0] if c is not None]
+    return [c if c is not None else f"_c{i}" for i, c in enumerate(first[0])]
+
+
+def _read_named(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """All columns as text under the header's names; the files of a folder share one column order."""
+    header = _csv_header(spark, path)
+    missing = sorted(set(wanted) - set(header))
+    if missing:
+        raise SchemaError(f"Missing columns in {path}: {missing}")
+    return (spark.read.options(**CSV_OPTIONS)
+            .schema(T.StructType([T.StructField(h, T.StringType()) for h in header])).csv(path))
 
 
 def read_written_details_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -30,14 +45,7 @@ def read_written_details_csv(spark: SparkSession, path: str) -> DataFrame:
     PATH_NOT_FOUND; a header lacking a known column raises ``SchemaError``.
     Columns are renamed to engine names once, here.
     """
-    header = _csv_header(spark, path)
-    known = {src for src, _, _ in WRITTEN_DETAILS_COLUMNS}
-    missing = [c for c in known if c not in header]
-    if missing:
-        raise SchemaError(f"Missing columns in {path}: {sorted(missing)}")
-    raw = (spark.read.option("header", True).option("enforceSchema", False)
-           .schema(T.StructType([T.StructField(h, T.StringType()) for h in header]))
-           .csv(path))
+    raw = _read_named(spark, path, [src for src, _, _ in WRITTEN_DETAILS_COLUMNS])
     return raw.select(*[F.col(f"`{src}`").cast(typ).alias(eng) for src, eng, typ in WRITTEN_DETAILS_COLUMNS])
 
 
@@ -49,7 +57,10 @@ def to_source_names(df: DataFrame) -> DataFrame:
 
 def read_budget_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
     schema = {"plan": PLAN_SCHEMA, "forecast": FORECAST_SCHEMA, "calendar": CALENDAR_SCHEMA}[kind]
-    return spark.read.option("header", True).schema(schema).csv(path)
+    raw = _read_named(spark, path, schema.fieldNames())
+    # An ANSI cast: text that is not of the column's type is an error.
+    typed = [F.expr(f"cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name) for f in schema.fields]
+    return raw.select(*typed)
 
 
 def write_fact(fact: DataFrame, path: str) -> None:
@@ -65,7 +76,8 @@ def write_fact(fact: DataFrame, path: str) -> None:
         fact = fact.withColumn(PARTITION_COLUMN, F.trunc("report_date", "month"))
     (fact.hint("rebalance", PARTITION_COLUMN)
          .sortWithinPartitions(PARTITION_COLUMN, "report_date")
-         .write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(path))
+         .write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy(PARTITION_COLUMN).parquet(path))
 
 
 def read_fact(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -2,25 +2,30 @@
 
 A landing folder receives CSV chunks (source column names, header per file) over
 time. The stream binds columns by name, types them, adds the report-month
-partition column and appends to the partitioned Parquet fact. The file sink and
-the checkpoint (in the shared folder) make each chunk land exactly once, also
-after a failed or lost executor; ``availableNow`` processes what has arrived and
-stops, so the same job serves batch back-fills and scheduled increments.
+partition column and appends plain Parquet files to the partitioned fact, next to
+those of a batch load. A micro-batch is first written to a folder of its own that
+readers ignore, then its files are renamed into the table; a batch that is run
+again only moves what is left, so each chunk lands exactly once. ``availableNow``
+processes what has arrived and stops, so the same job serves batch back-fills and
+scheduled increments. All landing files share one column order.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.schema import PARTITION_COLUMN, WRITTEN_DETAILS_COLUMNS
+from ..sources.written_details import CSV_OPTIONS
 
 
 def written_details_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     raw_schema = T.StructType([T.StructField(src, T.StringType()) for src, _, _ in WRITTEN_DETAILS_COLUMNS])
-    reader = spark.readStream.schema(raw_schema).option("header", True).option("enforceSchema", False)
+    reader = spark.readStream.schema(raw_schema).options(**CSV_OPTIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(landing_dir)
@@ -28,21 +33,46 @@ def written_details_stream(spark: SparkSession, landing_dir: str, max_files_per_
     return typed.withColumn(PARTITION_COLUMN, F.trunc("report_date", "month"))
 
 
+class _Append:
+    """``foreachBatch`` target: stages a batch, then renames its files into the table."""
+
+    def __init__(self, table_path: str, checkpoint_path: str):
+        stream = hashlib.sha256(checkpoint_path.encode()).hexdigest()[:16]
+        self.table, self.staged, self.rows = table_path.rstrip("/"), f"_staged/{stream}", 0
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path
+        stage = f"{self.table}/{self.staged}/{batch_id}"
+        fs = path(stage).getFileSystem(conf)
+        if not fs.exists(path(f"{stage}/_SUCCESS")):
+            batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+                PARTITION_COLUMN).parquet(stage)
+            self.rows += spark.read.schema(batch.schema).parquet(stage).count()
+        for folder in fs.listStatus(path(stage)):
+            if folder.isDirectory():
+                target = path(f"{self.table}/{folder.getPath().getName()}")
+                fs.mkdirs(target)
+                for f in fs.listStatus(folder.getPath()):
+                    if not fs.rename(f.getPath(), path(target, f.getPath().getName())):
+                        raise OSError(f"cannot move {f.getPath()} to {target}")
+
+
 def ingest(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_path: str,
-           max_files_per_trigger: int | None = None) -> StreamingQuery:
+           max_files_per_trigger: int | None = None, append: _Append | None = None) -> StreamingQuery:
     """Start an ``availableNow`` stream from the landing folder into the fact table."""
     stream = written_details_stream(spark, landing_dir, max_files_per_trigger)
-    return (stream.writeStream.format("parquet")
+    return (stream.writeStream.foreachBatch(append or _Append(table_path, checkpoint_path))
             .option("checkpointLocation", checkpoint_path)
-            .partitionBy(PARTITION_COLUMN)
             .outputMode("append")
             .trigger(availableNow=True)
-            .start(table_path))
+            .start())
 
 
 def ingest_available(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_path: str) -> int:
     """Run the stream over everything that has arrived and wait for it; returns the
-    number of input rows processed in this run."""
-    q = ingest(spark, landing_dir, table_path, checkpoint_path)
-    q.awaitTermination()
-    return sum(p.get("numInputRows", 0) for p in q.recentProgress)
+    number of rows appended in this run."""
+    append = _Append(table_path, checkpoint_path)
+    ingest(spark, landing_dir, table_path, checkpoint_path, append=append).awaitTermination()
+    return append.rows
