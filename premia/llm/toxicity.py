@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 40_000
+SAMPLE = 20_000
 MIN_DOCS, MIN_WEIGHT, MAX_TERMS, MAX_PHRASES = 5, 1.5, 2000, 4000
 LENGTH = 200
 # Look-alikes of Latin letters (fixed values): Cyrillic, Greek, then digits and signs inside words.
