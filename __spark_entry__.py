@@ -21,6 +21,7 @@ from premia.operators import quality as Q
 from premia.operators import narrative as N
 from premia.operators import rollup as R
 from premia.operators import transforms as X
+from premia.functions import classify as CL
 from premia.functions import formats as FM
 from premia.plans.period import Period
 from premia.sources import fixture as FX
@@ -206,6 +207,7 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
     for key, cols in classifiers.items():
         reg[key] = ((lambda cols: lambda s, d: _t(s, d).fact.groupBy(*cols).agg(F.count(F.lit(1)).alias("row_count")))(cols),
                     O.q_channel_key() if key == "channel_key" else O.q_classifier(cols))
+    reg["derive_flags"] = (lambda s, d: _flags(_t(s, d).fact), O.q_derive_flags())
     refresh = {
         "refresh_kpi_snapshot_range": (lambda r: r.kpi_snapshot(), O.q_kpi_snapshot_range(*FX.FULL_RANGE)),
         "refresh_weekly_performance": (lambda r: r.weekly_performance(), O.q_weekly_range(*FX.FULL_RANGE)),
@@ -257,6 +259,15 @@ def _refresh(spark: SparkSession, sf_dir: str):
     return _REFRESH[key]
 
 
+def _flags(fact: DataFrame) -> DataFrame:
+    """Flags of every row, with the hospital as company and the transaction date as first start date."""
+    rows = fact.select("state", "species", "report_date", F.col("hospital").alias("company"),
+                       F.col("trans_date").alias("first_start_date"))
+    return CL.derive_flags(rows).groupBy(
+        "state", "uw_combined", "feline", "report_month_name", "first_report_month_name", "month_match").agg(
+        F.count(F.lit(1)).alias("row_count"))
+
+
 def _detect(df: DataFrame) -> DataFrame:
     share = FM.date_share(df, "drilldown_group")
     return share.select("date_share", (F.col("date_share") > FM.DATE_SHARE_THRESHOLD).alias("is_date"))

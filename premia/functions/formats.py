@@ -105,7 +105,7 @@ def format_report(df: DataFrame) -> DataFrame:
     """Format the known date / currency / count / percent columns; keep others.
 
     ``drilldown_group`` is shown as ``yyyy-MM-dd`` when more than 80% of its values
-    parse as dates, else as text. For a text column the share is a distributed
+    parse as dates, else as text (a null group as ``None``). For a text column the share is a distributed
     global aggregate used through a scalar subquery (no value reaches the driver).
     """
     cols = {}
@@ -126,7 +126,7 @@ def format_report(df: DataFrame) -> DataFrame:
             share = df.agg(F.struct(F.avg(parsed.isNotNull().cast("double")).alias("share"), *others)
                            .alias("t")).scalar().getField("share")
             cols["drilldown_group"] = F.when(share > F.lit(DATE_SHARE_THRESHOLD),
-                                             F.date_format(parsed, "yyyy-MM-dd")).otherwise(as_text)
+                                             F.date_format(parsed, "yyyy-MM-dd")).otherwise(F.coalesce(as_text, F.lit("None")))
     for c in CURRENCY_COLUMNS:
         if c in df.columns:
             cols[c] = fmt_currency(c)

@@ -9,13 +9,12 @@ two hash-aggregate stages:
 
 Both stages use map-side partial aggregation, so a hot pet, month or channel
 collapses to one row per map task before any shuffle, and no ``Expand`` copies
-rows once per distinct count. Distinct counts are never added across groups:
+the rows of the fact once per distinct count. Distinct counts are never added across groups:
 every grouping is re-aggregated from the fact.
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -86,42 +85,57 @@ def metric_measures(metric: str) -> list:
     return [SumOf("gwp", F.col(AMOUNT)), DistinctPets("unique_pets", not_returned())]
 
 
-DISTINCT_METHOD = os.environ.get("PREMIA_DISTINCT_METHOD", "direct")
+def _per_pet(measures: list) -> list[Column]:
+    """First stage: partial sums and counts, and a 0/1 flag per distinct measure, per (group, pet)."""
+    seen = F.col(PET).isNotNull()
+    out = []
+    for m in measures:
+        if isinstance(m, SumOf):
+            out.append(F.sum(m.value).alias(m.name))
+        elif isinstance(m, DistinctPets):
+            out.append(F.max(F.when(m.condition & seen, F.lit(1)).otherwise(F.lit(0))).alias(m.name))
+        else:
+            out.append(F.count(F.lit(1)).alias(m.name))
+    return out
 
 
-def aggregate(df: DataFrame, dims: dict[str, Column] | None, measures: list,
-              method: str | None = None) -> DataFrame:
+def _per_group(measures: list) -> list[Column]:
+    """Last stage: sums of the sums, and sums of the flags = distinct pets."""
+    zero = F.lit(0).cast("bigint")
+    return [F.sum(m.name).alias(m.name) if isinstance(m, SumOf)
+            else F.coalesce(F.sum(m.name).cast("bigint"), zero).alias(m.name) for m in measures]
+
+
+def aggregate(df: DataFrame, dims: dict[str, Column] | None, measures: list) -> DataFrame:
     """Evaluate ``measures`` per group of ``dims`` (``None``/empty = one global row).
 
     The global form returns one row even on empty input (sums null, counts 0).
     """
-    method = method or DISTINCT_METHOD
     dims = dims or {}
-    dim_cols = [c.alias(n) for n, c in dims.items()]
     names = list(dims)
-    sums = [m for m in measures if isinstance(m, SumOf)]
-    distincts = [m for m in measures if isinstance(m, DistinctPets)]
-    counts = [m for m in measures if isinstance(m, RowCount)]
-
-    if method == "direct":
-        aggs = ([F.sum(m.value).alias(m.name) for m in sums]
-                + [F.count_distinct(F.when(m.condition, F.col(PET))).alias(m.name) for m in distincts]
-                + [F.count(F.lit(1)).alias(m.name) for m in counts])
-        grouped = df.groupBy(*dim_cols) if dim_cols else df
-        return grouped.agg(*aggs).select(*names, *[m.name for m in measures])
-
-    pet = F.col(PET)
-    stage1_aggs = ([F.sum(m.value).alias(m.name) for m in sums]
-                   + [F.max(F.when(m.condition & pet.isNotNull(), F.lit(1)).otherwise(F.lit(0))).alias(m.name)
-                      for m in distincts]
-                   + [F.count(F.lit(1)).alias(m.name) for m in counts])
-    stage1 = df.groupBy(*dim_cols, pet.alias("_pet")).agg(*stage1_aggs)
-    stage2_aggs = ([F.sum(m.name).alias(m.name) for m in sums]
-                   + [F.coalesce(F.sum(m.name).cast("bigint"), F.lit(0).cast("bigint")).alias(m.name)
-                      for m in distincts]
-                   + [F.coalesce(F.sum(m.name), F.lit(0).cast("bigint")).alias(m.name) for m in counts])
-    grouped = stage1.groupBy(*names) if names else stage1
-    return grouped.agg(*stage2_aggs).select(*names, *[m.name for m in measures])
+    if any(isinstance(m, DistinctPets) for m in measures):
+        df = df.groupBy(*[c.alias(n) for n, c in dims.items()], F.col(PET).alias("_pet")).agg(*_per_pet(measures))
+        grouped = df.groupBy(*names) if names else df
+        return grouped.agg(*_per_group(measures)).select(*names, *[m.name for m in measures])
+    grouped = df.groupBy(*[c.alias(n) for n, c in dims.items()]) if dims else df
+    return grouped.agg(*_per_pet(measures)).select(*names, *[m.name for m in measures])
+
+
+def aggregate_sets(df: DataFrame, keys: dict[str, Column], sets: list[list[str]], measures: list) -> DataFrame:
+    """``measures`` for several groupings of one scan, with ``gid`` = ``grouping_id(keys)``.
+
+    Rows are first reduced to one per (all keys, pet). Only those are expanded over
+    the sets, reduced to one per (set, its keys, pet), then to one per (set, its
+    keys). Empty input gives no rows, also for the set ``()``.
+    """
+    names = list(keys)
+    base = df.groupBy(*[c.alias(n) for n, c in keys.items()], F.col(PET).alias("_pet")).agg(*_per_pet(measures))
+    again = [(F.max if isinstance(m, DistinctPets) else F.sum)(m.name).alias(m.name) for m in measures]
+    # the pet is part of every set, so it is the last, always zero bit of the id
+    gid = F.shiftright(F.grouping_id(*names, "_pet"), 1).alias("gid")
+    per_pet = base.groupingSets([[*s, "_pet"] for s in sets], *names, "_pet").agg(*again, gid)
+    return (per_pet.groupBy(*names, "gid").agg(*_per_group(measures))
+            .select(*names, *[m.name for m in measures], "gid"))
 
 
 # ---------------------------------------------------------------------------

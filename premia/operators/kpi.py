@@ -93,12 +93,8 @@ def kpi_snapshot_month(fact: DataFrame, plan: DataFrame, selected_month, plan_ye
         F.max(F.when(ms == F.lit(prev), F.col("gwp"))).alias("prev_gwp"),
         F.max(F.when(ms == F.lit(py), F.col("gwp"))).alias("py_gwp"),
         F.count(F.when(ms == F.lit(m), F.lit(1))).alias("_present"))
-    # plan summed per metric first, then pivoted with MAX
-    per_metric = (plan.where((F.col("plan_month") == F.lit(m))
-                             & (F.col("dimension_type") == V.TOTAL_DIMENSION))
-                  .groupBy("metric_name").agg(F.sum("plan_amount").alias("amt")))
-    plan_row = per_metric.agg(*[F.max(F.when(F.col("metric_name") == k, F.col("amt"))).alias(f"plan_{s}")
-                                for k, s in PLAN_METRICS])
+    plan_row = budget_total(plan.where(F.col("plan_month") == F.lit(m)), "plan_month", "plan_amount", "plan",
+                            PLAN_METRICS, False)
     row = one_row(actual, plan_row).where(F.col("_present") > 0)
     gated = m.year == plan_year
     row = row.select(

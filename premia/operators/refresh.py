@@ -5,7 +5,8 @@ states, channel and product mix, growth drivers, every drilldown and metric
 drilldown — all group the same period's rows by one dimension (or none). One
 ``GROUPING SETS`` aggregate computes all of them in one pass: (), week, state,
 channel, product, vendor, each with the core sums and three distinct pet counts
-(distinct counts are per grouping set, never added across sets). That aggregate has
+(per grouping set, never added across sets; rows are reduced to one per pet and key
+combination before the sets copy them). That aggregate has
 one row per group, so it is written once to the shared folder; each result is then
 a small projection of it, finished by the same code as the single-query operators.
 """
@@ -33,19 +34,8 @@ class RangeRefresh:
         self.plan, self.forecast, self.period = plan, forecast, period
         src = period.filter(fact)
         keys = [k for k, _ in KEYS]
-        keyed = src.select(*[dimension(d, src).alias(k) for k, d in KEYS],
-                           M.AMOUNT, "trans_code", "returned_pet", M.PET)
-        pet = F.col(M.PET)
-        aggs = [
-            F.sum(M.AMOUNT).alias("gwp"),
-            F.sum(M.amount_if(M.is_nbw())).alias("nbw_gwp"),
-            F.sum(M.amount_if(M.is_renewal())).alias("renewal_gwp"),
-            F.count_distinct(F.when(M.is_nbw() & M.not_returned(), pet)).alias("nbw_unique_pets"),
-            F.count_distinct(F.when(M.is_renewal() & M.not_returned(), pet)).alias("renewal_unique_pets"),
-            F.count_distinct(F.when(M.not_returned(), pet)).alias("unique_pets"),
-            F.grouping_id(*keys).alias("gid"),
-        ]
-        g = keyed.groupingSets([[]] + [[k] for k in keys], *keys).agg(*aggs)
+        measures = [*M.core_measures(), M.DistinctPets("unique_pets", M.not_returned())]
+        g = M.aggregate_sets(src, {k: dimension(d, src) for k, d in KEYS}, [[]] + [[k] for k in keys], measures)
         if materialize:
             path = new_table_path(fact.sparkSession, "refresh")
             g.write.mode("overwrite").parquet(path)

@@ -250,14 +250,8 @@ def drilldown_all(fact: DataFrame, period: Period, group_bys: list[str] | None =
     names = group_bys or DRILLDOWN_DIMENSIONS
     src = period.filter(fact)
     keys = [f"_d{i}" for i in range(len(names))]
-    keyed = src.select(*[dimension(n, src).cast("string").alias(k) for n, k in zip(names, keys)],
-                       M.AMOUNT, "trans_code", "returned_pet", M.PET)
-    measures = M.core_measures()
-    aggs = ([F.sum(m.value).alias(m.name) for m in measures if isinstance(m, M.SumOf)]
-            + [F.count_distinct(F.when(m.condition, F.col(M.PET))).alias(m.name)
-               for m in measures if isinstance(m, M.DistinctPets)]
-            + [F.grouping_id(*keys).alias("gid")])
-    g = keyed.groupingSets([[k] for k in keys], *keys).agg(*aggs)
+    g = M.aggregate_sets(src, {k: dimension(n, src).cast("string") for n, k in zip(names, keys)},
+                         [[k] for k in keys], M.core_measures())
     n = len(keys)
     label = F.lit(None).cast("string")
     group = F.lit(None).cast("string")

@@ -31,24 +31,27 @@ def exec_trend(trend: DataFrame, afvp: DataFrame, trend_year: int, base_year: in
     actuals cutoff), plan for every month, forecast from ``forecast_from`` on.
 
     ``trend`` is the monthly trend (month_start, gwp); ``afvp`` the actual /
-    forecast / plan comparison (month_start, plan_gwp, forecast_gwp). Plan and
-    forecast (month, value) pairs are de-duplicated, then left-joined, as a merge
-    would; every side has at most one row per month number for a one-year plan.
+    forecast / plan comparison (month_start, plan_gwp, forecast_gwp). All are stacked
+    and grouped by month number once; a month with several distinct plan or forecast
+    values gives a row for each, as a merge would (a one-year plan has one).
     """
     forecast_from = forecast_from or actuals_cutoff + 1
     ms = F.col("month_start")
     yr, mn = F.year(ms), F.month(ms)
-    actual = trend.groupBy(mn.alias("month_num")).agg(
+    actuals = trend.select(mn.alias("month_num"), "month_start", "gwp")
+    budget = afvp.select(mn.alias("month_num"), F.struct(F.col("plan_gwp").alias("v")).alias("plan"),
+                         F.when(mn >= forecast_from, F.struct(F.col("forecast_gwp").alias("v"))).alias("fc"))
+    stacked = (month_spine(trend.sparkSession).unionByName(actuals, allowMissingColumns=True)
+               .unionByName(budget, allowMissingColumns=True))
+    g = stacked.groupBy("month_num").agg(
+        F.max("month_label").alias("month_label"),
         _exists_sum(yr == trend_year, "gwp").alias(f"actual_{trend_year}"),
         _exists_sum(yr == base_year, "gwp").alias(f"actual_{base_year}"),
-        _exists_sum((yr == plan_year) & (mn <= actuals_cutoff), "gwp").alias(f"actual_{plan_year}"))
-    plan = afvp.select(mn.alias("month_num"), F.col("plan_gwp").alias(f"plan_{plan_year}")).dropDuplicates()
-    fc = (afvp.where(mn >= forecast_from)
-          .select(mn.alias("month_num"), F.col("forecast_gwp").alias(f"forecast_{plan_year}")).dropDuplicates())
-    spine = month_spine(trend.sparkSession)
-    return (spine.join(actual, "month_num", "left").join(plan, "month_num", "left").join(fc, "month_num", "left")
+        _exists_sum((yr == plan_year) & (mn <= actuals_cutoff), "gwp").alias(f"actual_{plan_year}"),
+        F.collect_set("plan").alias("plans"), F.collect_set("fc").alias("fcs"))
+    return (g.withColumn("p", F.explode_outer("plans")).withColumn("f", F.explode_outer("fcs"))
             .select("month_num", "month_label", f"actual_{trend_year}", f"actual_{base_year}", f"actual_{plan_year}",
-                    f"plan_{plan_year}", f"forecast_{plan_year}")
+                    F.col("p.v").alias(f"plan_{plan_year}"), F.col("f.v").alias(f"forecast_{plan_year}"))
             .orderBy("month_num"))
 
 

@@ -62,7 +62,7 @@ NULL_HOSPITAL_EVERY = 7     # l_suppkey % 7 = 0 -> no hospital
 TEST_TABLE_SCHEMAS = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
                 "l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
     "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
     "nation": "n_nationkey int, n_name string",
     "part": "p_partkey bigint, p_size int",
@@ -111,7 +111,8 @@ def fixture_fact(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None =
     li = (li
           .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus",
                   "l_extendedprice", "l_returnflag", "l_shipdate"))
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
+                                                   "o_orderpriority")
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_size")
@@ -120,7 +121,8 @@ def fixture_fact(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None =
     order_attrs = (orders
                    .join(customer, orders.o_custkey == customer.c_custkey)
                    .join(nation, F.col("c_nationkey") == nation.n_nationkey)
-                   .select("o_orderkey", "o_orderdate", "o_orderpriority", "c_custkey", "c_mktsegment", "n_name"))
+                   .select("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "c_custkey", "c_mktsegment",
+                           "n_name"))
 
     # No hand-placed repartition: the planner's own join shuffles are the ones AQE
     # may split when one key holds a large share of rows (skew join).
@@ -142,7 +144,7 @@ def fixture_fact(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None =
         F.col("n_name").alias("state"),
         _channel().alias("channel"),
         _sub_channel().alias("sub_channel"),
-        F.lit(None).cast("string").alias("channel_type"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("channel_type"),
         F.when(F.col("l_suppkey") % NULL_HOSPITAL_EVERY != 0, F.col("s_name")).alias("hospital"),
         F.when(F.col("l_partkey") % 4 == 0, 1).otherwise(0).alias("wellness"),
         F.when(F.col("l_partkey") % 5 == 0, 0).otherwise(1).alias("accident"),
