@@ -26,28 +26,45 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from premia.llm.common import materialise
+
 SAMPLE = 20_000
 MIN_DOCS, MIN_WEIGHT, MAX_TERMS, MAX_PHRASES = 5, 1.5, 2000, 4000
 LENGTH = 200
 # Look-alikes of Latin letters (fixed values): Cyrillic, Greek, then digits and signs inside words.
 _GLYPHS = dict(zip("аеорсухівкмнтьјѕԁɡոαβεικνορτυχ", "aeopcyxibkmhtbjsdgnabeiknoptux", strict=True))
 _SIGNS = dict(zip("013457@$!|", "oieastasil", strict=True))
-_SIGNED = re.compile(r"[^\W_]*[013457@$!|]+[^\s]*")
+# Tried at the start of a run of letters and digits only, so that the time stays linear in the run's length.
+_SIGNED = re.compile(r"(?<![^\W_])[^\W_]*[013457@$!|]+[^\s]*")
+_WIDE = re.compile(r"[^\x00-\x7f]+")
 _PLAIN = re.compile(r"[^a-z]+")
 
 
+class _Folded(dict):
+    """Code point -> its compatibility letters without accents, look-alikes replaced; filled as characters appear."""
+
+    def __missing__(self, code: int) -> str:
+        plain = (c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        self[code] = "".join(_GLYPHS.get(c, c) for c in plain)
+        return self[code]
+
+
+_FOLDED = _Folded()
+
+
 def fold(text: str) -> str:
     """Words of folded Latin letters, each between single spaces."""
     t = text.lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFKD", t)
-        t = "".join(c for c in t if not unicodedata.combining(c)).translate(str.maketrans(_GLYPHS))
+        t = _WIDE.sub(lambda m: m.group().translate(_FOLDED), t)
 
     def letters(m: re.Match) -> str:
         w = m.group().rstrip("!|")
@@ -74,13 +91,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     given = given.where(~held_out()).distinct()
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     given = given.where(unit * F.lit(max(1, given.count())) < F.lit(SAMPLE << 30))
-    rows = given.join(docs.where("text is not null").select("doc_id", "text"), "doc_id")
+
+    def folded(batches):
+        for b in batches:
+            text = pa.array([fold(t) for t in b.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), text], names=["doc_id", "toxic", "text"])
+
+    # Folded once; it stays as it is when folded again.
+    rows = given.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", "toxic", "text")
+    rows = materialise(rows.mapInArrow(folded, rows.schema), "toxicity-sample")
 
     def terms(batches):
         for b in batches:
             out: dict = {}
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                for w in set(fold(text).split()):
+                for w in set(text.split()):
                     c = out.setdefault(w, [0, 0])
                     c[0 if toxic else 1] += 1
             yield pa.RecordBatch.from_arrays(
@@ -101,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         for b in batches:
             out: dict = {}
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                w = fold(text).split()
+                w = text.split()
                 seen = {f"{x} {y}" for x, y in zip(w, w[1:], strict=False) if x in weights or y in weights}
                 for x in seen:
                     c = out.setdefault(x, [0, 0])
@@ -151,9 +176,13 @@ def matches(text: str, auto) -> tuple[float, float, int, int]:
     """Sum of weights, largest weight, number of matches and of words of a text; matches inside exceptions don't count."""
     t = fold(text)
     found = list(auto.iter(t)) if len(auto) else []
-    spared = [(e - n + 1, e) for e, (w, n) in found if w is None]
-    hits = [w for e, (w, n) in found if w is not None
-            and not any(lo <= e - n + 1 and e <= hi for lo, hi in spared)]
+    spared = sorted((e - n + 1, e) for e, (w, n) in found if w is None)
+    starts, ends = [lo for lo, _ in spared], list(accumulate((e for _, e in spared), max))
+    hits = []
+    for e, (w, n) in found:
+        i = 0 if w is None else bisect_right(starts, e - n + 1)      # phrases that start no later
+        if w is not None and not (i and e <= ends[i - 1]):
+            hits.append(w)
     return sum(hits), max(hits, default=0.0), len(hits), t.count(" ") - 1
 
 
