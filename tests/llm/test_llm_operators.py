@@ -375,3 +375,23 @@ def test_pipeline(spark):
         kept = stage(spark, kept, SF)
         assert kept.columns == docs.columns
     assert set(out.doc_id) == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_fold_wide_and_long():
+    assert toxicity.fold("ﬁne МАТ й́ 한 ї") == " fine mat i "
+    once = toxicity.fold("A1b c|d _3x é")
+    assert toxicity.fold(once) == once
+    long = "x" * 200_000                       # no quadratic search for signs
+    assert toxicity.fold(long) == f" {long} "
+
+
+def test_spared_matches_against_all_pairs():
+    auto = toxicity.automaton({"weights": {"ab": 1.5, "b": 2.0, "i": 1.75}, "phrases": ["ab b", "i ab", "b i"]})
+    rng = random.Random(3)
+    for _ in range(300):
+        words = [rng.choice(["ab", "b", "i", "x"]) for _ in range(rng.randint(0, 25))]
+        pairs = {"ab b", "i ab", "b i"}
+        inside = [any(0 <= j < len(words) - 1 and f"{words[j]} {words[j + 1]}" in pairs for j in (i - 1, i))
+                  for i in range(len(words))]
+        left = [{"ab": 1.5, "b": 2.0, "i": 1.75}[w] for w, s in zip(words, inside, strict=True) if w != "x" and not s]
+        assert toxicity.matches(" ".join(words), auto)[:3] == (sum(left), max(left, default=0.0), len(left))
