@@ -9,8 +9,11 @@ Vectors with equal labels are compared by cosine in double precision; pairs of a
    joined with itself: neighbours of a node are compared with each other, and every
    pair found is offered to both ends' lists.
 3. Links among the lists give connected components. A list full of links is
-   saturated: the node may have more. It is enlarged to the whole component, whose
-   members are compared block by block; only counts of links leave a task.
+   saturated: the node may have more. Saturated nodes are covered by balls no wider
+   than a link; every node of the label within two links of a ball's centre and outside
+   its component is compared with the ball's members, so all links of saturated nodes
+   join components. A pair found but dropped from both ends' lists has saturated ends.
+   Links are counted inside components, block by block; only counts leave a task.
 4. Audit: up to ``AUDIT`` nodes (smallest hash of their id) are compared with all rows;
    recall is the share of their true links that lie inside their component. Below
    ``RECALL``, the descent goes on with twice the list and more codes.
@@ -29,13 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.llm import textops
-from premia.llm.common import components, map_groups, materialise
+from premia.llm.common import bounded, components, is_empty, map_groups, materialise
 
 K = 10
 NEXT = 10
 CODES = 8
 ROUNDS = 2
 BLOCK = 4096
+WIDE = 16_384             # nodes or centres of balls that one task compares
 AUDIT = 400
 RECALL = 0.98
 TRIES = 4
@@ -151,6 +155,79 @@ def local_join(lists: DataFrame, table: DataFrame) -> DataFrame:
     return map_groups(rows, ["a"], compare, _EDGES)
 
 
+def _grid(rows: DataFrame, cols: DataFrame, key: str, fields: list[str], block: int) -> DataFrame:
+    """``rows`` (side 0) and ``cols`` (side 1) of a key, dealt so that each pair of their blocks meets at one (r, q)."""
+    count = lambda df, name: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias(name))
+    sizes = bounded(materialise(count(rows, "rows").join(count(cols, "cols"), key), "nn-grid"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    return rows.join(sizes, key).select(*fields, F.lit(0).alias("side"), own("rows").alias("r"), every("cols").alias("q")).unionByName(
+        cols.join(sizes, key).select(*fields, F.lit(1).alias("side"), every("rows").alias("r"), own("cols").alias("q")))
+
+
+def _sides(group: pa.Table):
+    side, ids = (group[c].to_numpy() for c in ("side", "id"))
+    return _matrix(group["unit"]), ids, np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def enlarge(lists: DataFrame, comp: DataFrame, table: DataFrame, threshold: float, k: int) -> DataFrame | None:
+    """Links ``(a, b, sim)`` of saturated nodes to nodes outside their components, one for each node and ball."""
+    linked = lists.where(F.col("sim") >= threshold)
+    full = materialise(linked.groupBy(F.col("a").alias("id")).count().where(F.col("count") >= k).select("id"), "nn-full")
+    if is_empty(full):
+        return None
+    angle = np.arccos(min(1.0, threshold))
+    rows = full.join(comp, "id")
+    parts = rows.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    rows = rows.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(table, "id")
+
+    def cover(group: pa.Table) -> pa.Table:
+        m, ids = _matrix(group["unit"]), group["id"].to_numpy()
+        ball, left = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        while len(left):
+            near = m[left] @ m[left[0]] >= threshold
+            near[0] = True
+            ball[left[near]] = ids[left[0]]
+            left = left[~near]
+        return group.select(["id", "cls", "component", "unit"]).append_column("ball", pa.array(ball))
+
+    balls = materialise(map_groups(rows.select("component", "part", "id", "cls", "unit"), ["component", "part"], cover,
+                                   "id long, cls long, component long, unit binary, ball long"), "nn-balls")
+    known = table.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    reach = np.cos(min(np.pi, 2 * angle)) - 1e-9
+
+    def near(group: pa.Table) -> pa.Table:
+        m, ids, x, y = _sides(group)
+        comps, balls, out = group["component"].to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(x), 512):
+            part = x[i:i + 512]
+            a, b = np.nonzero((m[part] @ m[y].T >= reach) & (comps[part][:, None] != comps[y][None, :]))
+            out.append(ids[part[a]])
+            balls.append(ids[y[b]])
+        return pa.table({"ball": pa.array(np.concatenate(balls)), "id": pa.array(np.concatenate(out))})
+
+    fields = ["cls", "id", "component", "unit"]
+    asked = materialise(map_groups(_grid(known, balls.where("ball = id"), "cls", fields, WIDE), ["cls", "r", "q"], near,
+                                   "ball long, id long"), "nn-asked")
+
+    def first_links(group: pa.Table) -> pa.Table:
+        m, ids, x, y = _sides(group)
+        a, b, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i in range(0, len(x) if len(y) else 0, 512):
+            part = x[i:i + 512]
+            sim = m[part] @ m[y].T
+            best, at = sim.argmax(axis=1), np.arange(len(part))
+            at = at[sim[at, best] >= threshold]
+            a.append(ids[part[at]])
+            b.append(ids[y[best[at]]])
+            sims.append(sim[at, best[at]])
+        return _edge_table(np.concatenate(a), np.concatenate(b), np.concatenate(sims))
+
+    fields = ["ball", "id", "unit"]
+    return materialise(map_groups(_grid(asked.join(table, "id"), balls, "ball", fields, BLOCK), ["ball", "r", "q"], first_links,
+                                  _EDGES), "nn-enlarged")
+
+
 def link_counts(comp: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """``(id, n)``: of each node the copies of other nodes of its component that it links with."""
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
@@ -218,7 +295,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) ->
         for _ in range(ROUNDS):
             lists = materialise(best_lists(lists.union(local_join(lists, table)), k), "nn-lists")
         edges = lists
-        comp = materialise(components(lists.where(F.col("sim") >= threshold)), "nn-components")
+        linked = lists.where(F.col("sim") >= threshold)
+        comp = materialise(components(linked), "nn-components")
+        more = enlarge(lists, comp, table, threshold, k)
+        if more is not None and not is_empty(more):
+            comp = materialise(components(linked.select("a", "b").union(more.select("a", "b"))), "nn-components")
         true, inside = audit(table, comp, threshold)
         if inside >= RECALL * true:
             break

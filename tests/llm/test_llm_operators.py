@@ -395,3 +395,38 @@ def test_spared_matches_against_all_pairs():
                   for i in range(len(words))]
         left = [{"ab": 1.5, "b": 2.0, "i": 1.75}[w] for w, s in zip(words, inside, strict=True) if w != "x" and not s]
         assert toxicity.matches(" ".join(words), auto)[:3] == (sum(left), max(left, default=0.0), len(left))
+
+
+def test_links_of_saturated_lists(spark, monkeypatch):
+    """Two dense groups that link across: every list is full of links to its own side."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "WIDE", 50)
+    g = np.random.default_rng(3)
+    a = np.zeros((240, 32))
+    a[:, 0], a[120:, 1] = 1, np.tan(0.17)           # the sides' centres are at a cosine of 0.9856
+    a += g.standard_normal(a.shape) * 0.002
+    far = g.standard_normal((60, 32))
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate([*a, *far])]
+    lists = []
+    for i in range(240):
+        own = [j for j in range(240) if j // 120 == i // 120 and j != i][:10]
+        lists += [(i, j, 1.0) for j in own]
+    members, table = embedding_dedup.nodes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    lists = spark.createDataFrame(lists, "a long, b long, sim double")
+    comp = spark.createDataFrame([(i, i // 120 * 120) for i in range(240)], "id long, component long")
+    more = embedding_dedup.enlarge(lists, comp, table, 0.98, 10).collect()
+    assert {r.a for r in more} == set(range(240)) and all(r.a // 120 != r.b // 120 for r in more)
+    assert embedding_dedup.enlarge(lists.where("a % 120 <> b % 120 + 1").limit(9), comp, table, 0.98, 10) is None
+
+
+def test_two_dense_groups_are_one_component(spark):
+    g = np.random.default_rng(3)
+    a = np.zeros((600, 32))
+    a[:, 0], a[300:, 1] = 1, np.tan(0.17)
+    a += g.standard_normal(a.shape) * 0.002
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(a)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas()
+    u = a / np.linalg.norm(a, axis=1)[:, None]
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    got = got.sort_values("vec_id")
+    assert (got.component_id == 0).all() and (got.n_links.to_numpy() == want).all() and want.min() > 300
