@@ -15,6 +15,8 @@ separator, so every magic, also one inside a payload, starts a candidate record.
 3. Each range walks its chain from its first reached offset. Candidates that the
    chain does not meet are payload text. A record cut by a false magic or a range's
    end is emitted in fragments under its end offset and put together again.
+   Both passes cut files alike, whatever executors come or go; a range that the first
+   pass did not see is an error.
 
 A record without a valid Content-Length ends its file's chain; what follows is not read.
 
@@ -72,6 +74,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     r.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 100_000).text(path)
 
 
+def _fixed_splits(spark: SparkSession) -> SparkSession:
+    """A copy of the session whose text scans cut files alike at any later number of cores."""
+    fixed = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    parallel = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+    key = "spark.sql.files.minPartitionNum"
+    fixed.conf.set(key, spark.conf.get(key, None) or str(parallel))
+    return fixed
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -133,7 +144,10 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """``(file, block, base, entry)``: offset of each range's first line, and the first true record start from there."""
+    """``(file, block, base, entry)``: offset of each range's first line, and the first true record start from there.
+
+    The entry is null in ranges after the end of their file's chain.
+    """
     cand = materialise(candidates(lines), "warc-candidates")
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = materialise(cand.where("at is null").select("file", "block", "total").withColumn(
@@ -156,8 +170,8 @@ def entries(lines: DataFrame) -> DataFrame:
         jump = materialise(jump.join(twice, ["file", "to"], "left").select(
             "file", "off", F.coalesce("far", "to").alias("to")), "warc-jump")
     # A record that starts in a range is one magic before its first line.
-    later = blocks.join(reach, "file").where(F.col("off") >= F.col("base") - len(MAGIC))
-    return later.groupBy("file", "block", "base").agg(F.min("off").alias("entry"))
+    later = F.when(F.col("off") >= F.col("base") - len(MAGIC), F.col("off"))
+    return blocks.join(reach, "file").groupBy("file", "block", "base").agg(F.min(later).alias("entry"))
 
 
 _PARTS = "file string, ends long, at long, whole boolean, data binary"
@@ -186,13 +200,13 @@ _RECORD_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(),
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all archives under ``path``; payloads as stored (empty for revisits)."""
-    lines = _lines(spark, path)
+    lines = _lines(_fixed_splits(spark), path)
     start = materialise(entries(lines), "warc-entries")
     slices = max(1, -(-start.count() // RANGES))
     of = F.pmod(F.xxhash64("file"), F.lit(slices))
     out = None
     for k in range(slices):
-        known = {(r["file"], r["block"]): (r["base"], r["entry"]) for r in start.where(of == k).collect()}
+        known = {(r["file"], r["block"]): (r["base"], -1 if r["entry"] is None else r["entry"]) for r in start.where(of == k).collect()}
         shared = spark.sparkContext.broadcast(known)
 
         def run(batches, shared=shared):
@@ -202,7 +216,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for file, block, line in zip(*(b.column(c).to_pylist() for c in ("file", "block", "value")), strict=True):
                     if (file, block) != key:
                         key = (file, block)
-                        base, ends = shared.value.get(key, (0, -1))
+                        if key not in shared.value:
+                            raise ValueError(f"{file} was cut at {block}, which the pass for entries did not see")
+                        base, ends = shared.value[key]
                         at, starts = base - len(MAGIC), -1
                     if at == ends:
                         step = _successor(line)

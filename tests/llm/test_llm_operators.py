@@ -430,3 +430,49 @@ def test_two_dense_groups_are_one_component(spark):
     want = (u @ u.T >= 0.98).sum(axis=1) - 1
     got = got.sort_values("vec_id")
     assert (got.component_id == 0).all() and (got.n_links.to_numpy() == want).all() and want.min() > 300
+
+
+def warc_entries_then(monkeypatch, act):
+    """``warc.entries`` followed by ``act(session of the scan)``: something that happens between the two passes."""
+    entries = warc.entries
+
+    def wrapped(lines):
+        out = entries(lines)
+        rows = out.collect()
+        act(lines.sparkSession)
+        return lines.sparkSession.createDataFrame(rows, out.schema)
+
+    monkeypatch.setattr(warc, "entries", wrapped)
+
+
+def warc_pages(spark):
+    path = shared_path(spark, "test-warc")
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 900) for i in range(40)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), path)
+    return path
+
+
+def test_warc_parallelism_changes_between_passes(spark, monkeypatch):
+    path = warc_pages(spark)
+    monkeypatch.setattr(warc, "_lines", lambda s, p, f=warc._lines: (s.conf.set("spark.sql.files.openCostInBytes", "1k"), f(s, p))[1])
+    key = "spark.sql.leafNodeDefaultParallelism"
+    warc_entries_then(monkeypatch, lambda s: s.conf.set(key, "37"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        got = warc.read_archives(spark, path).collect()
+    finally:
+        spark.conf.unset(key)
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got) == [(i, f"{i} " * 900) for i in range(40)]
+
+
+def test_warc_unknown_range_is_an_error(spark, monkeypatch):
+    path = warc_pages(spark)
+    key = "spark.sql.files.maxPartitionBytes"
+    warc_entries_then(monkeypatch, lambda s: s.conf.set(key, "7k"))
+    old = spark.conf.get(key)
+    try:
+        with pytest.raises(Exception, match="did not see"):
+            warc.read_archives(spark, path).collect()
+    finally:
+        spark.conf.set(key, old)
