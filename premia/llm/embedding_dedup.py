@@ -4,19 +4,24 @@ Vectors with equal labels are compared by cosine in double precision; pairs of a
 ``threshold`` link. Equal vectors of a label are one node with a multiplicity.
 
 1. First graph: nodes are sorted by sign codes of random hyperplanes, several times, and
-   each is compared with the next ``NEXT`` of its label.
+   each is compared with the next ``NEXT`` of its label. The number of codes follows the
+   largest label, so that a pair at the threshold is missed by all with at most ``MISSED``.
 2. NN-descent: each node's list of its best ``k`` neighbours, found from either side, is
-   joined with itself: neighbours of a node are compared with each other, and every
-   pair found is offered to both ends' lists.
+   joined with itself: neighbours of a node are compared with each other, if one of them
+   is new, and every pair found is offered to both ends' lists. It ends when a round
+   renews at most the share ``DELTA`` of the lists.
 3. Links among the lists give connected components. A list full of links is
    saturated: the node may have more. Saturated nodes are covered by balls no wider
    than a link; every node of the label within two links of a ball's centre and outside
    its component is compared with the ball's members, so all links of saturated nodes
    join components. A pair found but dropped from both ends' lists has saturated ends.
    Links are counted inside components, block by block; only counts leave a task.
-4. Audit: up to ``AUDIT`` nodes (smallest hash of their id) are compared with all rows;
-   recall is the share of their true links that lie inside their component. Below
-   ``RECALL``, the descent goes on with twice the list and more codes.
+4. Audit: nodes sampled by the hash of their id are compared with all rows. Recall is the
+   mean over sampled nodes with links of the share of their own links that lie inside
+   their component, small components apart; the sample grows until it holds ``ENOUGH``
+   such nodes (or all nodes, or ``AUDIT_BYTES`` of vectors). Below ``RECALL``, the descent
+   goes on with twice the list and more codes, and after ``TRIES`` all nodes of a label
+   are compared with each other in blocks.
 
 Cases: a null label or vector, an empty or zero vector, or one with a null or
 non-finite component links with nothing, and so do vectors of different length.
@@ -36,11 +41,13 @@ from premia.llm.common import bounded, components, is_empty, map_groups, materia
 
 K = 10
 NEXT = 10
-CODES = 8
-ROUNDS = 2
+MISSED = 0.001
+DELTA = 0.01
 BLOCK = 4096
 WIDE = 16_384             # nodes or centres of balls that one task compares
 AUDIT = 400
+ENOUGH = 100
+AUDIT_BYTES = 16 << 20
 RECALL = 0.98
 TRIES = 4
 _EDGES = "a long, b long, sim double"
@@ -134,25 +141,86 @@ def code_edges(table: DataFrame, first_code: int, codes: int) -> DataFrame:
     return ordered.mapInArrow(neighbours, _EDGES)
 
 
+def code_count(widest: int, threshold: float) -> int:
+    """Codes by which a pair at ``threshold`` in a label of ``widest`` nodes is missed with at most MISSED.
+
+    Two nodes come close in a code's order if they share its leading bits down to runs of NEXT nodes.
+    """
+    bit = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    close = bit ** np.log2(max(2.0, widest / NEXT))
+    return int(np.clip(np.ceil(np.log(MISSED) / np.log(max(1e-9, 1 - close))), 4, 64))
+
+
 def best_lists(edges: DataFrame, k: int) -> DataFrame:
-    """``(a, b, sim)``: of each node its k best neighbours, from edges found from either side."""
-    both = edges.union(edges.select("b", "a", "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    """Of each node ``a`` its k best neighbours among directed edges ``(a, b, sim, seen)``.
+
+    ``low`` is what a pair must exceed to enter a's list, ``fresh`` whether the list has an entry not seen before.
+    """
+    best = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("seen").alias("seen"))
+    w, own = Window.partitionBy("a").orderBy(F.desc("sim"), "b"), Window.partitionBy("a")
+    top = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    return top.withColumn("low", F.when(F.count(F.lit(1)).over(own) < k, -2.0).otherwise(F.min("sim").over(own))).withColumn(
+        "fresh", F.min("seen").over(own) == 0)
+
+
+def directed(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).withColumn("seen", F.lit(0))
 
 
 def local_join(lists: DataFrame, table: DataFrame) -> DataFrame:
-    """The neighbours of each node compared with each other."""
+    """Directed edges between neighbours of a node, not both seen before, that enter their first end's list."""
     def compare(groups: pa.Table) -> pa.Table:
-        ids = groups["b"].to_numpy()
+        ids, seen, low = (groups[c].to_numpy() for c in ("b", "seen", "low"))
         m = _matrix(groups["unit"])
         sim = m @ m.T
-        i, j = np.triu_indices(len(ids), 1)
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return _edge_table(a, b, sim[i, j])
+        i, j = np.nonzero((sim > low[:, None]) & ~((seen[:, None] == 1) & (seen[None, :] == 1))
+                          & (ids[:, None] != ids[None, :]))
+        return _edge_table(ids[i], ids[j], sim[i, j])
+
+    low = lists.select(F.col("a").alias("b"), "low").distinct()
+    rows = lists.where("fresh").select("a", "b", "seen").join(low, "b", "left").join(
+        table.select(F.col("id").alias("b"), "unit"), "b").select("a", "b", "seen", F.coalesce("low", F.lit(-2.0)).alias("low"), "unit")
+    return map_groups(rows, ["a"], compare, _EDGES).withColumn("seen", F.lit(0))
+
+
+def descend(lists: DataFrame, table: DataFrame, k: int, n: int) -> DataFrame:
+    """The lists after rounds of local joins, until a round renews few of their entries."""
+    while True:
+        known = lists.select("a", "b", "sim", F.lit(1).alias("seen"))
+        lists = materialise(best_lists(known.unionByName(local_join(lists, table)), k), "nn-lists")
+        if lists.where("seen = 0").count() <= DELTA * k * n:
+            return lists
+
+
+def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Row and column numbers of links that connect what all true entries connect."""
+    turned, rows, cols = linked.T.copy(), np.ones(len(linked), bool), np.ones(linked.shape[1], bool)
+    a, b = [], []
+    for s in np.flatnonzero(linked.any(axis=1)).tolist():
+        todo = [s] if rows[s] else []
+        rows[s] = False
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(linked[i] & cols).tolist():
+                cols[j] = False
+                more = np.flatnonzero(turned[j] & rows).tolist()
+                rows[more] = False
+                todo += more
+                a += [i, *more]
+                b += [j] * (1 + len(more))
+    return a, b
+
+
+def exact_links(table: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b, sim)`` that connect what all links of a label connect: its nodes compared in blocks."""
+    def compare(group: pa.Table) -> pa.Table:
+        m, ids, x, y = _sides(group)
+        sim = m[x] @ m[y].T
+        a, b = _forest(sim >= threshold)
+        return _edge_table(ids[x[a]], ids[y[b]], sim[a, b])
 
-    rows = lists.join(table.select(F.col("id").alias("b"), "unit"), "b").select("a", "b", "unit")
-    return map_groups(rows, ["a"], compare, _EDGES)
+    grid = _grid(table, table, "cls", ["cls", "id", "unit"], BLOCK).where("r <= q")
+    return map_groups(grid, ["cls", "r", "q"], compare, _EDGES)
 
 
 def _grid(rows: DataFrame, cols: DataFrame, key: str, fields: list[str], block: int) -> DataFrame:
@@ -254,56 +322,73 @@ def link_counts(comp: DataFrame, table: DataFrame, threshold: float) -> DataFram
         F.sum("n").alias("n"))
 
 
-def audit(table: DataFrame, comp: DataFrame, threshold: float) -> tuple[int, int]:
-    """True links of the sampled nodes, and those of them inside one component."""
-    known = table.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    n = max(1, table.count())
+def audit(table: DataFrame, comp: DataFrame, threshold: float, n: int) -> float:
+    """The lower recall of nodes in small and in other components: mean share of a sampled node's links inside its own."""
+    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+    known = table.join(comp.join(size, "component"), "id", "left").select(
+        "id", "cls", "unit", F.coalesce("component", "id").alias("component"), F.coalesce("c", F.lit(1)).alias("c"))
     unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    asked = known.where(unit * F.lit(n) < F.lit(AUDIT << 30)).limit(4 * AUDIT).collect()     # a bounded sample
-    queries: dict = {}
-    for r in asked:
-        queries.setdefault((r["cls"], len(r["unit"])), []).append((r["id"], r["component"], bytes(r["unit"])))
-
-    def run(batches):
-        for b in batches:
-            true = found = 0
-            cls, ids, comps = (b.column(c).to_numpy() for c in ("cls", "id", "component"))
-            units = b.column("unit").to_pylist()
-            for (c, width), q in queries.items():
-                at = [i for i in np.flatnonzero(cls == c).tolist() if len(units[i]) == width]
-                if at:
+    width = table.agg(F.max(F.octet_length("unit"))).first()[0] or 1
+    most = max(AUDIT, AUDIT_BYTES // width)
+    asked = AUDIT
+    while True:
+        sample = known.where(unit * F.lit(max(1, n)) < F.lit(asked << 30)).limit(2 * most).collect()     # a bounded sample
+        queries: dict = {}
+        for i, r in enumerate(sample):
+            queries.setdefault((r["cls"], len(r["unit"])), []).append((i, r["id"], r["component"], bytes(r["unit"])))
+
+        def run(batches, queries=queries, total=len(sample)):
+            true, found = np.zeros(total, np.int64), np.zeros(total, np.int64)
+            for b in batches:
+                cls, ids, comps = (b.column(c).to_numpy() for c in ("cls", "id", "component"))
+                units = b.column("unit").to_pylist()
+                for (c, width), q in queries.items():
+                    at = [i for i in np.flatnonzero(cls == c).tolist() if len(units[i]) == width]
+                    if not at:
+                        continue
                     m = np.frombuffer(b"".join(units[i] for i in at)).reshape(len(at), -1)
-                    sim = m @ np.frombuffer(b"".join(x[2] for x in q)).reshape(len(q), -1).T >= threshold
-                    sim &= ids[at][:, None] != np.array([x[0] for x in q])[None, :]
-                    true += int(sim.sum())
-                    found += int((sim & (comps[at][:, None] == np.array([x[1] for x in q])[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], names=["true", "found"])
-
-    got = known.select("id", "cls", "unit", "component").mapInArrow(run, "true long, found long").agg(
-        F.sum("true").alias("true"), F.sum("found").alias("found")).first()
-    return got["true"] or 0, got["found"] or 0
+                    for k in range(0, len(q), 512):
+                        to = q[k:k + 512]
+                        sim = m @ np.frombuffer(b"".join(x[3] for x in to)).reshape(len(to), -1).T >= threshold
+                        sim &= ids[at][:, None] != np.array([x[1] for x in to])[None, :]
+                        nth = [x[0] for x in to]
+                        true[nth] += sim.sum(axis=0)
+                        found[nth] += (sim & (comps[at][:, None] == np.array([x[2] for x in to])[None, :])).sum(axis=0)
+            i = np.flatnonzero(true)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(true[i]), pa.array(found[i])], names=["i", "true", "found"])
+
+        got = known.mapInArrow(run, "i long, true long, found long").groupBy("i").agg(
+            F.sum("true").alias("true"), F.sum("found").alias("found")).collect()
+        if len(got) >= ENOUGH or asked >= min(n, most):
+            break
+        asked = min(8 * asked, most)
+    shares: dict = {}
+    for r in got:
+        shares.setdefault(sample[r["i"]]["c"] <= K, []).append(r["found"] / r["true"])
+    return min((float(np.mean(x)) for x in shares.values()), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, label)``: ``vec_id, n_links, component_id, kept``."""
     members, table = nodes(vectors)
-    edges, done = None, 0
+    labels = table.groupBy("cls").count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+    n, codes = labels["n"] or 0, code_count(labels["most"] or 0, threshold)
+    lists = None
     for attempt in range(TRIES):
-        found = code_edges(table, done, CODES)
-        done += CODES
-        lists = materialise(best_lists(found if edges is None else edges.union(found), k), "nn-lists")
-        for _ in range(ROUNDS):
-            lists = materialise(best_lists(lists.union(local_join(lists, table)), k), "nn-lists")
-        edges = lists
-        linked = lists.where(F.col("sim") >= threshold)
+        found = directed(code_edges(table, attempt * codes, codes))
+        if lists is not None:
+            found = found.unionByName(lists.select("a", "b", "sim", "seen"))
+        lists = descend(materialise(best_lists(found, k), "nn-lists"), table, k, n)
+        linked = lists.where(F.col("sim") >= threshold).select("a", "b")
         comp = materialise(components(linked), "nn-components")
         more = enlarge(lists, comp, table, threshold, k)
         if more is not None and not is_empty(more):
-            comp = materialise(components(linked.select("a", "b").union(more.select("a", "b"))), "nn-components")
-        true, inside = audit(table, comp, threshold)
-        if inside >= RECALL * true:
+            comp = materialise(components(linked.union(more.select("a", "b"))), "nn-components")
+        if audit(table, comp, threshold, n) >= RECALL:
             break
         k *= 2
+    else:
+        comp = materialise(components(exact_links(table, threshold)), "nn-components")
     n = link_counts(comp, table, threshold)
     per = table.select("id", "copies").join(n, "id", "left").join(comp, "id", "left").select(
         "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))

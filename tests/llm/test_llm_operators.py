@@ -476,3 +476,31 @@ def test_warc_unknown_range_is_an_error(spark, monkeypatch):
             warc.read_archives(spark, path).collect()
     finally:
         spark.conf.set(key, old)
+
+
+def test_embedding_audit_and_exact_search(spark, monkeypatch):
+    """A large group found whole does not hide missed pairs; if every try fails, labels are compared exactly."""
+    g = np.random.default_rng(5)
+    u = g.standard_normal((500, 24))
+    u[:200] = u[0] + g.standard_normal((200, 24)) * 0.02
+    u[301:500:2] = u[300:499:2] + g.standard_normal((100, 24)) * 0.02
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(u)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    _, table = embedding_dedup.nodes(vectors)
+    comp = spark.createDataFrame([(i, 0) for i in range(200)], "id long, component long")
+    assert embedding_dedup.audit(table, comp, 0.98, 500) < 0.1
+    linked = g.random((30, 40)) < 0.03
+    a, b = embedding_dedup._forest(linked)
+    both = [(i, 100 + j) for i, j in zip(*np.nonzero(linked), strict=True)]
+    ids = sorted({x for e in both for x in e})
+    assert linked[a, b].all()
+    assert brute_components(ids, lambda x, y: (x, y) in both or (y, x) in both) == brute_components(
+        ids, lambda x, y: (x, y - 100) in set(zip(a, b, strict=True)) or (y, x - 100) in set(zip(a, b, strict=True)))
+    assert embedding_dedup.code_count(5_000, 0.98) < embedding_dedup.code_count(10_000_000, 0.98)
+    monkeypatch.setattr(embedding_dedup, "TRIES", 0)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    got = embedding_dedup.near_duplicates(vectors).toPandas().sort_values("vec_id")
+    m = u / np.linalg.norm(u, axis=1)[:, None]
+    near = m @ m.T >= 0.98
+    assert (got.n_links.to_numpy() == near.sum(axis=1) - 1).all()
+    assert dict(zip(got.vec_id, got.component_id, strict=True)) == brute_components(range(500), lambda x, y: near[x, y])
