@@ -1,8 +1,9 @@
 """Operator 1: quality by ordinal cumulative-link regression on hashed text.
 
-A text's features are its characters' 1- to 3-grams, hashed into ``DIMS`` places by
-class-preserving code (letters by case, digits, white space and each sign apart) and by
-character, as square roots of relative frequencies. The model has one weight vector
+A text's features are its characters' 2- and 4-grams (lower case), hashed into ``CHARS``
+places, and the 1- to 3-grams of its characters' shape (letters by case, digits, white
+space and each sign apart), hashed into ``SHAPES`` places; each kind counts half, as
+square roots of relative frequencies. The model has one weight vector
 for all grades and ordered thresholds: P(grade <= k) = logistic(t_k - w.x). It gives the
 expected grade and the tail probability P(grade >= ``tail``) for selection.
 
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 
 from premia.llm.common import materialise
 
-DIMS = 1 << 11
+SHAPES = 1 << 11
+CHARS = 1 << 12
+DIMS = SHAPES + CHARS
+GRAMS = (2, 4)
+PIECE = 1 << 20
 SAMPLE = 12_000
 STEPS = 30
 RIDGE = 1e-4
@@ -44,12 +49,10 @@ def _codes() -> np.ndarray:
 _CLASS = _codes()
 
 
-def features(text: str | None) -> np.ndarray:
-    """Dense vector of a whole text, counted piece by piece."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    total = np.zeros(DIMS)
-    for i in range(0, len(raw), 1 << 20):
-        part = raw[max(0, i - 2):i + (1 << 20)]
+def _shapes(raw: np.ndarray) -> np.ndarray:
+    total = np.zeros(SHAPES)
+    for i in range(0, len(raw), PIECE):
+        part = raw[max(0, i - 2):i + PIECE]
         c = _CLASS[part]
         codes = [c + 1]
         if len(c) > 1:
@@ -57,9 +60,35 @@ def features(text: str | None) -> np.ndarray:
         if len(c) > 2:
             codes.append(((c[:-2] * 131 + c[1:-1]) * 131 + c[2:]) * 7 + 3)
         for x in codes:
-            total += np.bincount((x * 0x9E3779B1 >> 7) % DIMS, minlength=DIMS)
-    n = total.sum()
-    return np.sqrt(total / n) if n else total
+            total += np.bincount((x * 0x9E3779B1 >> 7) % SHAPES, minlength=SHAPES)
+    return total
+
+
+def _chars(text: str) -> np.ndarray:
+    total = np.zeros(CHARS)
+    back = max(GRAMS) - 1
+    for i in range(0, len(text), PIECE):
+        before = min(i, back)
+        c = np.frombuffer(text[i - before:i + PIECE].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        for n in GRAMS:
+            part = c[max(0, before - n + 1):]
+            if len(part) < n:
+                continue
+            h = np.full(len(part) - n + 1, n, np.uint64)
+            for j in range(n):
+                h *= np.uint64(0x100000001B3)
+                h += part[j:len(part) - n + 1 + j]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h >>= np.uint64(64 - CHARS.bit_length() + 1)
+            total += np.bincount(h.view(np.int64), minlength=CHARS)
+    return total
+
+
+def features(text: str | None) -> np.ndarray:
+    """Dense vector of a whole text, counted piece by piece."""
+    text = text or ""
+    parts = [_shapes(np.frombuffer(text.encode(), np.uint8)), _chars(text.lower())]
+    return np.concatenate([np.sqrt(x / (2 * n)) if (n := x.sum()) else x for x in parts])
 
 
 def held_out(col: str = "doc_id"):

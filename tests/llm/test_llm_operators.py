@@ -504,3 +504,21 @@ def test_embedding_audit_and_exact_search(spark, monkeypatch):
     near = m @ m.T >= 0.98
     assert (got.n_links.to_numpy() == near.sum(axis=1) - 1).all()
     assert dict(zip(got.vec_id, got.component_id, strict=True)) == brute_components(range(500), lambda x, y: near[x, y])
+
+
+def test_quality_of_words_of_one_shape(spark, monkeypatch):
+    """Texts of equal word lengths and signs, in Latin and other letters: only their words tell the grade."""
+    r = random.Random(8)
+    good, bad = ["море", "дом", "table", "river"], ["мммм", "ддд", "xxxxx", "qzqzq"]
+    rows = []
+    for i in range(160):
+        shape = [r.randrange(4) for _ in range(30)]
+        rows += [(" ".join([bad, good][g][k] for k in shape) + ".", float(g)) for g in (0, 1)]
+    model = quality.fit(spark.createDataFrame(rows[:240], "text string, rating double"))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = quality.predict(docs, model, tail=1).toPandas().sort_values("doc_id").tail_probability[240:]
+    assert got[1::2].min() > 0.5 > got[::2].max()
+    text = "".join(r.choices("abcdé ж.", k=1000))
+    whole = quality._chars(text)
+    monkeypatch.setattr(quality, "PIECE", 7)
+    assert (quality._chars(text) == whole).all() and whole.sum() == 999 + 997
