@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 from premia.llm import (
+    collocations,
     decontaminate,
     embedding_dedup,
     jaccard_join,
     langid,
     license_scan,
     packing,
+    phrase_automata,
+    prefix_trie,
     quality,
     suffix_dedup,
     toxicity,
@@ -29,5 +32,8 @@ def registry() -> dict:
         "op8_decontamination": (decontaminate.op8_decontamination, None),
         "op2_suffix_dedup": (suffix_dedup.op2_suffix_dedup, suffix_dedup.ORACLE_SQL),
         "op3_jaccard_join": (jaccard_join.op3_jaccard_join, jaccard_join.ORACLE_SQL),
+        "op11_phrase_automata": (phrase_automata.op11_phrase_automata, phrase_automata.ORACLE_SQL),
+        "op12_collocations": (collocations.op12_collocations, collocations.ORACLE_SQL),
+        "op13_prefix_trie": (prefix_trie.op13_prefix_trie, prefix_trie.ORACLE_SQL),
         "op10_language_id": (langid.op10_language_id, None),
     }

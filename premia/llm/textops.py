@@ -65,10 +65,13 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a batch: ``hash``, byte ``start``/``end`` (within the batch), ``off``: first word of each text."""
+    """Words of a batch: ``hash``, byte ``start``/``end`` (within the batch), ``off``: first word of each text.
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SEP):
-        n = len(data)
+    ``fold``: A-Z hash as a-z.
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SEP, fold: bool = True):
+        n, codes = len(data), _CODE_LOWER if fold else _CODE
         sep = separators[data]
         word = ~sep
         first = word.copy()
@@ -88,7 +91,7 @@ class Words:
             lo, hi = self.start[i], self.end[j - 1]
             pw, inv = _powers(hi - lo + 1)
             h = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(_CODE_LOWER[data[lo:hi]] * pw[:hi - lo], out=h[1:])
+            np.cumsum(codes[data[lo:hi]] * pw[:hi - lo], out=h[1:])
             s, e = self.start[i:j] - lo, self.end[i:j] - lo
             self.hash[i:j] = mix((h[e] - h[s]) * inv[s] + (e - s).astype(np.uint64))
             i = j
