@@ -123,14 +123,14 @@ def match(rows: pa.Table, patterns: int = PATTERNS) -> pa.Table:
     """Windows of whole shards' stretches that match a confirmed passage, and those with an earlier occurrence."""
     h, k, s, doc, t, first, at, own, n, stream = (rows[c].to_pylist() for c in (
         "h", "k", "s", "doc_id", "t", "first", "at", "own", "n", "stream"))
-    words = [np.frombuffer(x, np.uint32).tolist() for x in rows["words"].to_pylist()]
+    raw = rows["words"].to_pylist()
     late, matched = [0] * len(h), [0] * len(h)
 
     def run(lo: int, hi: int, givers: list) -> None:
         a = _automaton(givers)
         for i in range(lo, hi):
-            if stream[i] and len(words[i]) >= WINDOW:
-                for end, place in a.iter(tuple(words[i])):
+            if stream[i]:
+                for end, place in a.iter(tuple(np.frombuffer(raw[i], np.uint32).tolist())):
                     o = at[i] + end - WINDOW + 1
                     matched[i] |= 1 << o
                     if (doc[i], first[i] + o) > place:
@@ -141,10 +141,10 @@ def match(rows: pa.Table, patterns: int = PATTERNS) -> pa.Table:
         if i and (h[i], k[i]) != (h[i - 1], k[i - 1]) and len(givers) >= patterns // 2:
             run(lo, i, givers)
             lo, givers = i, []
-        bits = own[i] >> at[i]
-        for o in range(len(words[i]) - WINDOW + 1):
+        bits, words = own[i] >> at[i], np.frombuffer(raw[i], np.uint32).tolist() if own[i] else []
+        for o in range(len(words) - WINDOW + 1):
             if bits >> o & 1:
-                givers.append((tuple(words[i][o:o + WINDOW]), (doc[i], first[i] + at[i] + o)))
+                givers.append((tuple(words[o:o + WINDOW]), (doc[i], first[i] + at[i] + o)))
     for j in range(0, len(givers), patterns):      # more than one only if a single shard holds so many
         run(lo, len(h), givers[j:j + patterns])
     keep = [i for i in range(len(h)) if matched[i]]
