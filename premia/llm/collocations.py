@@ -6,9 +6,10 @@ language.
 
 1. Tasks count the hashes of their phrases and send them to hash partitions, a few
    kilobytes to a row. Each partition merges them in a Misra-Gries summary whose capacity
-   exceeds its mass (announced first) divided by the threshold, so that all decrements
-   together stay below the threshold and no frequent phrase is lost. Phrases of one and two
-   words go first; of longer ones only those whose word pairs all survived.
+   exceeds its mass (announced first) divided by the threshold (``ROOM`` times), so that all
+   decrements together stay below the threshold and no frequent phrase is lost; counters that
+   stay below the threshold even with all decrements added back are dropped. Phrases of one
+   and two words go first; of longer ones only those whose word pairs all survived.
 2. Survivors become a sieve of at most ``SIEVE_BITS`` bits (a fuller sieve passes more, never
    less). A second pass counts exactly, by language and words, the phrases that it passes.
 3. Candidates are joined with the counts of their parts and of longer candidates.
@@ -33,6 +34,7 @@ from premia.llm.common import materialise, table
 
 THRESHOLD = 30
 LONGEST = 4
+ROOM = 4                   # capacity of a summary, as a multiple of mass / threshold
 TOP = 2000
 SIEVE_BITS = 1 << 28       # at most 32 MB
 PART_CHARS = 16 << 20      # of text for each hash partition
@@ -131,7 +133,7 @@ class MisraGries:
     """Summary of one hash partition; merging summaries and cutting to ``capacity`` keeps the guarantee."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.held = capacity, 0
+        self.capacity, self.held, self.lost = capacity, 0, 0
         self.keys, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -150,19 +152,24 @@ class MisraGries:
         self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
         over = len(self.keys) - self.capacity
         if over > 0:      # the largest counter that has to go is taken off all
-            self.counts = self.counts - np.partition(self.counts, over - 1)[over - 1]
+            cut = int(np.partition(self.counts, over - 1)[over - 1])
+            self.counts, self.lost = self.counts - cut, self.lost + cut
             keep = self.counts > 0
             self.keys, self.counts = self.keys[keep], self.counts[keep]
         self.waiting, self.held = [], 0
 
+    def at_least(self, threshold: int) -> np.ndarray:
+        """Keys that may occur ``threshold`` times: a count is at most its counter and all decrements."""
+        self.settle()
+        return self.keys[self.counts + self.lost >= threshold]
+
 
 def _survivors(batches, parts: int, bits: int, threshold: int):
     """One row per partition: its region of the sieve."""
     def region(p, summary):
-        summary.settle()
         size = bits - parts
         mask = np.zeros(1 << size, np.uint8)
-        mask[summary.keys >> np.uint32(32 - size)] = 1
+        mask[summary.at_least(threshold) >> np.uint32(32 - size)] = 1
         return pa.RecordBatch.from_arrays([pa.array([p], pa.int64()),
                                            pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())],
                                           names=["p", "region"])
@@ -178,7 +185,7 @@ def _survivors(batches, parts: int, bits: int, threshold: int):
                 mass += int.from_bytes(h, "little")
                 continue
             if summary is None:
-                summary = MisraGries(mass // threshold + 1)
+                summary = MisraGries(ROOM * mass // threshold + 1)
             summary.merge(np.frombuffer(h, np.uint32), np.frombuffer(c, np.uint32))
     if summary is not None:
         yield region(p, summary)
