@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -116,16 +117,26 @@ def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
         yield pa.Table.from_batches(waiting).combine_chunks(), np.zeros(1, np.int64)
 
 
+TOGETHER = 4 << 20           # bytes of small groups that a function takes at once
+
+
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str,
                together: bool = False) -> DataFrame:
     """``fn`` over each group of equal non-null integer ``keys``; many small groups share an Arrow batch.
 
-    ``together``: ``fn`` takes several whole groups at once.
+    ``together``: ``fn`` takes several whole groups at once, about ``TOGETHER`` bytes or one group.
     """
     def run(batches):
         for whole, at in complete_groups(batches, keys):
             ends = [*at[1:].tolist(), len(whole)]
-            out = [fn(whole)] if together else [fn(whole.slice(i, j - i)) for i, j in zip(at.tolist(), ends, strict=True)]
+            if together:
+                most, i = max(1, TOGETHER * len(whole) // max(1, whole.nbytes)), 0
+                while i < len(whole):
+                    j = ends[max(bisect_right(ends, i + most) - 1, bisect_right(ends, i))]
+                    yield from fn(whole.slice(i, j - i)).combine_chunks().to_batches()
+                    i = j
+                continue
+            out = [fn(whole.slice(i, j - i)) for i, j in zip(at.tolist(), ends, strict=True)]
             yield from pa.concat_tables(out).combine_chunks().to_batches()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
