@@ -6,12 +6,15 @@ characters, ASCII lower-cased. Items are put in classes of length ratio 2. A cla
 passages are two cells of as many words as its longest item has, starting at every
 cell, so an item lies whole in some passage.
 
-Retrieval is exact: all items whose BM25 score reaches ``SHARE`` of their score
-with themselves. Items are put in blocks; the index holds each term's largest
+Retrieval is exact: all items whose BM25 score reaches their threshold, a lower bound of
+the scores of passages that hold ``OVERLAP`` of the item's shingles: each term's impact is
+spread over the shingles that hold it, and the dearest shingles that may be missing are
+taken off the item's score with itself. Items are put in blocks; the index holds each term's largest
 impact per block. Of each block the commonest terms, as many as together stay under
 half of the block's lowest threshold, are not essential: they cannot make a match
 alone. A block is scored for a passage only if the maxima of the essential terms that
-the passage holds, plus all that the others could add, reach the lowest threshold.
+the passage holds, plus all that the others could add, reach the lowest threshold. (These essential terms do what
+WAND's pivots do over posting cursors, for all passages of a batch at once.)
 
 A retrieved item is verified on 5-word shingles: its last sentence is its answer
 and the rest its question (an item of one sentence is a question). The document
@@ -40,12 +43,12 @@ from premia.llm import textops
 from premia.llm.common import bounded, materialise
 
 K1, B = 1.2, 0.75
-SHARE = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 4
 SLICE = 1_000_000
-_ITEM_SCHEMA = "item_id long, row long, n long, terms array<long>, tf array<long>, question array<long>, answer array<long>"
+_ITEM_SCHEMA = ("item_id long, row long, n long, terms array<long>, tf array<long>, question array<long>, answer array<long>, "
+                "of array<long>, unit array<long>")
 
 
 def _words(text: str) -> textops.Words:
@@ -53,6 +56,20 @@ def _words(text: str) -> textops.Words:
     return textops.Words(raw, np.array([0, len(raw)]), textops.NOT_ALNUM)
 
 
+def holders(h: np.ndarray, terms: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (term number, shingle number) pairs of a part: which of its distinct shingles hold which terms."""
+    k = min(k, len(h))
+    if not k:
+        return (np.zeros(0, np.int64),) * 2
+    n = len(h) - k + 1
+    code = np.zeros(n, np.uint64)
+    for j in range(k):
+        code = textops.mix(code + h[j:j + n])
+    units, unit = np.unique(code, return_inverse=True)
+    at = np.unique(np.concatenate([np.searchsorted(terms, h[j:j + n]) * len(units) + unit for j in range(k)]))
+    return at // len(units), at % len(units)
+
+
 def part_shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of all runs of k words of a part; a shorter part is one run; none for an empty part."""
     k = min(k, len(h))
@@ -78,17 +95,29 @@ def item_rows(items: DataFrame) -> DataFrame:
             for i, text, row in zip(*(b.column(c).to_pylist() for c in ("item_id", "text", "row")), strict=True):
                 h = _words(text).hash
                 terms, tf = np.unique(h, return_counts=True)
-                q, a = (part_shingles(_words(x).hash) for x in split_item(text))
-                out.append((i, row, len(h), terms.view(np.int64), tf, q.view(np.int64), a.view(np.int64)))
+                parts = [_words(x).hash for x in split_item(text)]
+                q, a = (part_shingles(x) for x in parts)
+                (of, unit), (of_a, unit_a) = (holders(x, terms) for x in parts)
+                out.append((i, row, len(h), terms.view(np.int64), tf, q.view(np.int64), a.view(np.int64),
+                            np.concatenate([of, of_a]), np.concatenate([unit, unit_a + len(q)])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[j] for x in out], t) for j, t in enumerate([pa.int64()] * 3 + [pa.list_(pa.int64())] * 4)],
-                names=["item_id", "row", "n", "terms", "tf", "question", "answer"])
+                [pa.array([x[j] for x in out], t) for j, t in enumerate([pa.int64()] * 3 + [pa.list_(pa.int64())] * 6)],
+                names=["item_id", "row", "n", "terms", "tf", "question", "answer", "of", "unit"])
 
     return items.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("long").alias("item_id"), "text").distinct().withColumn(
         "row", F.xxhash64("item_id", "text")).mapInArrow(run, _ITEM_SCHEMA).where("n > 0")
 
 
+def lowest_score(row, impact: np.ndarray) -> float:
+    """Least BM25 score of a passage with ``OVERLAP`` of an item's shingles: without a term, all that hold it are missing."""
+    of, unit = np.array(row["of"], np.int64), np.array(row["unit"], np.int64)
+    total = len(row["question"]) + len(row["answer"])
+    worth = np.bincount(unit, (impact / np.maximum(1, np.bincount(of, minlength=len(impact))))[of], total)
+    missing = total - int(np.ceil(OVERLAP * total - 1e-9))
+    return float(impact.sum() - np.sort(worth)[total - missing:].sum())
+
+
 class Index:
     """BM25 impacts of a slice of the items, by term, with block maxima and the essential terms."""
 
@@ -103,7 +132,8 @@ class Index:
         n = np.array([r["n"] for r in items], float)[item]
         of = np.array([df[t] for r in items for t in r["terms"]], float)
         impact = np.log1p((count - of + 0.5) / (of + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
-        self.threshold = SHARE * np.bincount(item, impact, len(items))
+        own = np.split(impact, np.cumsum([len(r["terms"]) for r in items])[:-1])
+        self.threshold = np.array([lowest_score(r, x) for r, x in zip(items, own, strict=True)])
         self.terms, t = np.unique(term, return_inverse=True)
         order = np.lexsort((item, t))
         self.item, self.impact = item[order], impact[order]
@@ -229,7 +259,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not stats["n"]:
         return spark.createDataFrame([], _HIT_SCHEMA)
     df = materialise(rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")), "bench-df")
-    sized = rows.select("row", (F.size("terms") + F.size("question") + F.size("answer")).alias("w"))
+    sized = rows.select("row", (F.size("terms") + F.size("question") + F.size("answer") + F.size("of")).alias("w"))
     slices = max(1, -(-int(sized.agg(F.sum("w")).first()[0]) // SLICE))
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
