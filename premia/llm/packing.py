@@ -55,14 +55,19 @@ class Encoder:
 
     The tokenizer's own split never joins a space that a visible character follows
     to what is before it, so a text can be cut before every such space and its words
-    encoded alone.
+    encoded alone. Added tokens (such as an end-of-text mark) inside a text are cut out first
+    and keep their ids, as the tokenizer has it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # Tokens that take blanks or whole words only with them are left to the tokenizer itself.
+        self.odd = any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added.values())
+        self.added = {c: array("I", [i]).tobytes() for c, (i, _) in added.items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.cache: dict[str, bytes] = {}
         tokens = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(tokens.values()) + 1, bool)      # tokens that begin with a space
@@ -107,6 +112,13 @@ class Encoder:
         self.cache.update((w, self._ids(" " + w)) for w in words if not w or " " in w)
 
     def encode(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self._plain(text)
+        if self.odd:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(self.marks.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         words = _BREAK.split(text) if _SPACE.search(text) else text.split(" ")
