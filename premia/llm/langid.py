@@ -26,14 +26,14 @@ PROFILE_SIZE = 400        # n-grams in a language's profile and in a document's
 SAMPLE_PER_LANG = 3000    # expected number of training documents per language
 MAX_LANGS = 1000          # largest number of learned languages (profiles go to every task)
 _BITS = 21                # of a code point
-# Everything but letters and marks separates words.
+# Letters and other numerals make words; a text without a letter has none.
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
 def _grams(text: str) -> np.ndarray:
     """Codes of all 1-, 2- and 3-grams of a lower-cased text; empty without letters."""
     words = _NOT_LETTER.sub(" ", text.lower()).strip()
-    if not words:
+    if not any(map(str.isalpha, words)):
         return np.zeros(0, np.uint64)
     c = np.frombuffer(f" {words} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     two = (c[:-1] << np.uint64(_BITS)) | c[1:]
