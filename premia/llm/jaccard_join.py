@@ -92,7 +92,9 @@ def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the subtrees that the sorted set ``s`` goes to."""
     band = int(np.searchsorted(_LOWS, len(s), "right")) - 1
     out = []
-    bands = [band] + ([band + 1] if 100 * len(s) >= percent * int(_LOWS[band + 1]) else [])
+    bands = [band]       # and all that hold sets large enough to be linked with
+    while 100 * len(s) >= percent * int(_LOWS[bands[-1] + 1]):
+        bands.append(bands[-1] + 1)
     code = textops.mix(s)
     total = np.concatenate([[np.uint64(0)], np.cumsum(code, dtype=np.uint64)])
     for b in bands:
