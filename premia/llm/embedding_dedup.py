@@ -322,17 +322,24 @@ def link_counts(comp: DataFrame, table: DataFrame, threshold: float) -> DataFram
         F.sum("n").alias("n"))
 
 
-def audit(table: DataFrame, comp: DataFrame, threshold: float, n: int) -> float:
-    """The lower recall of nodes in small and in other components: mean share of a sampled node's links inside its own."""
+def audit(table: DataFrame, comp: DataFrame, threshold: float, n: int) -> float | None:
+    """The lower recall of nodes in small and in other components: mean share of a sampled node's links inside its own.
+
+    The sample is drawn from all nodes and as much again from those with a link found. None: no sampled node has a link,
+    so nothing was measured.
+    """
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
     known = table.join(comp.join(size, "component"), "id", "left").select(
         "id", "cls", "unit", F.coalesce("component", "id").alias("component"), F.coalesce("c", F.lit(1)).alias("c"))
     unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    near = comp.count()
     width = table.agg(F.max(F.octet_length("unit"))).first()[0] or 1
     most = max(AUDIT, AUDIT_BYTES // width)
     asked = AUDIT
     while True:
-        sample = known.where(unit * F.lit(max(1, n)) < F.lit(asked << 30)).limit(2 * most).collect()     # a bounded sample
+        drawn = (unit * F.lit(max(1, n)) < F.lit(asked << 30)) | (
+            (F.col("c") > 1) & (unit * F.lit(max(1, near)) < F.lit(asked << 30)))
+        sample = known.where(drawn).limit(3 * most).collect()     # a bounded sample
         queries: dict = {}
         for i, r in enumerate(sample):
             queries.setdefault((r["cls"], len(r["unit"])), []).append((i, r["id"], r["component"], bytes(r["unit"])))
@@ -365,7 +372,7 @@ def audit(table: DataFrame, comp: DataFrame, threshold: float, n: int) -> float:
     shares: dict = {}
     for r in got:
         shares.setdefault(sample[r["i"]]["c"] <= K, []).append(r["found"] / r["true"])
-    return min((float(np.mean(x)) for x in shares.values()), default=1.0)
+    return min((float(np.mean(x)) for x in shares.values()), default=None)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) -> DataFrame:
@@ -373,7 +380,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) ->
     members, table = nodes(vectors)
     labels = table.groupBy("cls").count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
     n, codes = labels["n"] or 0, code_count(labels["most"] or 0, threshold)
-    lists = None
+    lists = share = None
     for attempt in range(TRIES):
         found = directed(code_edges(table, attempt * codes, codes))
         if lists is not None:
@@ -384,10 +391,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) ->
         more = enlarge(lists, comp, table, threshold, k)
         if more is not None and not is_empty(more):
             comp = materialise(components(linked.union(more.select("a", "b"))), "nn-components")
-        if audit(table, comp, threshold, n) >= RECALL:
+        share = audit(table, comp, threshold, n)
+        if share is None or share >= RECALL:
             break
         k *= 2
-    else:
+    if share is None or share < RECALL:      # nothing measured is no pass
         comp = materialise(components(exact_links(table, threshold)), "nn-components")
     n = link_counts(comp, table, threshold)
     per = table.select("id", "copies").join(n, "id", "left").join(comp, "id", "left").select(
