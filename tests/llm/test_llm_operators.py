@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -110,6 +111,16 @@ def test_jaccard_components(spark, k, percent):
     assert got[None][1] is None
 
 
+def test_jaccard_links_across_size_bands(spark):
+    r = random.Random(6)
+    texts = []
+    for i in range(40):
+        w = [f"p{i}w{j}" for j in range(13)]
+        texts += [" ".join(r.sample(w, 13)), " ".join(w[:8])]
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(make_docs(spark, texts), 1, 60).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     r = random.Random(2)
@@ -171,7 +182,6 @@ def test_packing_round_trip(spark):
     got = packing.piece_digests(docs).toPandas()
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     for i, t in enumerate(texts):
         if t == "NOID":
             continue
@@ -245,6 +255,44 @@ def test_decontamination_brute_force(spark):
     assert len(kept) == len(texts) - 6
 
 
+def brute_contained(texts, items):
+    """(text, item) pairs where one passage holds 0.8 of the item's question and answer shingles."""
+    plain = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    top = {}
+    for x in items:
+        n = max(1, len(plain(x)))
+        top[(n - 1).bit_length()] = max(top.get((n - 1).bit_length(), 0), n)
+    out = set()
+    for j, item in enumerate(items):
+        parts = [plain(x) for x in decontaminate.split_item(item)]
+        sets = [{tuple(p[i:i + min(5, len(p))]) for i in range(len(p) - min(5, len(p)) + 1)} for p in parts if p]
+        cell = top[(max(1, len(plain(item))) - 1).bit_length()]
+        for i, t in enumerate(texts):
+            w = plain(t)
+            for lo in range(0, len(w), cell):
+                part = w[lo:lo + 2 * cell]
+                held = sum(any(tuple(part[k:k + len(s)]) == s for k in range(len(part))) for one in sets for s in one)
+                if held >= 0.8 * sum(map(len, sets)):
+                    out.add((i, j))
+    return out
+
+
+def test_decontamination_without_answers(spark):
+    """Whole questions quoted without their rare answers, and other parts of items, as by computed shingle containment."""
+    r = random.Random(21)
+    items = [rng_text(r, 40, 60) + ". " + " ".join(f"rare{i}x{j}" for j in range(5)) + "." for i in range(40)]
+    items += [rng_text(r, r.randrange(5, 70), 60) + "? " + rng_text(r, r.randrange(1, 9), 900) + "." for _ in range(40)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [rng_text(r, 20, 60) + " " + x.split(".")[0] + " " + rng_text(r, 25, 60) for x in items[:40]]
+    for x in items:
+        w = x.split()
+        lo, n = r.randrange(len(w)), int(len(w) * r.uniform(0.75, 1.0))
+        texts += [" ".join(w[:n]), " ".join(w[len(w) - n:]), " ".join(w[:lo] + ["zz"] + w[lo + 1:]), rng_text(r, 80, 60)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(make_docs(spark, texts), bench).collect()}
+    want = brute_contained(texts, items)
+    assert got == want and {(i, i) for i in range(40)} <= want
+
+
 def test_language_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.learn(docs.where(~langid.held_out()))
@@ -252,7 +300,10 @@ def test_language_id(spark):
     assert (got.lang == got.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
     odd = langid.identify(make_docs(spark, [None, "", "123 !!", "NOID"]), model).toPandas()
     assert odd.lang_pred.tolist()[:3] == ["und"] * 3 and odd.score.tolist()[:3] == [0, 0, 0] and len(odd) == 4
+    odd = langid.identify(make_docs(spark, ["²½", "Ⅷ ①②", "١٢", "½ a"]), model).toPandas()
+    assert odd.lang_pred.tolist()[:3] == ["und"] * 3 and odd.lang_pred[3] != "und"
     assert langid.learn(docs.limit(0)) == {}
+    assert langid.identify(make_docs(spark, []), model).count() == 0
     assert langid.identify(make_docs(spark, ["word"]), {}).first().lang_pred == "und"
 
 
