@@ -19,6 +19,7 @@ from premia.operators import budget as B
 from premia.operators import kpi as K
 from premia.operators import quality as Q
 from premia.operators import narrative as N
+from premia.operators import periods as PD
 from premia.operators import rollup as R
 from premia.operators import transforms as X
 from premia.functions import classify as CL
@@ -29,7 +30,9 @@ from premia.sources.fixture import load_tables
 
 try:
     from premia.llm.queries import registry as _llm_registry
-except ImportError:
+except ModuleNotFoundError as missing:     # only the subpackage itself may be absent
+    if missing.name not in ("premia.llm", "premia.llm.queries"):
+        raise
     _llm_registry = dict
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -52,6 +55,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _registry() -> dict[str, tuple[Callable, str | None]]:
+    return core_registry() | _llm_registry()
+
+
+def core_registry() -> dict[str, tuple[Callable, str | None]]:
+    """The metric queries, without those of the corpus subpackage."""
     reg: dict[str, tuple[Callable, str | None]] = {
         "available_months": (lambda s, d: R.available_months(_t(s, d).fact, _t(s, d).monthly),
                              O.q_available_months()),
@@ -238,14 +246,67 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
     reg["load_check"] = (
         lambda s, d: Q.load_check(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, _t(s, d).calendar, _EXPECTED),
         O.q_load_check(_EXPECTED_COUNTS, _EXPECTED_OK))
+    reg["kpi_snapshot_periods"] = (lambda s, d: _pairs(s, d).kpi_snapshots(), O.q_kpi_snapshot_pairs(*PAIR_MONTHS))
+    ranged = {
+        "kpi_snapshot_periods_odd": (lambda r: r.kpi_snapshots(), O.q_kpi_snapshot_range),
+        "top_states_periods": (lambda r: r.top_states(), O.q_top_states_range),
+        "channel_mix_periods": (lambda r: r.channel_mix(), lambda a, b: O.q_mix_range("iph_channel_5", a, b)),
+        "product_mix_periods": (lambda r: r.product_mix(), lambda a, b: O.q_mix_range("product", a, b)),
+        "weekly_performance_periods": (lambda r: r.weekly_performance(), O.q_weekly_range),
+        "growth_drivers_periods": (lambda r: r.growth_drivers(), O.q_growth_range),
+        "actual_plan_forecast_periods": (lambda r: r.actual_plan_forecast(), O.q_actual_plan_forecast_range),
+        "commentary_context_periods": (
+            lambda r: r.commentary_contexts(),
+            lambda a, b: O.q_commentary_context(a, b, Period(a, b).end.strftime("%B %Y"))),
+    }
+    for kind in N.BLOCK_KINDS:
+        ranged[f"top_n_lines_{kind}_periods"] = ((lambda kind: lambda r: r.block(kind))(kind),
+                                                 (lambda kind: lambda a, b: O.block_sql(kind, a, b))(kind))
+    for key, (fn, statement) in ranged.items():
+        reg[key] = ((lambda fn: lambda s, d: fn(_ranges(s, d)))(fn), O.per_period(statement, RANGES))
+    reg["assistant_context_periods"] = (_questions, O.per_period(
+        lambda a, b: O.q_assistant_context(a, b, f"{a} to {b}", FX.BASE_YEAR, FX.PLAN_YEAR), RANGES))
     for kind in ["states", "channels", "products", "weeks", "growth"]:
         reg[f"top_n_lines_{kind}"] = (
             (lambda kind: lambda s, d: N.block(kind, _t(s, d).fact, FULL))(kind),
             O.block_sql(kind, *FX.FULL_RANGE))
-    reg.update(_llm_registry())
     return reg
 
 
+# A table of periods: every pair of months of two years; and ranges that overlap, repeat, nest, cut months or are empty.
+PAIR_MONTHS = ("1999-05-01", "2001-04-01")
+RANGES = [("full", *FX.FULL_RANGE), ("partial", *FX.PARTIAL_RANGE), ("same", *FX.PARTIAL_RANGE), ("day", "2001-03-14", "2001-03-14"),
+          ("empty", *FX.EMPTY_RANGE), ("years", "1999-11-17", "2001-04-30"), ("month", "2000-02-01", "2000-02-29")]
+_REPORTS: dict = {}
+
+
+def _report(spark: SparkSession, sf_dir: str, name: str, periods: Callable[[], DataFrame]):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _REPORTS:
+        t = _t(spark, sf_dir)
+        _REPORTS[key] = PD.PeriodReport(t.fact, t.plan, t.forecast, periods())
+    return _REPORTS[key]
+
+
+def _pairs(spark: SparkSession, sf_dir: str):
+    return _report(spark, sf_dir, "pairs", lambda: PD.month_pairs(spark, *PAIR_MONTHS))
+
+
+def _ranges(spark: SparkSession, sf_dir: str):
+    return _report(spark, sf_dir, "ranges", lambda: spark.createDataFrame(
+        RANGES, "period_id string, start_date string, end_date string"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question about every period."""
+    t = _t(spark, sf_dir)
+    asked = spark.createDataFrame([(i, *q) for i, _, _ in RANGES for q in N.ASSISTANT_QUESTIONS],
+                                  "period_id string, assistant_type string, question string")
+    years = FX.BASE_YEAR, FX.PLAN_YEAR
+    return _ranges(spark, sf_dir).assistant_contexts(
+        asked, B.plan_comparison(t.fact, t.plan, t.forecast, *years, t.monthly), *years)
+
+
 _REFRESH: dict = {}
 
 
@@ -287,12 +348,15 @@ def _formatted_kpis(k: DataFrame) -> DataFrame:
 
 # Columns each engine table must carry for the operators (fixture fact: the mapped subset).
 _EXPECTED = {
-    "fact_written_details": ["report_date", "trans_code", "written_amount", "pet_id", "returned_pet", "state",
-                             "iph_channel_5", "product", "vendor_5", "report_month"],
-    "fact_plan": ["plan_month", "metric_name", "dimension_type", "dimension_value", "plan_amount"],
-    "fact_forecast": ["forecast_month", "metric_name", "dimension_type", "dimension_value", "forecast_amount"],
-    "dim_calendar": ["date", "week_start", "month_start", "month_name", "month_number", "quarter", "year",
-                     "is_month_end"],
+    "fact_written_details": {"report_date": "date", "trans_code": "string", "written_amount": "decimal(18,2)", "pet_id": "string",
+                             "returned_pet": "int", "state": "string", "iph_channel_5": "string", "product": "string",
+                             "vendor_5": "string", "report_month": "date"},
+    "fact_plan": {"plan_month": "date", "metric_name": "string", "dimension_type": "string", "dimension_value": "string",
+                  "plan_amount": "decimal(18,2)"},
+    "fact_forecast": {"forecast_month": "date", "metric_name": "string", "dimension_type": "string",
+                      "dimension_value": "string", "forecast_amount": "decimal(18,2)"},
+    "dim_calendar": {"date": "date", "week_start": "date", "month_start": "date", "month_name": "string", "month_number": "int",
+                     "quarter": "string", "year": "int", "is_month_end": "int"},
 }
 _EXPECTED_COUNTS = {"fact_written_details": 22,  # 15 mapped + channel_type + 5 classes + key + month
                     "fact_plan": 5, "fact_forecast": 5, "dim_calendar": 8}

@@ -58,9 +58,14 @@ def actual_plan_forecast_range(fact: DataFrame, plan: DataFrame, forecast: DataF
     months = period.months()
     p = budget_total(plan, "plan_month", "plan_amount", "plan", FIVE, True, months, "month_start")
     f = budget_total(forecast, "forecast_month", "forecast_amount", "forecast", FIVE, True, months, "month_start")
-    stacked = actual.unionByName(p, allowMissingColumns=True).unionByName(f, allowMissingColumns=True)
-    cols = [c for c in stacked.columns if c != "month_start"]
-    m = stacked.groupBy("month_start").agg(*[F.max(c).alias(c) for c in cols])
+    return range_months(actual, p, f, []).orderBy("month_start")
+
+
+def range_months(actual: DataFrame, plan: DataFrame, forecast: DataFrame, keys: list[str]) -> DataFrame:
+    """Months of the three sources aligned, per value of ``keys``."""
+    stacked = actual.unionByName(plan, allowMissingColumns=True).unionByName(forecast, allowMissingColumns=True)
+    cols = [c for c in stacked.columns if c not in ("month_start", *keys)]
+    m = stacked.groupBy(*keys, "month_start").agg(*[F.max(c).alias(c) for c in cols])
     z = {c: F.coalesce(F.col(c), F.lit(0)) for c in cols}
     money = [f"{k}_{s}" for k in ("actual", "plan", "forecast") for s in ("gwp", "nbw_gwp", "renewal_gwp")]
     out_cols = []
@@ -70,11 +75,11 @@ def actual_plan_forecast_range(fact: DataFrame, plan: DataFrame, forecast: DataF
             out_cols.append((F.round(z[c], 2) if c in money else z[c]).alias(c))
     a, pl, fc = z["actual_gwp"], z["plan_gwp"], z["forecast_gwp"]
     out = m.select(
-        "month_start", *out_cols,
+        *keys, "month_start", *out_cols,
         F.round(a + fc, 2).alias("actual_plus_forecast_gwp"),
         F.round(a - pl, 2).alias("actual_vs_plan_gwp"),
         F.when(pl == 0, F.lit(None)).otherwise(M.ratio(a - pl, F.col("plan_gwp"))).alias("actual_vs_plan_pct"),
-    ).orderBy("month_start")
+    )
     return M.as_output(out)
 
 

@@ -133,12 +133,16 @@ def range_snapshot_finish(actual: DataFrame, plan: DataFrame, forecast: DataFram
     months = period.months()
     plan_row = budget_total(plan, "plan_month", "plan_amount", "plan", PLAN_METRICS[:5], True, months)
     fc_row = budget_total(forecast, "forecast_month", "forecast_amount", "forecast", PLAN_METRICS[:3], True, months)
-    row = one_row(actual, plan_row, fc_row)
+    return range_snapshot_columns(one_row(actual, plan_row, fc_row))
+
+
+def range_snapshot_columns(row: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Core measures, plan and forecast sums side by side -> the snapshot's columns, after any ``keys``."""
     # distinct counts of an empty period are 0 (a global aggregate's answer)
     row = row.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
                            for c in ("nbw_unique_pets", "renewal_unique_pets")})
     row = row.select(
-        *CORE,
+        *(keys or []), *CORE,
         M.per_pet("nbw_gwp", "nbw_unique_pets").alias("avg_nbw_premium"),
         M.per_pet("renewal_gwp", "renewal_unique_pets").alias("avg_renewal_premium"),
         *[f"plan_{s}" for _, s in PLAN_METRICS[:5]],

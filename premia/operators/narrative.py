@@ -307,13 +307,18 @@ def commentary_context(fact: DataFrame, plan: DataFrame, forecast: DataFrame, pe
     r = _refresh_for(fact, plan, forecast, period, refresh)
     b = blocks(fact, period, refresh=r)
     row = _one_row_frames([r.kpi_snapshot(), b["states"], b["channels"]])
+    return row.select(commentary_text(F.lit(period_display)).alias("context"))
+
+
+def commentary_text(display: Column) -> Column:
+    """The commentary prompt of a row with range KPIs and the state and channel blocks."""
     vals = _kpi_values()
     vals.update({
-        "period": F.lit(period_display), "vs_plan": FM.fmt_pct("gwp_vs_plan_pct"),
+        "period": display, "vs_plan": FM.fmt_pct("gwp_vs_plan_pct"),
         "nbw_vs_plan": FM.fmt_pct("nbw_vs_plan_pct"), "ren_vs_plan": FM.fmt_pct("renewal_vs_plan_pct"),
         "states": F.col("states"), "channels": F.col("channels"),
     })
-    return row.select(fill(COMMENTARY_CONTEXT_TEMPLATE, vals).alias("context"))
+    return fill(COMMENTARY_CONTEXT_TEMPLATE, vals)
 
 
 def assistant_context(fact: DataFrame, plan: DataFrame, forecast: DataFrame, period: Period,
@@ -334,12 +339,18 @@ def assistant_context(fact: DataFrame, plan: DataFrame, forecast: DataFrame, per
     qs = F.array(*[F.struct(F.lit(t).alias("assistant_type"), F.lit(q).alias("question"))
                    for t, q in (questions or ASSISTANT_QUESTIONS)])
     row = row.select("*", F.inline(qs))
+    return row.select("assistant_type", "question",
+                      assistant_text(F.lit(period_display), base_year, plan_year).alias("context"))
+
+
+def assistant_text(display: Column, base_year: int, plan_year: int) -> Column:
+    """The assistant's context of a row with question, range KPIs, blocks and full-year totals."""
     role = F.lit(ASSISTANT_DEFAULT_ROLE)
     for t, text in reversed(ASSISTANT_ROLES):
         role = F.when(F.col("assistant_type") == t, F.lit(text)).otherwise(role)
     vals = _kpi_values()
     vals.update({
-        "role": role, "question": F.col("question"), "period": F.lit(period_display),
+        "role": role, "question": F.col("question"), "period": display,
         "vs_plan": FM.fmt_pct("gwp_vs_plan_pct"),
         "nbw_mix": FM.fmt_pct("nbw_mix_pct"), "ren_mix": FM.fmt_pct("renewal_mix_pct"),
         "weeks": F.col("weeks"), "states": F.col("states"), "channels": F.col("channels"),
@@ -348,4 +359,4 @@ def assistant_context(fact: DataFrame, plan: DataFrame, forecast: DataFrame, per
         "fy_actual": FM.fmt_currency(f"fy_{base_year}_actual"), "fy_plan": FM.fmt_currency(f"fy_{plan_year}_plan"),
         "fy_af": FM.fmt_currency(f"fy_{plan_year}_actual_plus_forecast"),
     })
-    return row.select("assistant_type", "question", fill(ASSISTANT_TEMPLATE, vals).alias("context"))
+    return fill(ASSISTANT_TEMPLATE, vals)

@@ -4,15 +4,18 @@ A landing folder receives CSV chunks (source column names, header per file) over
 time. The stream binds columns by name, types them, adds the report-month
 partition column and appends plain Parquet files to the partitioned fact, next to
 those of a batch load. A micro-batch is first written to a folder of its own that
-readers ignore, then its files are renamed into the table; a batch that is run
-again only moves what is left, so each chunk lands exactly once. ``availableNow``
+readers ignore, named by the query's own id (kept in its checkpoint) and the batch
+number; then its files are renamed into the table. A batch that is run again finds its
+folder by that name and only moves what is left, so each chunk lands exactly once, while
+a new checkpoint, also at an old one's path, starts a query of its own and skips nothing.
+A folder whose recorded inputs are not the batch's is an error. ``availableNow``
 processes what has arrived and stops, so the same job serves batch back-fills and
 scheduled increments. All landing files share one column order.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,23 +36,37 @@ def written_details_stream(spark: SparkSession, landing_dir: str, max_files_per_
     return typed.withColumn(PARTITION_COLUMN, F.trunc("report_date", "month"))
 
 
+def _query_id(spark: SparkSession, checkpoint_path: str) -> str:
+    """The id that Structured Streaming wrote to the checkpoint when the query first started."""
+    lines = spark.read.text(f"{checkpoint_path.rstrip('/')}/metadata").collect()
+    return json.loads("".join(r.value for r in lines))["id"]
+
+
 class _Append:
     """``foreachBatch`` target: stages a batch, then renames its files into the table."""
 
     def __init__(self, table_path: str, checkpoint_path: str):
-        stream = hashlib.sha256(checkpoint_path.encode()).hexdigest()[:16]
-        self.table, self.staged, self.rows = table_path.rstrip("/"), f"_staged/{stream}", 0
+        self.table, self.checkpoint, self.rows, self.stream = table_path.rstrip("/"), checkpoint_path, 0, None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path
-        stage = f"{self.table}/{self.staged}/{batch_id}"
+        self.stream = self.stream or _query_id(spark, self.checkpoint)
+        stage = f"{self.table}/_staged/{self.stream}/{batch_id}"
         fs = path(stage).getFileSystem(conf)
+        inputs = sorted(batch.inputFiles())
         if not fs.exists(path(f"{stage}/_SUCCESS")):
             batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
                 PARTITION_COLUMN).parquet(stage)
+            out = fs.create(path(f"{stage}/_inputs"), True)
+            out.writeBytes(json.dumps(inputs))
+            out.close()
             self.rows += spark.read.schema(batch.schema).parquet(stage).count()
+        elif fs.exists(path(f"{stage}/_inputs")):
+            staged = json.loads("".join(r.value for r in spark.read.text(f"{stage}/_inputs").collect()) or "[]")
+            if staged != inputs:
+                raise RuntimeError(f"{stage} was staged from other files than this batch has")
         for folder in fs.listStatus(path(stage)):
             if folder.isDirectory():
                 target = path(f"{self.table}/{folder.getPath().getName()}")
