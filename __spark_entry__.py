@@ -25,8 +25,14 @@ from premia.operators import transforms as X
 from premia.functions import classify as CL
 from premia.functions import formats as FM
 from premia.plans.period import Period
+from premia.functions.ids import with_gapless_ids
+from premia.functions.sql_functions import register_functions
+from premia.operators.pet_bitmaps import PetBitmaps
+from premia.operators.views import FreshMonthlyView
+from premia.session import new_table_path
 from premia.sources import fixture as FX
 from premia.sources.fixture import load_tables
+from premia.sources.written_details import write_fact
 
 try:
     from premia.llm.queries import registry as _llm_registry
@@ -63,7 +69,7 @@ def core_registry() -> dict[str, tuple[Callable, str | None]]:
     reg: dict[str, tuple[Callable, str | None]] = {
         "available_months": (lambda s, d: R.available_months(_t(s, d).fact, _t(s, d).monthly),
                              O.q_available_months()),
-        "date_bounds": (lambda s, d: R.date_bounds(_t(s, d).fact), O.q_date_bounds()),
+        "date_bounds": (lambda s, d: R.date_bounds(_t(s, d).footers), O.q_date_bounds()),
         "year_split": (lambda s, d: R.year_split(_t(s, d).fact, _t(s, d).monthly), O.q_year_split()),
         "monthly_kpis": (lambda s, d: R.monthly_kpis(_t(s, d).fact, monthly=_t(s, d).monthly), O.q_monthly_kpis()),
         "monthly_trend": (lambda s, d: R.monthly_trend(_t(s, d).fact, _t(s, d).monthly), O.q_monthly_trend()),
@@ -126,7 +132,7 @@ def core_registry() -> dict[str, tuple[Callable, str | None]]:
         "growth_drivers_range": (
             lambda s, d: R.growth_drivers(_t(s, d).fact, FULL), O.q_growth_range(*FX.FULL_RANGE)),
         "control_totals": (
-            lambda s, d: Q.control_totals(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, _t(s, d).calendar,
+            lambda s, d: Q.control_totals(_t(s, d).footers, _t(s, d).plan, _t(s, d).forecast, _t(s, d).calendar,
                                          _t(s, d).monthly),
             O.q_control_totals()),
         "pct_change": (lambda s, d: K.month_over_month(_t(s, d).fact, _t(s, d).monthly), O.q_month_over_month()),
@@ -246,6 +252,34 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
     reg["load_check"] = (
         lambda s, d: Q.load_check(_t(s, d).fact, _t(s, d).plan, _t(s, d).forecast, _t(s, d).calendar, _EXPECTED),
         O.q_load_check(_EXPECTED_COUNTS, _EXPECTED_OK))
+    reg["detect_date_column_us"] = (lambda s, d: _detect(_weeks_as(s, d, "MM/dd/yyyy")),
+                                    O.q_detect_date_text("%m/%d/%Y", *FX.FULL_RANGE))
+    reg["detect_date_column_words"] = (lambda s, d: _detect(_weeks_as(s, d, "MMM d, yyyy")),
+                                       O.q_detect_date_text("%b %-d, %Y", *FX.FULL_RANGE))
+    reg["parse_date_column_us"] = (
+        lambda s, d: FM.parse_date_column(_weeks_as(s, d, "MM/dd/yyyy"), "drilldown_group").select("drilldown_group", "actual_gwp"),
+        O.q_week_text(*FX.FULL_RANGE))
+    reg["sequence_ids"] = (
+        lambda s, d: with_gapless_ids(_t(s, d).fact.select(*_ID_ORDER), [F.asc_nulls_first(c) for c in _ID_ORDER]).select(
+            "id", *_ID_ORDER[:-1], F.col("written_amount").cast("double").alias("written_amount")),
+        O.q_sequence_ids(_ID_ORDER))
+    for dim in ("State", "Week", "Vendor"):
+        reg[f"sql_drilldown_{dim.lower()}"] = ((lambda dim: lambda s, d: _sql(s, d, (
+            f"SELECT * FROM drilldown(DATE'{FULL.start}', DATE'{FULL.end}', '{dim}')")))(dim),
+            O.text_group(O.q_drilldown(dim, *FX.FULL_RANGE)))
+    for metric in METRICS:
+        reg[f"sql_metric_drilldown_{metric.lower()}_channel"] = ((lambda metric: lambda s, d: _sql(s, d, (
+            f"SELECT * FROM metric_drilldown(DATE'{FULL.start}', DATE'{FULL.end}', '{metric}', 'Channel')")))(metric),
+            O.q_metric_drilldown(metric, "Channel", *FX.FULL_RANGE))
+    reg["bitmap_kpi_snapshot_range"] = (
+        lambda s, d: _bitmaps(s, d).kpi_snapshot_range(_t(s, d).plan, _t(s, d).forecast, FULL), O.q_kpi_snapshot_range(*FX.FULL_RANGE))
+    reg["bitmap_kpi_snapshot_partial"] = (
+        lambda s, d: _bitmaps(s, d).kpi_snapshot_range(_t(s, d).plan, _t(s, d).forecast, PARTIAL),
+        O.q_kpi_snapshot_range(*FX.PARTIAL_RANGE))
+    for dim in ("Week", "State", "Channel", "Product"):
+        reg[f"bitmap_drilldown_{dim.lower()}"] = ((lambda dim: lambda s, d: _bitmaps(s, d).drilldown(PARTIAL, dim))(dim),
+                                                  O.q_drilldown(dim, *FX.PARTIAL_RANGE))
+    reg["monthly_kpis_after_append"] = (_appended_kpis, O.q_monthly_kpis())
     reg["kpi_snapshot_periods"] = (lambda s, d: _pairs(s, d).kpi_snapshots(), O.q_kpi_snapshot_pairs(*PAIR_MONTHS))
     ranged = {
         "kpi_snapshot_periods_odd": (lambda r: r.kpi_snapshots(), O.q_kpi_snapshot_range),
@@ -307,6 +341,44 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         asked, B.plan_comparison(t.fact, t.plan, t.forecast, *years, t.monthly), *years)
 
 
+_ID_ORDER = ["report_date", "policy_number", "pet_id", "trans_code", "written_amount"]
+
+
+def _weeks_as(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
+    """The weekly drilldown with its weeks as text of another date format."""
+    weeks = R.drilldown(_t(spark, sf_dir).fact, FULL, "Week")
+    return weeks.withColumn("drilldown_group", F.date_format("drilldown_group", pattern))
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    _t(spark, sf_dir).fact.createOrReplaceTempView("fact_written_details")
+    register_functions(spark)
+    return spark.sql(text)
+
+
+def _bitmaps(spark: SparkSession, sf_dir: str):
+    key = (spark.sparkContext.applicationId, sf_dir, "bitmaps")
+    if key not in _REPORTS:
+        _REPORTS[key] = PetBitmaps.build(_t(spark, sf_dir).fact)
+    return _REPORTS[key]
+
+
+def _appended_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly KPIs of a fact that comes in two loads, through a view that finds the appended files."""
+    fact = _t(spark, sf_dir).fact
+    path = new_table_path(spark, "fact_in_loads")
+    view = FreshMonthlyView(spark, path, new_table_path(spark, "vw_monthly_fresh"))
+    load = F.pmod(F.xxhash64("policy_number"), F.lit(2))
+    for k in range(2):
+        part = fact.where(load == k)
+        if k == 0:
+            write_fact(part, path)
+        else:
+            part.hint("rebalance", "report_month").write.mode("append").partitionBy("report_month").parquet(path)
+        view.refresh()
+    return R.monthly_kpis(fact, monthly=view.read())
+
+
 _REFRESH: dict = {}
 
 

@@ -1,6 +1,8 @@
 """User-facing API: the dashboard's queries as methods over loaded tables.
 
-Each method returns a lazy DataFrame; nothing is collected. Dates are ISO strings
+Each method returns a lazy DataFrame (``refresh``, ``periods`` and the context texts write
+small tables first); nothing is collected. Loaded with ``from_csv``, the fact and the monthly
+view are up to date whenever they are asked for: rows appended to the fact folder count. Dates are ISO strings
 or ``datetime.date``. Year parameters replace the years the dashboard hard-codes.
 
     pa = PremiumAnalytics.from_csv(spark, "landing/written_details", plan_csv=..., forecast_csv=...)
@@ -19,8 +21,9 @@ from .operators import narrative as N
 from .operators import quality as Q
 from .operators import rollup as R
 from .operators import transforms as X
+from .operators.periods import PeriodReport
 from .operators.refresh import RangeRefresh
-from .operators.views import MonthlyView
+from .operators.views import FreshMonthlyView
 from .plans.period import Period, as_date
 from .session import new_table_path
 from .sources.calendar import calendar_from_fact
@@ -31,12 +34,29 @@ class PremiumAnalytics:
     def __init__(self, fact: DataFrame, plan: DataFrame, forecast: DataFrame, calendar: DataFrame | None = None,
                  monthly: DataFrame | None = None, plan_year: int = 2026, base_year: int = 2025,
                  trend_year: int = 2024, actuals_cutoff: int = 4):
-        self.fact, self.plan, self.forecast = fact, plan, forecast
+        self._fact, self.plan, self.forecast = fact, plan, forecast
         self.calendar = calendar if calendar is not None else calendar_from_fact(fact)
-        self.monthly = monthly
+        self._monthly, self.view, self.fact_path = monthly, None, None
         self.plan_year, self.base_year, self.trend_year = plan_year, base_year, trend_year
         self.actuals_cutoff = actuals_cutoff
 
+    def _sync(self) -> None:
+        """Takes in files appended to the fact folder since the last look."""
+        if self.view is not None and (self.view.refresh() or self._monthly is None):
+            spark = self._fact.sparkSession
+            self._fact = read_fact(spark, self.fact_path, self._fact.schema)   # a new file list
+            self._monthly = self.view.read()
+
+    @property
+    def fact(self) -> DataFrame:
+        self._sync()
+        return self._fact
+
+    @property
+    def monthly(self) -> DataFrame | None:
+        self._sync()
+        return self._monthly
+
     # -- construction --------------------------------------------------------------
     @classmethod
     def from_csv(cls, spark: SparkSession, fact_csv: str, plan_csv: str, forecast_csv: str,
@@ -47,24 +67,18 @@ class PremiumAnalytics:
         path = new_table_path(spark, "fact_written_details")
         write_fact(fact, path)
         fact = read_fact(spark, path)
-        view = MonthlyView(new_table_path(spark, "vw_monthly_premium_kpis")).build(fact)
         plan = read_budget_csv(spark, plan_csv, "plan")
         forecast = read_budget_csv(spark, forecast_csv, "forecast")
         calendar = read_budget_csv(spark, calendar_csv, "calendar") if calendar_csv else None
-        pa = cls(fact, plan, forecast, calendar, view.read(spark), **years)
-        pa.view, pa.fact_path = view, path
+        pa = cls(fact, plan, forecast, calendar, **years)
+        pa.view, pa.fact_path = FreshMonthlyView(spark, path, new_table_path(spark, "vw_monthly_premium_kpis")), path
         return pa
 
-    def refresh_monthly_view(self, months: list) -> "PremiumAnalytics":
-        """After new fact rows land (e.g. from ``streaming.ingest``), recompute only the
-        given months of the materialised monthly view and read its new version."""
-        view = getattr(self, "view", None)
-        if view is None:
+    def refresh_monthly_view(self, months: list | None = None) -> "PremiumAnalytics":
+        """Brings fact and view up to date now; ``months`` need not be named, the appended files tell them."""
+        if self.view is None:
             raise ValueError("No materialised monthly view: load with from_csv")
-        spark = self.fact.sparkSession
-        self.fact = read_fact(spark, self.fact_path, self.fact.schema)   # a new file list: appended files count
-        view.refresh(self.fact, [as_date(m).replace(day=1) for m in months])
-        self.monthly = view.read(spark)
+        self._sync()
         return self
 
     @classmethod
@@ -154,6 +168,10 @@ class PremiumAnalytics:
         """All range results of a dashboard refresh from one grouping-sets scan."""
         return RangeRefresh(self.fact, self.plan, self.forecast, Period.range(start_date, end_date))
 
+    def periods(self, periods: DataFrame) -> PeriodReport:
+        """All range results for every row of ``periods(period_id, start_date, end_date)`` from one scan."""
+        return PeriodReport(self.fact, self.plan, self.forecast, periods)
+
     def exec_trend(self) -> DataFrame:
         return X.exec_trend(self.get_nbw_renewal_trend(), self.get_actual_forecast_vs_plan(), self.trend_year,
                             self.base_year, self.plan_year, self.actuals_cutoff)

@@ -95,17 +95,53 @@ def month_display(x: Column | str) -> Column:
     return F.date_format(_c(x), "MMMM yyyy")
 
 
+# Patterns tried for date text, in order of preference; the first takes ISO dates and timestamps.
+DATE_PATTERNS = [None, "M/d/yyyy", "yyyy/M/d", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d-MMM-yyyy", "yyyyMMdd"]
+
+
+def parse_dates(col: Column | str, pattern: str | None) -> Column:
+    """Text as a date by one pattern; null where it doesn't parse."""
+    text = _c(col).cast("string")
+    return F.try_to_date(text) if pattern is None else F.try_to_date(text, pattern)
+
+
+def date_shares(df: DataFrame, col: str) -> DataFrame:
+    """One row, one scan: ``shares``, the parsed fraction of all rows by each of ``DATE_PATTERNS``."""
+    return df.agg(F.array(*[F.avg(parse_dates(col, p).isNotNull().cast("double")) for p in DATE_PATTERNS]).alias("shares"))
+
+
+def best_pattern(shares: Column) -> Column:
+    """Place of the pattern that parses most rows, the first of equals."""
+    return F.array_position(shares, F.array_max(shares)).cast("int")
+
+
+def by_pattern(col: Column | str, place: Column) -> Column:
+    """The date by the pattern at a place (from 1) of ``DATE_PATTERNS``."""
+    out = F.lit(None).cast("date")
+    for i, p in reversed(list(enumerate(DATE_PATTERNS, 1))):
+        out = F.when(place == i, parse_dates(col, p)).otherwise(out)
+    return out
+
+
 def date_share(df: DataFrame, col: str) -> DataFrame:
-    """One row: the fraction of rows whose value parses as a date (X8)."""
-    parsed = F.try_to_date(F.col(col).cast("string"))
-    return df.agg(F.avg(parsed.isNotNull().cast("double")).alias("date_share"))
+    """One row: the fraction of rows that parse as dates by the best pattern (X8)."""
+    return date_shares(df, col).select(F.array_max("shares").alias("date_share"))
+
+
+def parse_date_column(df: DataFrame, col: str, threshold: float | None = None) -> DataFrame:
+    """``df`` with a text column turned into dates by its best pattern if more than ``threshold`` of it parses."""
+    limit = DATE_SHARE_THRESHOLD if threshold is None else threshold
+    shares = date_shares(df, col).scalar()
+    place = F.when(F.array_max(shares) > limit, best_pattern(shares))
+    return df.withColumn(col, F.when(place.isNotNull(), F.date_format(by_pattern(col, place), "yyyy-MM-dd")).otherwise(
+        F.col(col).cast("string")))
 
 
 def format_report(df: DataFrame) -> DataFrame:
     """Format the known date / currency / count / percent columns; keep others.
 
     ``drilldown_group`` is shown as ``yyyy-MM-dd`` when more than 80% of its values
-    parse as dates, else as text (a null group as ``None``). For a text column the share is a distributed
+    parse as dates by one of ``DATE_PATTERNS``, else as text (a null group as ``None``). For a text column the share is a distributed
     global aggregate used through a scalar subquery (no value reaches the driver).
     """
     cols = {}
@@ -119,13 +155,13 @@ def format_report(df: DataFrame) -> DataFrame:
             cols["drilldown_group"] = F.date_format("drilldown_group", "yyyy-MM-dd")
         else:
             as_text = F.col("drilldown_group").cast("string")
-            parsed = F.try_to_date(as_text)
+            tried = F.array(*[F.avg(parse_dates("drilldown_group", p).isNotNull().cast("double")) for p in DATE_PATTERNS])
             # The struct also takes the max of every column so that the subquery's
             # plan equals the main one and Spark reuses its shuffle (one scan).
             others = [F.max(c).alias(f"_k{i}") for i, c in enumerate(df.columns)]
-            share = df.agg(F.struct(F.avg(parsed.isNotNull().cast("double")).alias("share"), *others)
-                           .alias("t")).scalar().getField("share")
-            cols["drilldown_group"] = F.when(share > F.lit(DATE_SHARE_THRESHOLD),
+            shares = df.agg(F.struct(tried.alias("shares"), *others).alias("t")).scalar().getField("shares")
+            parsed = by_pattern("drilldown_group", best_pattern(shares))
+            cols["drilldown_group"] = F.when(F.array_max(shares) > F.lit(DATE_SHARE_THRESHOLD),
                                              F.date_format(parsed, "yyyy-MM-dd")).otherwise(F.coalesce(as_text, F.lit("None")))
     for c in CURRENCY_COLUMNS:
         if c in df.columns:

@@ -207,6 +207,7 @@ class Tables:
     calendar: DataFrame
     fact_path: str | None = None
     monthly: DataFrame | None = None   # materialised monthly KPI view (decimal measures)
+    footers: DataFrame | None = None   # the fact for MIN, MAX and COUNT from file footers
 
 
 _CACHE: dict[tuple[str, str], Tables] = {}
@@ -221,7 +222,7 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
     the six-way join is cut, and a lost executor only re-reads files.
     """
     from .calendar import calendar_from_fact
-    from .written_details import read_fact, write_fact
+    from .written_details import footer_scan, read_fact, write_fact
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _CACHE:
@@ -229,11 +230,12 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
     fact = fixture_fact(spark, sf_dir)
     plan = plan_fixture(spark)
     forecast = forecast_fixture(plan)
-    path = None
+    path = footers = None
     if materialize:
         path = new_table_path(spark, "fact_written_details")
         write_fact(fact, path)
         fact = read_fact(spark, path, fact.schema)
+        footers = footer_scan(spark, path, fact.schema)
         plan = _materialize(plan, new_table_path(spark, "fact_plan"))
         forecast = _materialize(forecast, new_table_path(spark, "fact_forecast"))
     calendar = calendar_from_fact(fact)
@@ -242,7 +244,8 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
         from ..operators.views import MonthlyView
         calendar = _materialize(calendar, new_table_path(spark, "dim_calendar"))
         monthly = MonthlyView(new_table_path(spark, "vw_monthly_premium_kpis")).build(fact).read(spark)
-    tables = Tables(fact=fact, plan=plan, forecast=forecast, calendar=calendar, fact_path=path, monthly=monthly)
+    tables = Tables(fact=fact, plan=plan, forecast=forecast, calendar=calendar, fact_path=path, monthly=monthly,
+                    footers=footers)
     _CACHE[key] = tables
     return tables
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,22 +22,56 @@ class SchemaError(ValueError):
     pass
 
 
-def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    # The header is the first line of the first file; reading it needs one tiny task.
-    first = spark.read.options(**CSV_OPTIONS | {"header": False, "enforceSchema": True}).csv(path).limit(1).collect()
-    if not first:
-        raise SchemaError(f"Empty input: {path}")
-    return [c if c is not None else f"_c{i}" for i, c in enumerate(first[0])]
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The data files at a path, folder or pattern; hidden ones are left out. No match is Spark's PATH_NOT_FOUND."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, todo = [], [x for x in fs.globStatus(where) or []]
+    if not todo:
+        spark.read.text(path)
+    while todo:
+        x = todo.pop()
+        if x.isDirectory():
+            todo += [y for y in fs.listStatus(x.getPath()) if y.getPath().getName()[0] not in "_."]
+        else:
+            out.append(x.getPath().toString())
+    return sorted(out)
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names of one file: its first record."""
+    first = spark.read.options(**CSV_OPTIONS | {"header": False, "enforceSchema": True, "multiLine": False}).csv(file).limit(
+        1).collect() if file.endswith((".gz", ".bz2", ".zst", ".deflate", ".lz4", ".snappy")) else None
+    if first is not None:
+        return tuple(c if c is not None else f"_c{i}" for i, c in enumerate(first[0])) if first else ()
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(file)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([line.lstrip("\ufeff")]), ())) if line else ()
 
 
 def _read_named(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """All columns as text under the header's names; the files of a folder share one column order."""
-    header = _csv_header(spark, path)
-    missing = sorted(set(wanted) - set(header))
-    if missing:
-        raise SchemaError(f"Missing columns in {path}: {missing}")
-    return (spark.read.options(**CSV_OPTIONS)
-            .schema(T.StructType([T.StructField(h, T.StringType()) for h in header])).csv(path))
+    """The wanted columns as text, bound by each file's own header: one scan per distinct header."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in _files(spark, path):
+        header = _header(spark, file)
+        missing = sorted(set(wanted) - set(header))
+        if missing:
+            raise SchemaError(f"Missing columns in {file}: {missing}" if header else f"Empty input: {file}")
+        groups.setdefault(header, []).append(file)
+    if not groups:
+        raise SchemaError(f"Empty input: {path}")
+    out = None
+    for header, files in groups.items():
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+        rows = spark.read.options(**CSV_OPTIONS).schema(schema).csv(files).select(*[f"`{c}`" for c in wanted])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def read_written_details_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +124,22 @@ def read_fact(spark: SparkSession, path: str, schema: T.StructType | None = None
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+def footer_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The fact for minimum, maximum and count over all rows, which Parquet footers answer.
+
+    Read through the second version of the file source, which pushes such aggregates into the
+    footers; no data page is read. Other queries want ``read_fact``.
+    """
+    fields = [f for f in schema.fields if f.name != PARTITION_COLUMN] + [T.StructField(PARTITION_COLUMN, T.DateType())]
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")       # concerns this kind of scan alone
+    old = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in old.split(",") if x != "parquet"))
+    try:
+        return spark.read.schema(T.StructType(fields)).parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", old)
+
+
 def resolve_vendor_column(df: DataFrame) -> str:
     """The vendor column to group by: first present of vendor (5), vendor (6), vendor."""
     for c in V.VENDOR_COLUMN_PRIORITY:
