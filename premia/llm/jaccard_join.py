@@ -8,9 +8,12 @@ shingles. Sets are put in size bands of ratio 1.5 (a set near the upper end also
 goes to the next band); a band's hash space is cut into more slices than two of
 its sets may differ in, so linked sets agree on ``spare`` + 1 whole slices or more. A subtree of the
 forest holds the sets that agree on a slice: its key is (band, slice, digest of
-the slice). A set with at most ``spare`` weak slices (of few shingles) needs no subtree
-for those, as its partners agree with it on another slice; a set with more of them
-keeps them all. Subtrees with the same members are built once, and
+the slice). A set needs no subtree for slices smaller than its (``spare`` + 1)-th smallest:
+the largest slice that it agrees on with a partner is never among them, on either side.
+There are enough spare slices that empty ones, which unrelated sets would share, fall under
+this. In bands up to ``SMALL`` shingles slices would be empty too often; there the keys are a
+set's first shingles in hash order, as many as it may lack plus one, of which linked sets
+share one. Subtrees with the same members are built once, and
 sets that are equal are one member.
 
 Trees. The members of a subtree are sorted into leaves of ``FANOUT`` and upper
@@ -43,7 +46,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 from functools import lru_cache
-from math import exp
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +58,7 @@ from premia.llm.common import bounded, components, discard, map_groups, material
 
 FANOUT = 8
 BLOCK = 2048
-WEAK = 3                  # slices of fewer shingles may be weak; fewer still where slices are small
+SMALL = 64                # bands up to this size are routed by single shingles
 SETS_SCHEMA = "doc_id long, n long, d1 long, d2 long, keys array<long>"
 
 
@@ -70,22 +73,25 @@ _LOWS = np.array(_bands(), np.int64)
 
 
 @lru_cache(maxsize=None)
-def slices(band: int, percent: int) -> tuple[int, int, int]:
-    """Hash slices of a band, how many of them are spare, and the size under which a slice is weak.
+def slices(band: int, percent: int) -> tuple[int, int]:
+    """Hash slices of a band, and how many of them are spare: linked sets agree on one more than are spare.
 
-    Linked sets agree on one slice more than are spare. A slice is weak below the largest
-    size, WEAK at most, that the band's smallest sets have in fewer slices than are spare.
+    Spare slices are as many as keep the band's smallest sets from having more empty ones (mean and four deviations).
     """
     high = int(_LOWS[band + 1]) - 1
     differ = (100 - percent) * 2 * high // (100 + percent)
-    spare = 1 + differ // 6 if differ else 0
-    k = differ + spare + 1
-    mean = int(_LOWS[band]) * percent / 100 / k
-    below, term, weak = 0.0, exp(-mean), 0
-    while weak < WEAK and (weak == 0 or below + term <= 0.8 * spare / k):
-        below, weak = below + term, weak + 1
-        term *= mean / weak
-    return k, spare, weak
+    if not differ:
+        return 1, 0
+    n, spare = -(-int(_LOWS[band]) * percent // 100), 1 + differ // 6
+    while spare < 2 * differ:
+        k = differ + spare + 1
+        one, two = (1 - 1 / k) ** n, (1 - 2 / k) ** n
+        mean = k * one
+        spread = max(0.0, mean + k * (k - 1) * two - mean * mean)
+        if mean + 4 * sqrt(spread) <= spare:
+            break
+        spare += 1 + spare // 16
+    return differ + spare + 1, spare
 
 
 def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -98,14 +104,18 @@ def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
     code = textops.mix(s)
     total = np.concatenate([[np.uint64(0)], np.cumsum(code, dtype=np.uint64)])
     for b in bands:
-        k, spare, size = slices(b, percent)
+        k, spare = slices(b, percent)
         if k == 1:      # linked sets of this band are equal, hence one member already
             continue
+        if _LOWS[b] <= SMALL:
+            first = len(s) + percent * len(s) // -100 + 1
+            out.append(textops.mix(textops.mix(np.uint64([b << 44])) + code[:first]))
+            continue
         cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32), np.arange(k + 1, dtype=np.uint64))
         tag = np.arange(k, dtype=np.uint64) + np.uint64(b << 44)
         keys = textops.mix(textops.mix(tag) + (total[cut[1:]] - total[cut[:-1]]))
-        weak = np.diff(cut) < size
-        out.append(keys if weak.sum() > spare else keys[~weak])
+        size = np.diff(cut)
+        out.append(keys[size >= np.partition(size, spare)[spare]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
