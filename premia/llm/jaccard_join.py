@@ -143,12 +143,15 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def bitmap_bytes(n: int) -> int:
-    """Bytes of a bitmap: four bits a token at the top of its size band, a power of two, 32 at least.
+    """Bytes of a bitmap: two bits a token or more, a power of two, 32 at least.
+
+    Unrelated sets then reach about half of the overlap that a link asks for. A set's bitmap goes to each of
+    its subtrees, so its width is most of what is shuffled.
 
     Sizes within a factor of two of each other may get different widths; the wider
     one is folded (bits are taken modulo the narrower width).
     """
-    return 1 << max(5, int(4 * n - 1).bit_length() - 3)
+    return 1 << max(5, int(2 * n - 1).bit_length() - 3)
 
 
 def shared_keys(routed: DataFrame) -> DataFrame:
