@@ -11,7 +11,8 @@ language.
    stay below the threshold even with all decrements added back are dropped. Phrases of one
    and two words go first; of longer ones only those whose word pairs all survived.
 2. Survivors become a sieve of at most ``SIEVE_BITS`` bits (a fuller sieve passes more, never
-   less). A second pass counts exactly, by language and words, the phrases that it passes.
+   less). A second pass counts exactly, by language and words, the phrases that it passes; tasks
+   send them to the same hash partitions, packed, and each partition adds them up.
 3. Candidates are joined with the counts of their parts and of longer candidates.
 
 Cases: null or empty texts have no words; null language is ``und``; a repeated row is a
@@ -26,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,7 @@ SIEVE_BITS = 1 << 28       # at most 32 MB
 PART_CHARS = 16 << 20      # of text for each hash partition
 CHUNK = 2 << 20            # phrases counted together in a task
 ROW = 16_384               # counters in a row
+HELD = 400_000             # phrases that a task counts before it sends them on
 _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _SEPARATORS = _CUT.copy()
@@ -191,10 +194,15 @@ def _survivors(batches, parts: int, bits: int, threshold: int):
         yield region(p, summary)
 
 
+def partition_bits(chars: int, part_chars: int) -> int:
+    """Bits of a hash that name its partition: a partition for every ``part_chars`` characters of text."""
+    return max(0, math.ceil(math.log2(max(1, chars / part_chars))))
+
+
 def frequent_sieve(docs: DataFrame, sizes: list[int], chars: int, threshold: int, sieve=None, part_chars: int = PART_CHARS):
     """Broadcast ``(bytes, bits)`` that passes every phrase of ``sizes`` with ``threshold`` occurrences in a language."""
     sc = docs.sparkSession.sparkContext
-    parts = max(0, math.ceil(math.log2(max(1, chars / part_chars))))
+    parts = partition_bits(chars, part_chars)
     # Eight slots a counter; every partition has a region of at least a byte.
     bits = max(parts + 3, min(int(math.log2(SIEVE_BITS)), math.ceil(math.log2(8 * (1024 + chars / threshold)))))
     bits = min(bits, parts + 32)
@@ -208,26 +216,36 @@ def frequent_sieve(docs: DataFrame, sizes: list[int], chars: int, threshold: int
     return sc.broadcast((whole, bits))
 
 
-def _counts(batches, short, long):
-    """``(lang, phrase, size, count)`` of phrases that pass the sieves, and with a null phrase each language's words."""
-    names = ["lang", "phrase", "size", "count"]
-    found: dict[int, list] = {}
+_ENTRY = "lang string, phrase string, size int, count long"
+_TYPES = [("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("count", pa.int64())]
 
-    def rows(listed):
-        for i in range(0, len(listed), 8192):
-            part = listed[i:i + 8192]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in part], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))],
-                names=names)
+
+def _counts(batches, short, long, parts: int):
+    """Rows ``(p, entries)``: a hash partition's phrases that pass the sieves with their counts so far; entries of a
+    null phrase are each language's words."""
+    place: dict[int, int] = {}
+    keys, langs, phrases, sizes, counts = [], [], [], [], []
+
+    def rows():
+        h = np.array(keys, np.uint64)
+        p = (h >> np.uint64(64 - parts)).astype(np.int64) if parts else np.zeros(len(h), np.int64)
+        order = np.argsort(p, kind="stable")
+        flat = pa.StructArray.from_arrays([pa.array(x, t).take(pa.array(order)) for x, (_, t) in zip(
+            (langs, phrases, sizes, counts), _TYPES, strict=True)], names=[n for n, _ in _TYPES])
+        p = p[order]
+        first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)), pa.int32()), flat)
+        yield pa.RecordBatch.from_arrays([pa.array(p[first]), lists], names=["p", "entries"])
 
     for whole in batches:
         for b in textops.pieces(whole):
             ph = Phrases(b)
-            totals: dict[str, int] = {}
             for lang, n in zip(ph.langs, np.diff(ph.words.off).tolist(), strict=True):
-                if n:
-                    totals[lang] = totals.get(lang, 0) + n
-            yield from rows([(lang, None, 0, n) for lang, n in totals.items()])
+                at = place.setdefault(lang, len(keys))
+                if at == len(keys):
+                    for x, v in ((keys, 0), (langs, lang), (phrases, None), (sizes, 0), (counts, 0)):
+                        x.append(v)
+                counts[at] += n
             pairs = None
             for size in range(1, LONGEST + 1):
                 at = ph.at(size)
@@ -241,29 +259,68 @@ def _counts(batches, short, long):
                     at = at[pairs[at]]
                 else:
                     at = at[passes(sieve, bits, h[at])]
-                keys, first, counts = np.unique(h[at], return_index=True, return_counts=True)
-                for key, i, c in zip(keys.tolist(), at[first].tolist(), counts.tolist(), strict=True):
-                    known = found.get((key, size))
-                    if known:
-                        known[3] += c
+                found, first, many = np.unique(h[at], return_index=True, return_counts=True)
+                for key, i, c in zip(found.tolist(), at[first].tolist(), many.tolist(), strict=True):
+                    known = place.get(key)
+                    if known is not None:
+                        counts[known] += c
                     else:
-                        found[key, size] = [ph.langs[ph.doc[i]], ph.phrase(i, size), size, c]
-            if len(found) > 200_000:
-                yield from rows(list(found.values()))
-                found = {}
-    yield from rows(list(found.values()))
+                        place[key] = len(keys)
+                        keys.append(key)
+                        langs.append(ph.langs[ph.doc[i]])
+                        phrases.append(ph.phrase(i, size))
+                        sizes.append(size)
+                        counts.append(c)
+            if len(keys) > HELD:
+                yield from rows()
+                place = {}
+                keys, langs, phrases, sizes, counts = [], [], [], [], []
+    if keys:
+        yield from rows()
+
+
+def _totals(batches, threshold: int):
+    """Exact sums of a partition's entries, by language and words."""
+    p, held, size = None, [], 0
+
+    def settle():
+        whole = pa.concat_tables(held).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("count", "sum")])
+        return whole.select(["lang", "phrase", "size", "count_sum"]).rename_columns(["lang", "phrase", "size", "count"])
+
+    def out():
+        whole = settle()
+        keep = pc.or_(pc.is_null(whole["phrase"]), pc.greater_equal(whole["count"], threshold))
+        return whole.filter(keep).combine_chunks().to_batches()
+
+    for b in batches:
+        parts, lists = b.column("p").to_numpy(), b.column("entries")
+        first = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, np.int64)
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(parts)], strict=True):
+            if parts[i] != p:
+                if held:
+                    yield from out()
+                p, held, size = parts[i], [], 0
+            entries = lists.slice(i, j - i).flatten()
+            held.append(pa.table([entries.field(k) for k in range(4)], names=[n for n, _ in _TYPES]))
+            size += len(entries)
+            if size > 1_000_000 and len(held) > 1:
+                held = [settle()]
+                size = 0
+    if held:
+        yield from out()
 
 
 def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, part_chars: int = PART_CHARS) -> DataFrame:
     """``(lang, phrase, size, a)`` of all phrases with at least ``threshold`` occurrences, and null phrase: all words."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = partition_bits(chars, part_chars)
     short = frequent_sieve(docs, [1, 2], chars, threshold, part_chars=part_chars)
     long = frequent_sieve(docs, list(range(3, LONGEST + 1)), chars, threshold, short, part_chars)
-    counts = docs.mapInArrow(lambda b: _counts(b, short, long), "lang string, phrase string, size int, count long")
-    # A sum of zero rows never occurs; phrases that only passed the sieve fall out here.
-    return counts.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("a")).where(
-        f"phrase is null or a >= {int(threshold)}")
+    sent = docs.mapInArrow(lambda b: _counts(b, short, long, parts), f"p long, entries array<struct<{_ENTRY}>>")
+    # Phrases that only passed the sieve fall out here.
+    return sent.repartition("p").sortWithinPartitions("p").mapInArrow(
+        lambda b: _totals(b, threshold), _ENTRY).withColumnRenamed("count", "a")
 
 
 def collocations(docs: DataFrame, top: int = TOP, threshold: int = THRESHOLD, part_chars: int = PART_CHARS) -> DataFrame:
