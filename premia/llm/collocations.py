@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -217,25 +218,32 @@ def frequent_sieve(docs: DataFrame, sizes: list[int], chars: int, threshold: int
 
 
 _ENTRY = "lang string, phrase string, size int, count long"
-_TYPES = [("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("count", pa.int64())]
+_PACKED = [("p", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary()), ("words", pa.int64())]
 
 
 def _counts(batches, short, long, parts: int):
-    """Rows ``(p, entries)``: a hash partition's phrases that pass the sieves with their counts so far; entries of a
-    null phrase are each language's words."""
+    """Rows of a hash partition and language: its phrases that pass the sieves, sorted and compressed, with their counts
+    so far (a line end is in no word); rows without phrases hold each language's words."""
     place: dict[int, int] = {}
     keys, langs, phrases, sizes, counts = [], [], [], [], []
 
     def rows():
         h = np.array(keys, np.uint64)
         p = (h >> np.uint64(64 - parts)).astype(np.int64) if parts else np.zeros(len(h), np.int64)
-        order = np.argsort(p, kind="stable")
-        flat = pa.StructArray.from_arrays([pa.array(x, t).take(pa.array(order)) for x, (_, t) in zip(
-            (langs, phrases, sizes, counts), _TYPES, strict=True)], names=[n for n, _ in _TYPES])
-        p = p[order]
-        first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)), pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(p[first]), lists], names=["p", "entries"])
+        groups: dict = {}
+        for i, q in enumerate(p.tolist()):
+            groups.setdefault((q, langs[i]) if phrases[i] is not None else (0, langs[i], None), []).append(i)
+        out = []
+        for key, at in groups.items():
+            if len(key) == 3:                # a language's words
+                out.append((0, key[1], None, None, counts[at[0]]))
+                continue
+            at.sort(key=phrases.__getitem__)
+            text = zlib.compress("\n".join([phrases[i] for i in at]).encode(), 1)
+            out.append((*key, text, zlib.compress(np.array([counts[i] for i in at], np.int64).tobytes(), 1), None))
+        for i in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out[i:i + 256]], t) for k, (_, t) in enumerate(_PACKED)],
+                                             names=[n for n, _ in _PACKED])
 
     for whole in batches:
         for b in textops.pieces(whole):
@@ -293,19 +301,22 @@ def _totals(batches, threshold: int):
         return whole.filter(keep).combine_chunks().to_batches()
 
     for b in batches:
-        parts, lists = b.column("p").to_numpy(), b.column("entries")
-        first = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, np.int64)
-        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(parts)], strict=True):
-            if parts[i] != p:
+        for q, lang, text, counts, words in zip(*(b.column(n).to_pylist() for n, _ in _PACKED), strict=True):
+            if q != p:
                 if held:
                     yield from out()
-                p, held, size = parts[i], [], 0
-            entries = lists.slice(i, j - i).flatten()
-            held.append(pa.table([entries.field(k) for k in range(4)], names=[n for n, _ in _TYPES]))
-            size += len(entries)
+                p, held, size = q, [], 0
+            if text is None:
+                phrases, counts = [None], np.array([words], np.int64)
+            else:
+                phrases, counts = zlib.decompress(text).decode().split("\n"), np.frombuffer(zlib.decompress(counts), np.int64)
+            own = pa.array(phrases, pa.string())
+            spaces = pc.fill_null(pc.count_substring(own, " "), -1)
+            held.append(pa.table([pa.array([lang] * len(own), pa.string()), own, pc.add(spaces, 1).cast(pa.int32()),
+                                  pa.array(counts)], names=["lang", "phrase", "size", "count"]))
+            size += len(own)
             if size > 1_000_000 and len(held) > 1:
-                held = [settle()]
-                size = 0
+                held, size = [settle()], 0
     if held:
         yield from out()
 
@@ -317,7 +328,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, part_chars: int =
     parts = partition_bits(chars, part_chars)
     short = frequent_sieve(docs, [1, 2], chars, threshold, part_chars=part_chars)
     long = frequent_sieve(docs, list(range(3, LONGEST + 1)), chars, threshold, short, part_chars)
-    sent = docs.mapInArrow(lambda b: _counts(b, short, long, parts), f"p long, entries array<struct<{_ENTRY}>>")
+    sent = docs.mapInArrow(lambda b: _counts(b, short, long, parts), "p long, lang string, phrases binary, counts binary, words long")
     # Phrases that only passed the sieve fall out here.
     return sent.repartition("p").sortWithinPartitions("p").mapInArrow(
         lambda b: _totals(b, threshold), _ENTRY).withColumnRenamed("count", "a")
