@@ -124,7 +124,7 @@ def test_jaccard_links_across_size_bands(spark):
 def test_unrelated_sets_share_no_subtree():
     r = np.random.default_rng(4)
     for n, percent in ((1, 80), (9, 80), (12, 80), (27, 80), (70, 80), (149, 80), (400, 80), (30, 90), (500, 90)):
-        keys = [jaccard_join.routing_keys(np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)), percent) for _ in range(3000)]
+        keys = [jaccard_join.routing_keys(np.unique(r.integers(0, 1 << 64, n, np.uint64)), percent) for _ in range(3000)]
         _, members = np.unique(np.concatenate(keys), return_counts=True)
         assert len(members) == 0 or members.max() <= 3, (n, percent)
 
