@@ -28,7 +28,7 @@ def registry() -> dict:
         "op9_embedding_dedup": (embedding_dedup.op9_embedding_dedup, embedding_dedup.ORACLE_SQL),
         "op7_toxicity": (toxicity.op7_toxicity, None),
         "op4_packing": (packing.op4_packing, None),
-        "op5_warc": (warc.op5_warc, None),
+        "op5_warc": (warc.op5_warc, warc.ORACLE_SQL),
         "op8_decontamination": (decontaminate.op8_decontamination, None),
         "op2_suffix_dedup": (suffix_dedup.op2_suffix_dedup, suffix_dedup.ORACLE_SQL),
         "op3_jaccard_join": (jaccard_join.op3_jaccard_join, jaccard_join.ORACLE_SQL),

@@ -267,3 +267,24 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return resolve(read_archives(spark, path))
+
+
+def _oracle_sql() -> str:
+    digits = " || ".join(f"substr('{_BASE32}', ((('0x' || substr(hexed, {5 * i + 1}, 5))::INT >> {s}) & 31) + 1, 1)"
+                         for i in range(8) for s in (15, 10, 5, 0))
+    return f"""
+WITH p AS (
+    SELECT page_id::BIGINT AS page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+    SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hexed,
+           max(page_id) OVER (PARTITION BY payload) AS latest
+    FROM p
+)
+SELECT page_id, payload_bytes, {digits} AS payload_digest,
+       CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < latest THEN latest END AS refers_to
+FROM d
+"""
+
+
+ORACLE_SQL = _oracle_sql()
