@@ -238,6 +238,9 @@ def test_warc_round_trip(spark, split):
         want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), kind, None if kind == "response" else top))
     have = [tuple(None if pd.isna(x) else x for x in r) for r in got[["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]].itertuples(index=False)]
     assert sorted(have, key=lambda r: key(r[0])) == sorted(want, key=lambda r: key(r[0]))
+    sql = oracle(warc.ORACLE_SQL, pages=pd.DataFrame({"page_id": pd.array([r[0] for r in rows], "Int64"), "html": [r[2] for r in rows]}))
+    stated = [tuple(None if pd.isna(x) else x for x in r) for r in sql.itertuples(index=False)]
+    assert sorted(stated, key=lambda r: key(r[0])) == sorted(want, key=lambda r: key(r[0]))
 
 
 def test_warc_min_bytes_and_empty(spark):
@@ -383,8 +386,12 @@ def test_patience_alignment():
     assert all(a[i] == b[j] for i, j in license_scan.align(a, b)) and license_scan.align([], b) == []
 
 
+def plain(template):
+    return template.replace("«", "").replace("»", "")
+
+
 def test_license_scan(spark):
-    t = license_scan.TEMPLATES
+    t = {k: plain(v) for k, v in license_scan.TEMPLATES.items()}
     texts = [None, "", "NOID", "word " * 50 + t["Apache-2.0"] + " word", t["MIT"].upper(), t["GPL-3.0"].replace("work", "thing"),
              "licensed word under word the word license", t["CC-BY-NC-4.0"] + "\n" + t["MIT"], rng_text(random.Random(1), 400)]
     got = {(r.doc_id, r.license) for r in license_scan.scan(make_docs(spark, texts)).collect()}
@@ -392,6 +399,66 @@ def test_license_scan(spark):
     assert license_scan.scan(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def found_in(text, templates=None):
+    table = [license_scan.Template(*x) for x in templates or license_scan.built_in()]
+    return license_scan.notices(license_scan.words_of(text), table)
+
+
+def test_every_template_is_named():
+    r = random.Random(6)
+    for name, text in license_scan.built_in():
+        w = plain(text).split()
+        for body in (w, [x for k, x in enumerate(w) if len(w) < 60 or k % 12 or "«" in text]):
+            got = found_in(rng_text(r, 300) + " " + " ".join(body) + " " + rng_text(r, 300))
+            assert [x[0] for x in got] == [name], (name, got)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]), ("Licensed under CC BY 2.0.", ["CC-BY-2.0"]),
+    ("Licensed under CC BY-XY 4.0.", []), ("Licensed under CC BY 7.0.", []), ("Licensed under the Apache License, Version 1.1.", []),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", []),
+    ("This work is licensed under the GNU General Public License, version 1.", [])])
+def test_no_license_for_another(text, want):
+    assert [x[0] for x in found_in(text)] == want
+
+
+def test_license_with_passages_inside_and_many():
+    r = random.Random(7)
+    mit = plain(dict(license_scan.TEXTS[::-1])["MIT"])
+    w = mit.split()
+    names = " ".join(f"Name{k} Surname{k}" for k in range(3000))
+    got = found_in(rng_text(r, 100) + " " + " ".join(w[:60]) + " " + names + " " + " ".join(w[60:]))
+    assert [(x[0], x[1]) for x in got] == [("MIT", 1.0)] and got[0][3] - got[0][2] > 6000
+    # Half a licence isn't one; its first sentence is a template of its own.
+    assert [x[0] for x in found_in(" ".join(w[:80]))] == ["MIT-text"]
+    assert [x[0] for x in found_in((mit + " " + rng_text(r, 5) + " ") * 50)] == ["MIT"] * 50
+    line = plain(license_scan.TEMPLATES["Apache-2.0"])
+    assert len(found_in((line + " ") * 8000)) == 8000
+
+
+def test_license_spans_that_overlap():
+    r = random.Random(8)
+    rows = [("abc"[r.randrange(3)], r.randrange(80, 101) / 100, s, s + r.randrange(1, 20), r.randrange(1, 30))
+            for s in (r.randrange(400) for _ in range(300))]
+    best = []
+    for x in sorted(rows, key=lambda x: (-x[4], -x[1], x[2], x[0])):
+        if all(x[3] <= y[2] or y[3] <= x[2] for y in best):
+            best.append(x)
+    assert license_scan.apart(rows) == [x[:4] for x in sorted(best, key=lambda x: x[2:])]
+
+
+def test_license_template_table(spark, monkeypatch):
+    docs = make_docs(spark, ["some words of a house licence here", None, ""])
+    table = spark.createDataFrame([("House", "words of a «house licence»", 1), ("None", None, 1), (None, "some words", 1), ("Void", "", 1)],
+                                  "license string, text string, doc_id long")
+    got = license_scan.scan(docs, table).collect()
+    assert [tuple(r) for r in got] == [(0, "House", 1.0, 1, 6)]
+    assert license_scan.scan(docs, table.limit(0)).count() == 0
+    monkeypatch.setattr(license_scan, "TABLE_BYTES", 3)
+    with pytest.raises(ValueError, match="templates"):
+        license_scan.scan(docs, table)
+
+
 def test_embedding_components(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
     g = np.random.default_rng(7)
