@@ -159,6 +159,7 @@ class Template:
             h = seeds(self.hash)
             once, at, n = np.unique(h, return_index=True, return_counts=True)
             self.seeds, self.seed_at = once[n == 1], at[n == 1]
+            self.long = len(self.seeds) > 0     # none unique: found as a short one
 
     def named(self, pairs: list[tuple[int, int]]) -> bool:
         """Whether all words of every name are aligned with words that stand together."""
@@ -266,6 +267,8 @@ def windows(h: np.ndarray, t: Template) -> list[tuple]:
 def chains(h: np.ndarray, hs: np.ndarray, t: Template) -> list[list[tuple[int, int]]]:
     """Aligned (template, text) places of a long template's regions that reach the coverage; ``hs``: the text's seeds."""
     out, n = [], len(t.words)
+    if not len(hs):
+        return out
     k = np.minimum(np.searchsorted(t.seeds, hs), len(t.seeds) - 1)
     at = np.flatnonzero(t.seeds[k] == hs)
     place = t.seed_at[k[at]]
@@ -275,7 +278,7 @@ def chains(h: np.ndarray, hs: np.ndarray, t: Template) -> list[list[tuple[int, i
         if p <= lo:
             lo = p
             starts.append(x)
-    for x0, x1 in zip(starts, [*starts[1:], len(at)], strict=True):
+    for x0, x1 in zip(starts, [*starts[1:], len(at)]):
         i, j = place[x0:x1].tolist(), at[x0:x1].tolist()
         chain = [(i[x], j[x]) for x in increasing(i)]
         # Sides more than twice the template apart count if each holds a tenth of its words.
