@@ -32,7 +32,10 @@ from premia.operators.views import FreshMonthlyView
 from premia.session import new_table_path
 from premia.sources import fixture as FX
 from premia.sources.fixture import load_tables
-from premia.sources.written_details import write_fact
+from premia.sources.schema import PLAN_SCHEMA, WRITTEN_DETAILS_COLUMNS
+from premia.sources.sinks import write_csv, write_report_csv
+from premia.sources.written_details import read_budget_csv, read_fact, read_written_details_csv, write_fact
+from premia.streaming.ingest import ingest_available
 
 try:
     from premia.llm.queries import registry as _llm_registry
@@ -279,6 +282,19 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
     for dim in ("Week", "State", "Channel", "Product"):
         reg[f"bitmap_drilldown_{dim.lower()}"] = ((lambda dim: lambda s, d: _bitmaps(s, d).drilldown(PARTIAL, dim))(dim),
                                                   O.q_drilldown(dim, *FX.PARTIAL_RANGE))
+    loaded = {
+        "csv_kpi_snapshot_range": (lambda f, p, t: K.kpi_snapshot_range(f, p, t.forecast, FULL), O.q_kpi_snapshot_range(*FX.FULL_RANGE)),
+        "csv_actual_plan_forecast_range": (lambda f, p, t: B.actual_plan_forecast_range(f, p, t.forecast, FULL),
+                                           O.q_actual_plan_forecast_range(*FX.FULL_RANGE)),
+        "csv_monthly_kpis": (lambda f, p, t: R.monthly_kpis(f), O.q_monthly_kpis()),
+        "csv_drilldown_state": (lambda f, p, t: R.drilldown(f, FULL, "State"), O.q_drilldown("State", *FX.FULL_RANGE)),
+    }
+    for key, (fn, sql) in loaded.items():
+        reg[key] = ((lambda fn: lambda s, d: fn(*_from_csv(s, d), _t(s, d)))(fn), sql)
+    reg["report_csv_drilldown_vendor"] = (_exported, O.q_drilldown("Vendor", *FX.FULL_RANGE))
+    reg["stream_monthly_kpis"] = (lambda s, d: R.monthly_kpis(_streamed(s, d)), O.q_monthly_kpis())
+    reg["stream_drilldown_channel"] = (lambda s, d: R.drilldown(_streamed(s, d), PARTIAL, "Channel"),
+                                       O.q_drilldown("Channel", *FX.PARTIAL_RANGE))
     reg["monthly_kpis_after_append"] = (_appended_kpis, O.q_monthly_kpis())
     reg["kpi_snapshot_periods"] = (lambda s, d: _pairs(s, d).kpi_snapshots(), O.q_kpi_snapshot_pairs(*PAIR_MONTHS))
     ranged = {
@@ -379,6 +395,46 @@ def _appended_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.monthly_kpis(fact, monthly=view.read())
 
 
+def _halves(fact: DataFrame) -> list[DataFrame]:
+    """The fact in two loads with all source columns; columns that it lacks are empty."""
+    every = fact.select(*[F.col(c) if c in fact.columns else F.lit(None).cast(t).alias(c) for _, c, t in WRITTEN_DETAILS_COLUMNS])
+    load = F.pmod(F.xxhash64("policy_number"), F.lit(2))
+    return [every.where(load == k) for k in range(2)]
+
+
+def _from_csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fact and plan after a trip through CSV files, the fact's second load in another column order."""
+    key = (spark.sparkContext.applicationId, sf_dir, "csv")
+    if key not in _REPORTS:
+        t, path = _t(spark, sf_dir), new_table_path(spark, "written_details_csv")
+        for k, part in enumerate(_halves(t.fact)):
+            write_csv(part.select(*part.columns[::1 - 2 * k]), f"{path}/load{k}", source_names=True)
+        table, plan = new_table_path(spark, "fact_from_csv"), new_table_path(spark, "plan_csv")
+        write_fact(read_written_details_csv(spark, path), table)
+        write_csv(t.plan.select(*PLAN_SCHEMA.fieldNames()[::-1]), plan)
+        _REPORTS[key] = read_fact(spark, table), read_budget_csv(spark, plan, "plan")
+    return _REPORTS[key]
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vendor drilldown as its report file gives it back."""
+    report, path = R.drilldown(_t(spark, sf_dir).fact, FULL, "Vendor"), new_table_path(spark, "report")
+    write_report_csv(report, path)
+    return spark.read.schema(report.schema).option("header", True).option("escape", '"').csv(path)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact from two chunks that a stream took in one after the other, the second from a new checkpoint."""
+    key = (spark.sparkContext.applicationId, sf_dir, "stream")
+    if key not in _REPORTS:
+        landing, table = new_table_path(spark, "landing"), new_table_path(spark, "fact_streamed")
+        for k, part in enumerate(_halves(_t(spark, sf_dir).fact)):
+            write_csv(part, f"{landing}/chunk{k}", source_names=True)
+            ingest_available(spark, f"{landing}/*", table, new_table_path(spark, "ingest"))
+        _REPORTS[key] = read_fact(spark, table)
+    return _REPORTS[key]
+
+
 _REFRESH: dict = {}
 
 
