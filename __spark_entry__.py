@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia import oracle as O
+from premia.api import PremiumAnalytics
 from premia.functions.dims import DRILLDOWN_DIMENSIONS
 from premia.operators import budget as B
 from premia.operators import kpi as K
@@ -274,6 +275,10 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
         reg[f"sql_metric_drilldown_{metric.lower()}_channel"] = ((lambda metric: lambda s, d: _sql(s, d, (
             f"SELECT * FROM metric_drilldown(DATE'{FULL.start}', DATE'{FULL.end}', '{metric}', 'Channel')")))(metric),
             O.q_metric_drilldown(metric, "Channel", *FX.FULL_RANGE))
+    reg["sql_view_parameters"] = (
+        lambda s, d: _analytics(s, d).sql(s, "SELECT * FROM vw_monthly_premium_kpis WHERE month_start BETWEEN :first AND :last",
+                                          first=FULL.start, last=FULL.end),
+        f"select * from ({O.q_monthly_kpis()}) where month_start between date '{FULL.start}' and date '{FULL.end}'")
     reg["bitmap_kpi_snapshot_range"] = (
         lambda s, d: _bitmaps(s, d).kpi_snapshot_range(_t(s, d).plan, _t(s, d).forecast, FULL), O.q_kpi_snapshot_range(*FX.FULL_RANGE))
     reg["bitmap_kpi_snapshot_partial"] = (
@@ -372,6 +377,11 @@ def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text)
 
 
+def _analytics(spark: SparkSession, sf_dir: str) -> PremiumAnalytics:
+    t = _t(spark, sf_dir)
+    return PremiumAnalytics(t.fact, t.plan, t.forecast, t.calendar, plan_year=FX.PLAN_YEAR, base_year=FX.BASE_YEAR)
+
+
 def _bitmaps(spark: SparkSession, sf_dir: str):
     key = (spark.sparkContext.applicationId, sf_dir, "bitmaps")
     if key not in _REPORTS:
