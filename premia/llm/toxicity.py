@@ -5,9 +5,9 @@ digits or signs inside words replaced by the Latin letters they look like; whate
 no letter then separates words.
 
 Lexicon: words of labelled training texts whose smoothed log odds between toxic and
-clean documents reach ``MIN_WEIGHT``, in at least ``MIN_DOCS`` toxic documents; at most
-``MAX_TERMS`` by weight. Exception phrases: two-word phrases around a lexicon word that
-are about as common in clean documents; a match inside one does not count.
+clean documents reach ``MIN_WEIGHT``, in at least ``MIN_DOCS`` toxic documents. Exception
+phrases: two-word phrases around a lexicon word that are about as common in clean
+documents; a match inside one does not count. All of both are kept; the sample bounds them.
 
 Score: the matches' weights relative to the number of words (per ``LENGTH`` words, so
 that a long text needs more) and to the strongest single match, through a logistic
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from premia.llm.common import materialise
 
 SAMPLE = 20_000
-MIN_DOCS, MIN_WEIGHT, MAX_TERMS, MAX_PHRASES = 5, 1.5, 2000, 4000
+MIN_DOCS, MIN_WEIGHT = 5, 1.5
 LENGTH = 200
 # Look-alikes of Latin letters (fixed values): Cyrillic, Greek, then digits and signs inside words.
 _GLYPHS = dict(zip("аеорсухівкмнтьјѕԁɡոαβεικνορτυχ", "aeopcyxibkmhtbjsdgnabeiknoptux", strict=True))
@@ -118,8 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         return model
     total = rows.mapInArrow(terms, "term string, bad long, good long").groupBy("term").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    top = _log_odds(total, size[1], size[0]).where((F.col("bad") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT)).orderBy(
-        F.desc("weight"), F.desc("bad"), "term").limit(MAX_TERMS)
+    top = _log_odds(total, size[1], size[0]).where((F.col("bad") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT))
     weights = {r["term"]: float(r["weight"]) for r in top.collect()}
 
     def phrases(batches):
@@ -137,9 +136,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
 
     pairs = rows.mapInArrow(phrases, "term string, bad long, good long").groupBy("term").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    harmless = _log_odds(pairs, size[1], size[0]).where((F.col("good") >= 3) & (F.col("weight") <= 0)).orderBy(
-        F.desc("good"), "term").limit(MAX_PHRASES)
-    model |= {"weights": weights, "phrases": [r["term"] for r in harmless.collect()], "empty": False}
+    harmless = _log_odds(pairs, size[1], size[0]).where((F.col("good") >= 3) & (F.col("weight") <= 0))
+    model |= {"weights": weights, "phrases": [r["term"] for r in harmless.select("term").collect()], "empty": False}
     # The curve: two features and a label per sampled row.
     x = measure(rows.select("doc_id", "text", "toxic"), model).select("rate", "peak", "toxic").toPandas()
     model["curve"] = fit_curve(x[["rate", "peak"]].to_numpy(float), x["toxic"].to_numpy(float)).tolist()
