@@ -48,9 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("spark.checkpoint.dir is not set: written tables need a folder that all executors share")
-        path = os.path.join(tempfile.gettempdir(), f"premia-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+        # a running session refuses the setting itself, so its context holds the folder
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"premia-{spark.sparkContext.applicationId}"))
+        path = spark.sparkContext.getCheckpointDir()
     return path
 
 
