@@ -124,17 +124,27 @@ def aggregate(df: DataFrame, dims: dict[str, Column] | None, measures: list) ->
 def aggregate_sets(df: DataFrame, keys: dict[str, Column], sets: list[list[str]], measures: list) -> DataFrame:
     """``measures`` for several groupings of one scan, with ``gid`` = ``grouping_id(keys)``.
 
-    Rows are first reduced to one per (all keys, pet). Only those are expanded over
-    the sets, reduced to one per (set, its keys, pet), then to one per (set, its
-    keys). Empty input gives no rows, also for the set ``()``.
+    Each row becomes its keys, its pet and the measures' inputs, is copied over the sets
+    inside its map task and summed there per (set, its keys, pet); these sums are shuffled,
+    then those per (set, its keys). Empty input gives no rows, also for the set ``()``.
     """
     names = list(keys)
-    base = df.groupBy(*[c.alias(n) for n, c in keys.items()], F.col(PET).alias("_pet")).agg(*_per_pet(measures))
-    again = [(F.max if isinstance(m, DistinctPets) else F.sum)(m.name).alias(m.name) for m in measures]
+    seen = F.col(PET).isNotNull()
+    inputs, per_pet = [], []
+    for m in measures:
+        if isinstance(m, SumOf):
+            inputs.append(m.value.alias(m.name))
+            per_pet.append(F.sum(m.name).alias(m.name))
+        elif isinstance(m, DistinctPets):
+            inputs.append(F.when(m.condition & seen, F.lit(1)).otherwise(F.lit(0)).alias(m.name))
+            per_pet.append(F.max(m.name).alias(m.name))
+        else:
+            per_pet.append(F.count(F.lit(1)).alias(m.name))
+    rows = df.select(*[c.alias(n) for n, c in keys.items()], F.col(PET).alias("_pet"), *inputs)
     # the pet is part of every set, so it is the last, always zero bit of the id
     gid = F.shiftright(F.grouping_id(*names, "_pet"), 1).alias("gid")
-    per_pet = base.groupingSets([[*s, "_pet"] for s in sets], *names, "_pet").agg(*again, gid)
-    return (per_pet.groupBy(*names, "gid").agg(*_per_group(measures))
+    pets = rows.groupingSets([[*s, "_pet"] for s in sets], *names, "_pet").agg(*per_pet, gid)
+    return (pets.groupBy(*names, "gid").agg(*_per_group(measures))
             .select(*names, *[m.name for m in measures], "gid"))
 
 

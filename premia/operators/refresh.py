@@ -5,8 +5,8 @@ states, channel and product mix, growth drivers, every drilldown and metric
 drilldown — all group the same period's rows by one dimension (or none). One
 ``GROUPING SETS`` aggregate computes all of them in one pass: (), week, state,
 channel, product, vendor, each with the core sums and three distinct pet counts
-(per grouping set, never added across sets; rows are reduced to one per pet and key
-combination before the sets copy them). That aggregate has
+(per grouping set, never added across sets; a row's copies are summed in its map task
+before the shuffle). That aggregate has
 one row per group, so it is written once to the shared folder; each result is then
 a small projection of it, finished by the same code as the single-query operators.
 """
