@@ -29,6 +29,7 @@ from premia.plans.period import Period
 from premia.functions.ids import with_gapless_ids
 from premia.functions.sql_functions import register_functions
 from premia.operators.pet_bitmaps import PetBitmaps
+from premia.operators.pet_buckets import PetBuckets
 from premia.operators.views import FreshMonthlyView
 from premia.session import new_table_path
 from premia.sources import fixture as FX
@@ -287,6 +288,15 @@ def _transforms() -> dict[str, tuple[Callable, str | None]]:
     for dim in ("Week", "State", "Channel", "Product"):
         reg[f"bitmap_drilldown_{dim.lower()}"] = ((lambda dim: lambda s, d: _bitmaps(s, d).drilldown(PARTIAL, dim))(dim),
                                                   O.q_drilldown(dim, *FX.PARTIAL_RANGE))
+    for name, period in (("range", FULL), ("partial", PARTIAL), ("empty", EMPTY)):
+        reg[f"buckets_kpi_snapshot_{name}"] = (
+            (lambda p: lambda s, d: _buckets(s, d).kpi_snapshot_range(_t(s, d).plan, _t(s, d).forecast, p))(period),
+            O.q_kpi_snapshot_range(period.start, period.end))
+    for dim in ("Vendor", "State"):
+        reg[f"buckets_drilldown_{dim.lower()}"] = ((lambda dim: lambda s, d: _buckets(s, d).drilldown(FULL, dim))(dim),
+                                                   O.q_drilldown(dim, *FX.FULL_RANGE))
+    reg["buckets_metric_drilldown_total_vendor"] = (lambda s, d: _buckets(s, d).metric_drilldown(PARTIAL, "Total", "Vendor"),
+                                                    O.q_metric_drilldown("Total", "Vendor", *FX.PARTIAL_RANGE))
     loaded = {
         "csv_kpi_snapshot_range": (lambda f, p, t: K.kpi_snapshot_range(f, p, t.forecast, FULL), O.q_kpi_snapshot_range(*FX.FULL_RANGE)),
         "csv_actual_plan_forecast_range": (lambda f, p, t: B.actual_plan_forecast_range(f, p, t.forecast, FULL),
@@ -389,6 +399,13 @@ def _bitmaps(spark: SparkSession, sf_dir: str):
     return _REPORTS[key]
 
 
+def _buckets(spark: SparkSession, sf_dir: str) -> PetBuckets:
+    key = (spark.sparkContext.applicationId, sf_dir, "buckets")
+    if key not in _REPORTS:
+        _REPORTS[key] = PetBuckets.build(_t(spark, sf_dir).fact)
+    return _REPORTS[key]
+
+
 def _appended_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly KPIs of a fact that comes in two loads, through a view that finds the appended files."""
     fact = _t(spark, sf_dir).fact
