@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from premia.functions.ids import with_gapless_ids
 from premia.llm import decontaminate, jaccard_join, langid, packing, suffix_dedup
-from premia.llm.common import bounded, materialise, table
+from premia.llm.common import bounded, is_empty, materialise, scratch, table
 
 MIN_LANGUAGE_SCORE = 0.2      # texts in a learned language score 0.36 and more
 
@@ -22,16 +23,40 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return keep.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+def one_text_per_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with ids that name one row each; rows with a null id stay as they are.
+
+    Of rows equal in id and text, the first by all columns (as JSON) stays. Of an id's texts
+    the first in byte order (a null text comes first) keeps the id; the others become documents
+    of their own, with new ids after the largest one, in order of old id and text.
+    """
+    again = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+                        .where("c > 1").select("doc_id"), "pipeline-repeated")
+    if is_empty(again):
+        return docs
+    names, kind = docs.columns, docs.schema["doc_id"].dataType
+    again = bounded(again)
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    texts = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    texts = with_gapless_ids(texts.select("row"), [F.col("row.doc_id"), F.col("row.text")], "number")
+    first = materialise(texts.groupBy(F.col("row.doc_id").alias("id")).agg(F.min("number").alias("first")), "pipeline-first")
+    last = int(docs.agg(F.max("doc_id")).first()[0])
+    new = F.when(F.col("number") == F.col("first"), F.col("row.doc_id")).otherwise(F.col("number") + last).cast(kind)
+    texts = texts.join(bounded(first), F.col("row.doc_id") == F.col("id")).select(
+        *[new.alias(c) if c == "doc_id" else F.col(f"row.`{c}`") for c in names])
+    once = docs.join(again, "doc_id", "left_anti").select(*[f"`{c}`" for c in names])
+    return materialise(once.unionByName(texts), "pipeline-once")
+
+
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word shingles at Jaccard 0.8, the smallest id stays."""
+    """Of each group of documents linked by 5-word shingles at Jaccard 0.8, the smallest id stays.
+
+    Ids that name several rows are made to name one first (``one_text_per_id``).
+    """
+    docs = one_text_per_id(docs)
     groups = jaccard_join.jaccard_components(docs, words=5, percent=80)
-    # Rows that repeat an id are the same document, of which one row stays.
     gone = bounded(materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = materialise(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"),
-                        "pipeline-repeated")
-    once = kept.join(bounded(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(bounded(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +84,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's tables, its input among them, go once its result is written."""
+    docs, used = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as written:
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            written.remove(docs.written_to)
+            written.extend(used)
+            used = [docs.written_to]
     return docs
 
 

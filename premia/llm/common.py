@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(ARROW_BYTES, old)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for tables in _SCOPES:
+        tables.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table from ``materialise`` that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.written_to)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that ``materialise`` wrote inside.
+
+    It yields their paths; one that is taken off the list stays. The result of the work must
+    have been written by then. After an error all of them stay.
+    """
+    tables: list[str] = []
+    _SCOPES.append(tables)
+    try:
+        yield tables
+    finally:
+        _SCOPES.remove(tables)
+    for path in tables:
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
