@@ -395,8 +395,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     table = materialise(shingle_table(docs, words, percent), "jaccard-keys")
     some = table.where("n > 0 and doc_id is not null")
     reps = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = materialise(table.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "jaccard-members")
+    # Rows that link with nothing stay out of the join, where they would all meet on one key.
+    alone = table.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("rep"))
+    member = materialise(some.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).select(
+        "doc_id", "n", "rep").unionByName(alone), "jaccard-members")
     copies = bounded(materialise(member.where("n > 0 and doc_id > rep").select("doc_id").distinct(), "jaccard-copies"))
     routed = some.where(F.size("keys") > 0).select("doc_id", "keys").join(copies, "doc_id", "left_anti").select(
         F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
@@ -425,8 +427,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         more = cross_candidates(rows, comp, bits, percent, best)
         links = links.unionByName(verify(more, texts, words, percent))
         comp = components(links)
-    return member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    linked = member.where("rep is not null").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return linked.unionByName(member.where("rep is null").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

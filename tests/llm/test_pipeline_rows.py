@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from premia.llm import decontaminate, langid, license_scan
+from premia.llm import decontaminate, jaccard_join, langid, license_scan
 from premia.llm.common import shared_path
 from premia.llm.queries import registry
 from test_llm_operators import DOCS, SF, make_docs, plain, rng_text
@@ -35,6 +35,16 @@ def test_ids_with_several_texts_lose_none(spark):
     assert corpus_pipeline.one_text_per_id(docs.where("doc_id in (3, 9, 11)")).count() == 3
 
 
+def test_rows_that_link_with_nothing_in_the_join(spark):
+    text = rng_text(random.Random(4), 40)
+    rows = [(1, text), (None, text), (2, text), (3, ""), (4, None), (None, ""), (5, "  ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5, 1, "k") for i, t in rows], DOCS)
+    got = jaccard_join.jaccard_components(docs, 5, 80).collect()
+    n = len(set(zip(*[text.split()[k:] for k in range(5)])))
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(1, n, 1), (None, n, None), (2, n, 1), (3, 0, 3), (4, 0, 4), (None, 0, None), (5, 0, 5)], key=str)
+
+
 def test_run_leaves_only_its_result(spark):
     folder = os.path.dirname(shared_path(spark, "x")).removeprefix("file:")
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
