@@ -80,8 +80,9 @@ def nodes(vectors: DataFrame, label: str = "label") -> tuple[DataFrame, DataFram
 
     table = materialise(firsts.select("id", "cls", "e", "copies").mapInArrow(
         unit, "id long, cls long, unit binary, copies long"), "nn-nodes")
-    members = rows.join(groups.select("h1", "h2", "id"), ["h1", "h2"], "left").select(
-        "vec_id", F.when(F.col("e").isNotNull(), F.col("id")).alias("id"))
+    # Rows without a vector to compare stay out of the join, where a label's would all meet on one key.
+    members = rows.where("e is not null").join(groups.select("h1", "h2", "id"), ["h1", "h2"]).select("vec_id", "id")
+    members = members.unionByName(rows.where("e is null").select("vec_id", F.lit(None).cast("long").alias("id")))
     return members, table
 
 
@@ -400,9 +401,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K) ->
     n = link_counts(comp, table, threshold)
     per = table.select("id", "copies").join(n, "id", "left").join(comp, "id", "left").select(
         "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
-    out = members.join(per, "id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("c", "vec_id").alias("component_id"))
+    out = members.where("id is not null").join(per, "id", "left").select(
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("c").alias("component_id"))
+    out = out.unionByName(members.where("id is null").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
