@@ -4,8 +4,9 @@ The mapping (which source column plays which business column) is the fixture
 specification; the joins and projections below are plain DataFrame operations.
 
 Join order is chosen for scale: ``orders ⋈ customer ⋈ nation`` first (orders is
-~4x smaller than lineitem, so the custkey shuffle moves the smaller side), then
-``lineitem`` joins that once on orderkey, then part and supplier. With AQE's
+~4x smaller than lineitem, so the custkey shuffle moves the smaller side); ``lineitem``
+joins part, then those orders once on orderkey, then supplier. All shuffles, also the one
+that lays the fact out by month, move keys, codes and dates; texts are built after it. With AQE's
 skew-join handling on, a key holding a third of the rows is split across tasks. Only the columns
 each side needs are read (column pruning reaches the scans), and the as-of cut on
 ``l_shipdate`` is pushed to the lineitem scan. Spark decides broadcast vs
@@ -26,6 +27,7 @@ from ..functions import vocab as V
 from ..functions.classify import classify
 from ..session import new_table_path
 from .schema import PARTITION_COLUMN
+from .written_details import footer_scan, laid_out, read_fact, write_fact
 
 # FIXED VALUES — fixture parameters (the standard periods of the test data).
 AS_OF_EXCLUSIVE = "2001-05-05"   # optional snapshot cut; registered queries read whole tables
@@ -74,84 +76,119 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TEST_TABLE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Codes of the fixed labels: what the joins shuffle is small numbers, the labels come last.
+_TRANS_CODES = [V.NEW_POLICY, V.RENEW_POLICY, V.MID_TERM_ADJUSTMENT, V.REINSTATE_POLICY, V.CANCEL_POLICY]
+_CHANNELS = [ch for _, ch in SEGMENT_TO_CHANNEL] + [CHANNEL_FALLBACK]
+_SUB_CHANNELS = [sub for _, sub in PRIORITY_TO_SUB_CHANNEL]
+
+
+def _code(labels: list[str], label: str) -> Column:
+    return F.lit(labels.index(label) + 1).cast("tinyint")
+
+
+def _label(labels: list[str], code: str) -> Column:
+    """The label of a code, null for no code."""
+    expr = F.when(F.col(code) == 1, labels[0])
+    for k, label in enumerate(labels[1:], 2):
+        expr = expr.when(F.col(code) == k, label)
+    return expr
+
+
 def _trans_code() -> Column:
     ln, st = F.col("l_linenumber"), F.col("l_linestatus")
-    return (F.when(ln <= 2, V.NEW_POLICY)
-            .when(ln <= 5, V.RENEW_POLICY)
-            .when((ln == 6) & (st == "O"), V.MID_TERM_ADJUSTMENT)
-            .when(ln == 6, V.REINSTATE_POLICY)
-            .otherwise(V.CANCEL_POLICY))
+    code = lambda label: _code(_TRANS_CODES, label)
+    return (F.when(ln <= 2, code(V.NEW_POLICY))
+            .when(ln <= 5, code(V.RENEW_POLICY))
+            .when((ln == 6) & (st == "O"), code(V.MID_TERM_ADJUSTMENT))
+            .when(ln == 6, code(V.REINSTATE_POLICY))
+            .otherwise(code(V.CANCEL_POLICY)))
 
 
 def _channel() -> Column:
     seg = F.col("c_mktsegment")
-    expr = F.when(F.col("c_custkey") % NULL_CHANNEL_EVERY == 0, F.lit(None).cast("string"))
+    expr = F.when(F.col("c_custkey") % NULL_CHANNEL_EVERY == 0, F.lit(None).cast("tinyint"))
     for s, ch in SEGMENT_TO_CHANNEL:
-        expr = expr.when(seg == s, ch)
-    return expr.otherwise(CHANNEL_FALLBACK)
+        expr = expr.when(seg == s, _code(_CHANNELS, ch))
+    return expr.otherwise(_code(_CHANNELS, CHANNEL_FALLBACK))
 
 
 def _sub_channel() -> Column:
     pr = F.col("o_orderpriority")
     expr = None
     for p, sub in PRIORITY_TO_SUB_CHANNEL:
-        expr = F.when(pr == p, sub) if expr is None else expr.when(pr == p, sub)
+        code = _code(_SUB_CHANNELS, sub)
+        expr = F.when(pr == p, code) if expr is None else expr.when(pr == p, code)
     return expr
 
 
-def fixture_fact(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None = None) -> DataFrame:
-    """The written-details fact (engine column names), as a lazy DataFrame.
-
-    Every line item becomes a fact row. ``as_of_exclusive`` optionally takes a
-    snapshot of the actuals known before a date (pushed to the lineitem scan).
-    """
+def _joined(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None) -> DataFrame:
+    """One narrow row of keys, codes and dates per line item with an order, part and supplier."""
     li = _read(spark, sf_dir, "lineitem")
     if as_of_exclusive:
         li = li.where(F.col("l_shipdate") < F.lit(as_of_exclusive).cast("timestamp_ntz"))
-    li = (li
-          .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus",
-                  "l_extendedprice", "l_returnflag", "l_shipdate"))
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
-                                                   "o_orderpriority")
-    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    price = F.col("l_extendedprice")
+    li = li.select("l_orderkey", "l_partkey", "l_suppkey", _trans_code().alias("trans"),
+                   F.when(F.col("l_linenumber") == 7, -price).otherwise(price).alias("price"),
+                   F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "N", 0)
+                    .cast("tinyint").alias("returned"),
+                   F.col("l_shipdate").cast("date").alias("report_date"))
+    orders = _read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("channel_type"),
+        F.col("o_orderdate").cast("date").alias("trans_date"), _sub_channel().alias("sub"))
+    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", _channel().alias("chan"))
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = _read(spark, sf_dir, "part").select(
+        "p_partkey", F.coalesce(F.col("p_size") % 3 == 0, F.lit(False)).alias("cat"))
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
 
     order_attrs = (orders
                    .join(customer, orders.o_custkey == customer.c_custkey)
                    .join(nation, F.col("c_nationkey") == nation.n_nationkey)
-                   .select("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "c_custkey", "c_mktsegment",
-                           "n_name"))
+                   .select("o_orderkey", "channel_type", "trans_date", "sub", "chan", "n_name"))
 
     # No hand-placed repartition: the planner's own join shuffles are the ones AQE
-    # may split when one key holds a large share of rows (skew join).
-    joined = (li
-              .join(order_attrs, li.l_orderkey == order_attrs.o_orderkey)
-              .join(part, li.l_partkey == part.p_partkey)
-              .join(supplier, li.l_suppkey == supplier.s_suppkey))
-
-    amount = F.when(F.col("l_linenumber") == 7, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
-    fact = joined.select(
+    # may split when one key holds a large share of rows (skew join). Part comes first:
+    # where it is too large to broadcast, that shuffle moves no column of the orders.
+    return (li
+            .join(part, li.l_partkey == part.p_partkey)
+            .join(order_attrs, li.l_orderkey == order_attrs.o_orderkey)
+            .join(supplier, li.l_suppkey == supplier.s_suppkey)
+            .select("l_orderkey", "l_partkey", "trans_date", "report_date", "trans", "price", "returned",
+                    F.col("n_name").alias("state"), "chan", "sub", "channel_type",
+                    F.when(F.col("l_suppkey") % NULL_HOSPITAL_EVERY != 0, F.col("s_name")).alias("hospital"), "cat",
+                    F.trunc("report_date", "month").alias(PARTITION_COLUMN)))
+
+
+def fixture_fact(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None = None, by_month: bool = False) -> DataFrame:
+    """The written-details fact (engine column names), as a lazy DataFrame.
+
+    Every line item becomes a fact row. ``as_of_exclusive`` optionally takes a
+    snapshot of the actuals known before a date (pushed to the lineitem scan).
+    ``by_month`` lays the rows out for ``write_fact`` while they are still narrow.
+    """
+    rows = _joined(spark, sf_dir, as_of_exclusive)
+    if by_month:
+        rows = laid_out(rows)
+    fact = rows.select(
         F.concat(F.lit("POL"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0")).alias("policy_number"),
         F.concat(F.lit("PET"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("pet_id"),
-        F.col("o_orderdate").cast("date").alias("trans_date"),
-        F.col("l_shipdate").cast("date").alias("report_date"),
-        _trans_code().alias("trans_code"),
-        amount.cast("decimal(18,2)").alias("written_amount"),
-        F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "N", 0)
-         .cast("int").alias("returned_pet"),
-        F.col("n_name").alias("state"),
-        _channel().alias("channel"),
-        _sub_channel().alias("sub_channel"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("channel_type"),
-        F.when(F.col("l_suppkey") % NULL_HOSPITAL_EVERY != 0, F.col("s_name")).alias("hospital"),
+        "trans_date",
+        "report_date",
+        _label(_TRANS_CODES, "trans").alias("trans_code"),
+        F.col("price").cast("decimal(18,2)").alias("written_amount"),
+        F.col("returned").cast("int").alias("returned_pet"),
+        "state",
+        _label(_CHANNELS, "chan").alias("channel"),
+        _label(_SUB_CHANNELS, "sub").alias("sub_channel"),
+        "channel_type",
+        "hospital",
         F.when(F.col("l_partkey") % 4 == 0, 1).otherwise(0).alias("wellness"),
         F.when(F.col("l_partkey") % 5 == 0, 0).otherwise(1).alias("accident"),
-        F.when(F.col("p_size") % 3 == 0, "Cat").otherwise("Dog").alias("species"),
+        F.when(F.col("cat"), "Cat").otherwise("Dog").alias("species"),
+        PARTITION_COLUMN,
     )
     fact = classify(fact)
-    return fact.withColumn(PARTITION_COLUMN, F.trunc("report_date", "month"))
+    return fact.select(*[c for c in fact.columns if c != PARTITION_COLUMN], PARTITION_COLUMN)
 
 
 # ---------------------------------------------------------------------------
@@ -222,18 +259,17 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
     the six-way join is cut, and a lost executor only re-reads files.
     """
     from .calendar import calendar_from_fact
-    from .written_details import footer_scan, read_fact, write_fact
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _CACHE:
         return _CACHE[key]
-    fact = fixture_fact(spark, sf_dir)
+    fact = fixture_fact(spark, sf_dir, by_month=materialize)
     plan = plan_fixture(spark)
     forecast = forecast_fixture(plan)
     path = footers = None
     if materialize:
         path = new_table_path(spark, "fact_written_details")
-        write_fact(fact, path)
+        write_fact(fact, path, placed=True)
         fact = read_fact(spark, path, fact.schema)
         footers = footer_scan(spark, path, fact.schema)
         plan = _materialize(plan, new_table_path(spark, "fact_plan"))

@@ -99,8 +99,8 @@ def read_budget_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return raw.select(*typed)
 
 
-def write_fact(fact: DataFrame, path: str) -> None:
-    """Write the fact as Parquet partitioned by report month.
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Rows placed and sorted for ``write_fact``.
 
     ``REBALANCE(report_month)`` lets AQE size the write tasks at run time: a month
     holding a third of all rows is split over several tasks, small months are
@@ -108,10 +108,14 @@ def write_fact(fact: DataFrame, path: str) -> None:
     Sorting by date within each task gives tight min/max statistics per row group
     for day-level filters inside a month.
     """
+    return rows.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(PARTITION_COLUMN, "report_date")
+
+
+def write_fact(fact: DataFrame, path: str, placed: bool = False) -> None:
+    """Write the fact as Parquet partitioned by report month; ``placed`` rows are ``laid_out`` already."""
     if PARTITION_COLUMN not in fact.columns:
         fact = fact.withColumn(PARTITION_COLUMN, F.trunc("report_date", "month"))
-    (fact.hint("rebalance", PARTITION_COLUMN)
-         .sortWithinPartitions(PARTITION_COLUMN, "report_date")
+    ((fact if placed else laid_out(fact))
          .write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy(PARTITION_COLUMN).parquet(path))
 
