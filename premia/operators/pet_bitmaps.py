@@ -11,7 +11,7 @@ a bitmap is kept for each group, day and bucket with a pet in it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -26,6 +26,7 @@ from . import rollup as R
 SETS = {"total": None, "Week": "Week", "State": "State", "Channel": "Channel", "Product": "Product"}
 _SUMS = ["gwp", "nbw_gwp", "renewal_gwp"]
 _PETS = ["nbw_unique_pets", "renewal_unique_pets"]
+_GROUP = [PARTITION_COLUMN, "set", "grp", "report_date"]
 _TYPES = {"Week": "date"}
 
 
@@ -38,21 +39,35 @@ class PetBitmaps:
     @classmethod
     def build(cls, fact: DataFrame, sets: dict[str, str | None] = SETS) -> "PetBitmaps":
         spark = fact.sparkSession
-        numbers = with_gapless_ids(fact.select(M.PET).where(F.col(M.PET).isNotNull()).distinct(), [F.col(M.PET)], "number")
-        keys = F.array(*[F.struct(F.lit(k).alias("set"), (dimension(d, fact) if d else F.lit(None)).cast("string").alias("grp"))
+        keys = cls._keys(fact, sets)
+        amounts = [m for m in M.core_measures() if isinstance(m, M.SumOf)]
+        sums = (fact.select(dimension("Month", fact).alias(PARTITION_COLUMN), "report_date", M.AMOUNT, "trans_code", F.inline(keys))
+                .groupBy(*_GROUP).agg(*M._per_pet(amounts)))
+        sums = sums.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(*_GROUP)
+        return cls(_store(spark, sums, "pet_sums"), _store(spark, cls.bitmaps(fact, sets), "pet_bitmaps"))
+
+    @staticmethod
+    def _keys(fact: DataFrame, sets: dict[str, str | None]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("set"), (dimension(d, fact) if d else F.lit(None)).cast("string").alias("grp"))
                          for k, d in sets.items()])
+
+    @classmethod
+    def bitmaps(cls, fact: DataFrame, sets: dict[str, str | None]) -> DataFrame:
+        """The bitmaps by month, set, group, day and bucket of pet numbers, in this order.
+
+        Pets are numbered before the sets are made. What is shuffled and sorted are single
+        pet numbers; a bitmap is built where all its rows are, one at a time, and stays there.
+        """
+        numbers = with_gapless_ids(fact.select(M.PET).where(F.col(M.PET).isNotNull()).distinct(), [F.col(M.PET)], "number")
+        flags = [m for m in M.core_measures() if isinstance(m, M.DistinctPets)]
         month = dimension("Month", fact).alias(PARTITION_COLUMN)
-        core = M.core_measures()
-        rows = fact.select(month, "report_date", M.AMOUNT, "trans_code", "returned_pet", M.PET, F.inline(keys))
-        group = [PARTITION_COLUMN, "set", "grp", "report_date"]
-        sums = rows.groupBy(*group).agg(*M._per_pet([m for m in core if isinstance(m, M.SumOf)]))
-        flags = [m for m in core if isinstance(m, M.DistinctPets)]
-        pets = rows.groupBy(*group, M.PET).agg(*M._per_pet(flags)).where(" or ".join(f"{m.name} = 1" for m in flags))
-        pets = pets.join(numbers, M.PET).withColumn("bucket", F.bitmap_bucket_number("number"))
-        at = F.bitmap_bit_position("number")
-        maps = pets.groupBy(*group, "bucket").agg(*[
-            F.bitmap_construct_agg(F.when(F.col(m.name) == 1, at)).alias(m.name) for m in flags])
-        return cls(_store(spark, sums, "pet_sums"), _store(spark, maps, "pet_bitmaps"))
+        rows = fact.select(month, "report_date", M.PET, cls._keys(fact, sets).alias("_keys"),
+                           *[F.coalesce(m.condition, F.lit(False)).alias(m.name) for m in flags]).where(" or ".join(_PETS))
+        rows = rows.join(numbers, M.PET).select(
+            PARTITION_COLUMN, "report_date", F.bitmap_bucket_number("number").alias("bucket"),
+            F.bitmap_bit_position("number").alias("at"), *_PETS, F.inline("_keys"))
+        return rows.repartitionByRange(*_GROUP, "bucket").groupBy(*_GROUP, "bucket").agg(*[
+            F.bitmap_construct_agg(F.when(F.col(c), F.col("at"))).alias(c) for c in _PETS])
 
     def measures(self, period: Period, kind: str) -> DataFrame:
         """``(grp, core measures)`` of the period's groups of one dimension."""
@@ -77,7 +92,6 @@ class PetBitmaps:
 
 def _store(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     path = new_table_path(spark, name)
-    (rows.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions("set", "grp", "report_date")
-     .write.option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy(PARTITION_COLUMN).parquet(path))
+    (rows.write.option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy(PARTITION_COLUMN).parquet(path))
     fields = [f for f in rows.schema.fields if f.name != PARTITION_COLUMN] + [rows.schema[PARTITION_COLUMN]]
     return spark.read.schema(type(rows.schema)(fields)).parquet(path)
