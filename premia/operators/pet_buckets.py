@@ -1,6 +1,6 @@
 """The fact bucketed by pet: exact distinct counts without a shuffle of (group, pet) rows.
 
-Rows are written by report month and, inside a month, by a hash of the pet into a fixed
+Rows, with the columns that measures and dimensions read, are written by report month and, inside a month, by a hash of the pet into a fixed
 number of buckets. A task of a range query reads one bucket of the period's months, so
 all rows of its pets are there: rows are reduced to one per (group, pet) and then to one
 per group before anything moves, and the only shuffle carries one row per group and task.
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from ..functions import vocab as V
 from ..functions.dims import dimension
 from ..plans.period import Period
 from ..session import new_table_path
@@ -44,6 +45,7 @@ class PetBuckets:
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if PARTITION_COLUMN not in fact.columns:
             fact = fact.withColumn(PARTITION_COLUMN, F.trunc("report_date", "month"))
+        fact = fact.select(*_columns(fact))
         total = fact.count()
         path = new_table_path(spark, "hot_pets")
         (fact.groupBy(F.col(M.PET).alias("_pet")).agg(F.count(F.lit(1)).alias("_n"))
@@ -78,6 +80,14 @@ class PetBuckets:
         return R.metric_finish(rows.withColumnRenamed(group_by, "drilldown_group"))
 
 
+def _columns(fact: DataFrame) -> list[str]:
+    """The columns that measures, dimensions and periods read; the others stay in the fact."""
+    vendor = [c for c in V.VENDOR_COLUMN_PRIORITY if c in fact.columns][:1]
+    read = ["report_date", "trans_code", M.AMOUNT, "returned_pet", M.PET, "state", "iph_channel_5", "product", *vendor,
+            PARTITION_COLUMN]
+    return [c for c in fact.columns if c in read]
+
+
 def _bucketed(spark: SparkSession, rows: DataFrame, buckets: int) -> DataFrame:
     """``rows`` as a table by month and bucket of the pet; one task writes all files of a bucket."""
     path, name = new_table_path(spark, "fact_by_pet"), f"fact_by_pet_{uuid.uuid4().hex[:12]}"
