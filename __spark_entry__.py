@@ -435,7 +435,7 @@ def _from_csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     if key not in _REPORTS:
         t, path = _t(spark, sf_dir), new_table_path(spark, "written_details_csv")
         for k, part in enumerate(_halves(t.fact)):
-            write_csv(part.select(*part.columns[::1 - 2 * k]), f"{path}/load{k}", source_names=True)
+            write_csv(part.select(*part.columns[::1 - 2 * k]), f"{path}/load{k}", source_names=True, compression="gzip")
         table, plan = new_table_path(spark, "fact_from_csv"), new_table_path(spark, "plan_csv")
         write_fact(read_written_details_csv(spark, path), table)
         write_csv(t.plan.select(*PLAN_SCHEMA.fieldNames()[::-1]), plan)
@@ -456,7 +456,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _REPORTS:
         landing, table = new_table_path(spark, "landing"), new_table_path(spark, "fact_streamed")
         for k, part in enumerate(_halves(_t(spark, sf_dir).fact)):
-            write_csv(part, f"{landing}/chunk{k}", source_names=True)
+            write_csv(part, f"{landing}/chunk{k}", source_names=True, compression="gzip")
             ingest_available(spark, f"{landing}/*", table, new_table_path(spark, "ingest"))
         _REPORTS[key] = read_fact(spark, table)
     return _REPORTS[key]

@@ -24,11 +24,11 @@ def write_report_csv(result: DataFrame, path: str) -> None:
     result.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_csv(df: DataFrame, path: str, source_names: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, source_names: bool = False, compression: str = "none") -> None:
     """Distributed CSV (one part file per task), header on every part; the
     reader binds columns by header name, so part order does not matter."""
     out = to_source_names(df) if source_names else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression).csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -42,13 +42,15 @@ def _files(spark: SparkSession, path: str) -> list[str]:
 def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
     """Column names of one file: its first record."""
     first = spark.read.options(**CSV_OPTIONS | {"header": False, "enforceSchema": True, "multiLine": False}).csv(file).limit(
-        1).collect() if file.endswith((".gz", ".bz2", ".zst", ".deflate", ".lz4", ".snappy")) else None
+        1).collect() if file.endswith((".bz2", ".zst", ".deflate", ".lz4", ".snappy")) else None
     if first is not None:
         return tuple(c if c is not None else f"_c{i}" for i, c in enumerate(first[0])) if first else ()
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(file)
     stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
     try:
+        if file.endswith(".gz"):        # read here: a job per file would grow with the number of files
+            stream = jvm.java.util.zip.GZIPInputStream(stream)
         line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
     finally:
         stream.close()
