@@ -2,10 +2,9 @@
 
 ``periods`` has one row per period: ``period_id``, ``start_date``, ``end_date`` (inclusive;
 periods may overlap, repeat or be empty). The starts and the days after the ends cut the
-calendar into intervals that no period divides. Sums are taken per (dimension, group,
-interval). The rows that count a pet are shuffled once, by pet, and reduced to one per
-(dimension, group, pet, interval); a pet's earlier interval is found by a window over its
-own few rows in the same task, and pets are then counted per (group, interval, earlier interval). A pet
+calendar into intervals that no period divides. The fact's rows are shuffled once, by pet,
+and reduced to one per (dimension, group, pet, interval); a pet's earlier interval is found
+by a window over its own few rows in the same task, and pets are then counted per (group, interval, earlier interval). A pet
 counts in a period at the row whose earlier interval lies before the period's first, so
 distinct counts are exact although the fact's rows are never multiplied by the number of
 periods: what meets the periods, by equality of intervals, is bounded by groups x
@@ -45,46 +44,43 @@ def _numbered_days(periods: DataFrame, first, last) -> DataFrame:
     return days.join(cuts, "day", "left").select("day", F.count("cut").over(Window.orderBy("day")).alias("e"))
 
 
-# Flagged rows that one task takes: a row meets six sets, so this bounds its hash maps and sorts at any size.
+# Rows that one task takes on average: a row meets six sets, so this bounds its hash maps and sorts at any size.
 ROWS_PER_TASK = 200_000
 
 
 def period_cells(fact: DataFrame, days: DataFrame, sets: dict[str, str | None], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """``(set, grp, e, prev, sums, pet counts)``: sums at prev -1, pets by the interval of their previous row (0: none)."""
+    """``(set, grp, e, prev, sums, pet counts)``: sums at prev -1, pets by the interval of their previous row (0: none).
+
+    Rows are shuffled once, by their pet and before the sets are made; a task then has all
+    rows of its pets, so neither the grouping nor the window moves them again. Rows without
+    a pet count none and are spread by their salt.
+    """
     src = fact.join(F.broadcast(days), fact.report_date == days.day)      # one row per calendar day
     core = M.core_measures()
-    amounts = [m for m in core if isinstance(m, M.SumOf)]
-    flags = [m for m in core if isinstance(m, M.DistinctPets)]
     dims = {f"_{k}": (dimension(d, fact) if d else F.lit(None)).cast("string") for k, d in sets.items()}
     keys = F.array(*[F.struct(F.lit(k).alias("set"), F.col(f"_{k}").alias("grp")) for k in sets])
-    by_dims = src.select("e", *[c.alias(n) for n, c in dims.items()], M.AMOUNT, "trans_code")
-    # sums need no pet: one row per combination of groups is left before the sets are made
-    sums = by_dims.groupBy("e", *dims).agg(*M._per_pet(amounts)).select("e", F.inline(keys), *_SUMS)
-    sums = sums.groupBy("set", "grp", "e").agg(*[F.sum(c).alias(c) for c in _SUMS]).select(
-        "set", "grp", "e", F.lit(-1).cast("long").alias("prev"), *_SUMS, *[F.lit(0).cast("long").alias(c) for c in _PETS])
-    return sums.unionByName(_pet_cells(src, dims, keys, flags, rows_per_task).select(
-        "set", "grp", "e", "prev", *[F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in _SUMS], *_PETS))
-
-
-def _pet_cells(src: DataFrame, dims: dict[str, Column], keys: Column, flags: list, rows_per_task: int) -> DataFrame:
-    """Pet counts per ``(set, grp, e, prev)``.
-
-    Rows are shuffled once, by their pet and before the sets are made; a task then has all
-    rows of its pets, so neither the grouping nor the window moves them again.
-    """
-    flagged = src.where(F.col(M.PET).isNotNull()).select(
-        "e", *[c.alias(n) for n, c in dims.items()], M.PET,
-        *[F.coalesce(m.condition, F.lit(False)).alias(m.name) for m in flags]).where(" or ".join(_PETS))
-    tasks = max(1, -(-flagged.count() // rows_per_task))
-    rows = flagged.repartition(tasks, M.PET).select("e", M.PET, *_PETS, F.inline(keys))
-    base = rows.groupBy("set", "grp", M.PET, "e").agg(*[F.max(c).alias(c) for c in _PETS])
-    before = Window.partitionBy("set", "grp", M.PET).orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
-    prev = [F.when(F.col(c), F.coalesce(F.max(F.when(F.col(c), F.col("e"))).over(before), F.lit(0))).alias(f"prev_{c}")
-            for c in _PETS]
-    parts = F.array(*[F.struct(F.col(f"prev_{c}").cast("long").alias("prev"),
-                               *[F.lit(int(c == x)).cast("long").alias(x) for x in _PETS]) for c in _PETS])
-    cells = base.select("set", "grp", "e", *prev).select("set", "grp", "e", F.inline(parts)).where("prev is not null")
-    return cells.groupBy("set", "grp", "e", "prev").agg(*[F.sum(c).alias(c) for c in _PETS])
+    seen = F.col(M.PET).isNotNull()
+    salt = F.when(seen, F.lit(0)).otherwise(F.pmod(F.xxhash64("report_date", M.AMOUNT), F.lit(1024)).cast("int")).alias("_salt")
+    inputs = [m.value.alias(m.name) if isinstance(m, M.SumOf)
+              else F.when(m.condition & seen, F.lit(1)).otherwise(F.lit(0)).alias(m.name) for m in core]
+    pet = [M.PET, "_salt"]
+    narrow = src.select("e", *[c.alias(n) for n, c in dims.items()], M.PET, salt, *inputs)
+    tasks = max(1, -(-fact.count() // rows_per_task))
+    rows = narrow.repartition(tasks, *pet).select("e", *pet, *_SUMS, *_PETS, F.inline(keys))
+    base = rows.groupBy("set", "grp", *pet, "e").agg(*[F.sum(c).alias(c) for c in _SUMS], *[F.max(c).alias(c) for c in _PETS])
+    before = Window.partitionBy("set", "grp", *pet).orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
+    prev = {c: F.when(F.col(c) == 1, F.coalesce(F.max(F.when(F.col(c) == 1, F.col("e"))).over(before), F.lit(0)))
+            for c in _PETS}
+    base = base.select("set", "grp", "e", *_SUMS, *[x.alias(f"prev_{c}") for c, x in prev.items()])
+    none = {s: F.lit(None).cast(base.schema[s].dataType) for s in _SUMS}
+
+    def cell(at: Column, sums: bool, pets: str | None) -> Column:
+        return F.struct(at.cast("long").alias("prev"), *[(F.col(s) if sums else none[s]).alias(s) for s in _SUMS],
+                        *[F.lit(int(c == pets)).cast("long").alias(c) for c in _PETS])
+
+    parts = F.array(cell(F.lit(-1), True, None), *[cell(F.col(f"prev_{c}"), False, c) for c in _PETS])
+    cells = base.select("set", "grp", "e", F.inline(parts)).where("prev is not null")
+    return cells.groupBy("set", "grp", "e", "prev").agg(*[F.sum(c).alias(c) for c in _SUMS + _PETS])
 
 
 def period_measures(fact: DataFrame, periods: DataFrame, sets: dict[str, str | None] = SETS) -> DataFrame:
