@@ -13,7 +13,8 @@ def with_gapless_ids(df: DataFrame, order: list[Column], name: str = "id") -> Da
 
     Rows are range-partitioned and sorted, then written with their partition and place, so
     that a task run again cannot renumber what others have read. A partition's rows before
-    it are a running sum over one row per partition; no task sees more than its own rows.
+    it are a running sum over one row per partition, which every task gets; the rows themselves are
+    not shuffled by their few partition numbers. No task sees more than its own rows.
     """
     spark = df.sparkSession
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(
@@ -25,4 +26,4 @@ def with_gapless_ids(df: DataFrame, order: list[Column], name: str = "id") -> Da
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
-    return rows.join(offsets, "_part").select((F.col("_before") + F.col("_place") + 1).alias(name), *df.columns)
+    return rows.join(F.broadcast(offsets), "_part").select((F.col("_before") + F.col("_place") + 1).alias(name), *df.columns)
