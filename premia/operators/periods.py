@@ -4,10 +4,10 @@
 periods may overlap, repeat or be empty). The starts and the days after the ends cut the
 calendar into intervals that no period divides. The fact's rows are shuffled once, by pet,
 and reduced to one per (dimension, group, pet, interval); a pet's earlier interval is found
-by a window over its own few rows in the same task, and pets are then counted per (group, interval, earlier interval). A pet
-counts in a period at the row whose earlier interval lies before the period's first, so
-distinct counts are exact although the fact's rows are never multiplied by the number of
-periods: what meets the periods, by equality of intervals, is bounded by groups x
+by a window over its own few rows in the same task, and pets are then counted per (group,
+interval, earlier interval). A pet counts in a period at the row whose earlier interval lies
+before the period's first, so distinct counts are exact although the fact's rows are never
+multiplied by the number of periods: what meets the periods, by equality of intervals, is bounded by groups x
 intervals squared.
 
 Windows without a partition key run over calendar days only; other windows are per period
