@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
 reread as the next stage's documents; all but the last keep the columns of documents.
+A stage whose last step runs in Python sets small Arrow batches for that write.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 
 from premia.functions.ids import with_gapless_ids
 from premia.llm import decontaminate, jaccard_join, langid, packing, suffix_dedup
-from premia.llm.common import bounded, is_empty, materialise, scratch, table
+from premia.llm.common import bounded, is_empty, materialise, scratch, small_batches, table
 
 MIN_LANGUAGE_SCORE = 0.2      # texts in a learned language score 0.36 and more
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no learned language go: null, without letters, or far from every profile."""
+    small_batches(spark)
     profiles = langid.learn(docs.where(~langid.held_out()))
     keep = langid.identify(docs.select(*docs.columns), profiles)
     return keep.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
@@ -61,6 +63,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that occurred earlier are cut; a document with nothing left goes."""
+    small_batches(spark)
     return suffix_dedup.cut_repeats(docs)
 
 
@@ -71,6 +74,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences."""
+    small_batches(spark)
     return packing.piece_digests(docs)
 
 

@@ -21,17 +21,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SMALL_BATCH = "2m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches under 2 MB from here on, for a job whose caller writes the result.
+
+    A batch lies in an executor's and its worker's memory several times over, outside the heap.
+    """
+    spark.conf.set(ARROW_BYTES, SMALL_BATCH)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    While it runs, Arrow batches stay under 8 MB, so that Python workers hold little at once.
+    While it runs, Arrow batches stay under 2 MB, so that Python workers hold little at once.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     old = spark.conf.get(ARROW_BYTES)
-    spark.conf.set(ARROW_BYTES, "8m")
+    spark.conf.set(ARROW_BYTES, SMALL_BATCH)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
@@ -154,7 +163,7 @@ def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
         yield pa.Table.from_batches(waiting).combine_chunks(), np.zeros(1, np.int64)
 
 
-TOGETHER = 4 << 20           # bytes of small groups that a function takes at once
+TOGETHER = 2 << 20           # bytes of small groups that a function takes at once
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str,

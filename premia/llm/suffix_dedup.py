@@ -118,11 +118,13 @@ def compare_suffixes(rows: pa.Table, min_words: int) -> pa.Table:
     m = len(h)
 
     def word(at, ok):
-        return np.where(ok, flat[np.minimum(np.maximum(at, 0), len(flat) - 1)].astype(np.int64) + 1, 0)
+        return np.where(ok, flat[np.minimum(np.maximum(at, 0), len(flat) - 1)], np.uint32(0))
 
-    right = np.stack([word(start + j, j < right_len) for j in range(min_words)], axis=1)
-    pairs = [(right[:, j] << 32) + (right[:, j + 1] if j + 1 < min_words else 0) for j in range(0, min_words, 2)]
-    suffix = np.lexsort([*pairs[::-1], h])     # the suffix array of these groups
+    # Words past a suffix's end are 0: no comparison below reaches them.
+    right = np.empty((m, min_words), np.uint32)
+    for j in range(min_words):
+        right[:, j] = word(start + j, j < right_len)
+    suffix = np.lexsort([*right.T[::-1], h])   # the suffix array of these groups
     rank = np.empty(m, np.int64)
     rank[suffix] = np.arange(m)
     spread = min_words - GRAM
@@ -130,7 +132,7 @@ def compare_suffixes(rows: pa.Table, min_words: int) -> pa.Table:
     left = np.zeros(m, np.uint64)
     for o in range(spread + 1):
         if o:
-            left = textops.mix(left + word(start - o, o <= left_len).astype(np.uint64))
+            left = textops.mix(left + word(start - o, o <= left_len) + np.uint64(1))
         x = np.flatnonzero((o <= left_len) & (min_words - o <= right_len))
         x = x[np.lexsort((rank[x], left[x], h[x]))]
         if len(x) < 2:
@@ -236,17 +238,18 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for b in batches:
-            at, texts = b.schema.get_field_index("text"), []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                raw = text.encode()
-                w = textops.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                keep, begin = [], 0
-                for s in spans:
-                    keep.append(raw[begin:w.start[s["start_word"]]])
-                    begin = w.start[s["end_word"]] if s["end_word"] < len(w.start) else len(raw)
-                texts.append(b"".join([*keep, raw[begin:]]).decode())
-            yield b.set_column(at, "text", pa.array(texts, pa.string())).select(names)
+        for whole in batches:
+            for b in textops.pieces(whole):
+                at, texts = b.schema.get_field_index("text"), []
+                for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                    raw = text.encode()
+                    w = textops.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    keep, begin = [], 0
+                    for s in spans:
+                        keep.append(raw[begin:w.start[s["start_word"]]])
+                        begin = w.start[s["end_word"]] if s["end_word"] < len(w.start) else len(raw)
+                    texts.append(b"".join([*keep, raw[begin:]]).decode())
+                yield b.set_column(at, "text", pa.array(texts, pa.string())).select(names)
 
     ids = bounded(materialise(spans.select("doc_id"), "suffix-cut"))
     cut = docs.join(ids, "doc_id", "left_semi").join(spans, "doc_id").select(*names, "spans").mapInArrow(run, docs.schema)

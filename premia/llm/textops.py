@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20          # bytes hashed at once
-BATCH = 3 << 20          # bytes of text handled together
+PIECE = 1 << 18          # bytes hashed at once
+BATCH = 1 << 20          # bytes of text handled together
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEP = np.zeros(256, bool)
