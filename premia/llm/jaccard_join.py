@@ -27,15 +27,20 @@ the overlap that their smallest sizes ask for; all other node pairs are pruned.
    members have); the pairs are verified on the full sets, and the links'
    connected components follow.
 2. In every subtree that still holds two components, dual traversal of the tree
-   with itself finds the pairs of different components that the bounds leave: first
-   only the best pair of each member outside the subtree's main component, then,
-   with the components that these links give, all of them. They are verified too.
-   Pairs inside a component change nothing and are skipped.
+   with itself finds the pairs of different components that the bounds leave. First
+   only the best pair of each member outside the subtree's main component is
+   verified. Pairs inside a component change nothing and are skipped.
+3. With the components that these links give, all pairs that the bounds leave in a
+   subtree are followed, but only a spanning forest of them is written. The forests of
+   all subtrees join to groups of near sets, and every pair left lies in one group.
+   A group's full sets are compared once, by wider bitmaps and then exactly, and a
+   spanning forest of the links is written. So the rows written are fewer than the
+   members, while the pairs may be as many as their square.
 
 A subtree of more than ``BLOCK`` members is dealt out by blocks: stage 1 keeps
-the blocks apart, stage 2 compares each block of members outside the subtree's
+the blocks apart, stages 2 and 3 compare each block of members outside the subtree's
 main component with all blocks, so no pair is lost and no task holds more than
-two blocks.
+two blocks. In a group of near sets a member counts once for every ``PART`` bytes of its set.
 
 Cases: null or wordless text has no shingles and links with nothing; a text of
 fewer words than a shingle is one shingle. Rows are kept one to one, repeated rows
@@ -58,6 +63,7 @@ from premia.llm.common import bounded, components, discard, map_groups, material
 
 FANOUT = 8
 BLOCK = 2048
+PART = 8192
 SMALL = 64                # bands up to this size are routed by single shingles
 SETS_SCHEMA = "doc_id long, n long, d1 long, d2 long, keys array<long>"
 
@@ -182,6 +188,12 @@ def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(bounded(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
 
 
+def _bitmap(s: np.ndarray, width: int) -> bytes:
+    flags = np.zeros(width * 8, np.uint8)
+    flags[(textops.mix(s) & np.uint64(width * 8 - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
 def bitmap_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """``(id, n, bits)`` of the documents in ``ids(id)``."""
     def run(batches):
@@ -190,10 +202,7 @@ def bitmap_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 n, bits = [], []
                 for s in textops.shingle_sets(b.column("text"), words):
                     n.append(len(s))
-                    width = bitmap_bytes(len(s))
-                    flags = np.zeros(width * 8, np.uint8)
-                    flags[(textops.mix(s) & np.uint64(width * 8 - 1)).astype(np.int64)] = 1
-                    bits.append(np.packbits(flags, bitorder="little").tobytes())
+                    bits.append(_bitmap(s, bitmap_bytes(len(s))))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()),
                                                   pa.array(bits, pa.binary())], names=["id", "n", "bits"])
 
@@ -294,6 +303,33 @@ class SignatureTree:
                 stack.append((level - 1, x[real], y[real]))
 
 
+class Forest:
+    """Trees over nodes that grow as edges come in; ``root`` is the smallest node of each node's tree."""
+
+    def __init__(self, root: np.ndarray):
+        self.root = root
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Positions of the edges (a, b) that joined two trees; the other edges lie inside a tree."""
+        used, at = [], np.arange(len(a))
+        while True:
+            x, y = self.root[a[at]], self.root[b[at]]
+            apart = x != y
+            if not apart.any():
+                return np.concatenate(used) if used else np.zeros(0, np.int64)
+            at, low, high = at[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+            # Each root with an edge to a smaller one hooks to the smallest of them.
+            order = np.lexsort((low, high))
+            first = order[np.append(True, high[order][1:] != high[order][:-1])]
+            used.append(at[first])
+            self.root[high[first]] = low[first]
+            while True:
+                up = self.root[self.root]
+                if (up == self.root).all():
+                    break
+                self.root = up
+
+
 def _pairs_table(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
@@ -317,11 +353,11 @@ def first_partners(group: pa.Table, percent: int) -> pa.Table:
 
 
 def cross_pairs(group: pa.Table, percent: int, best: bool = False) -> pa.Table:
-    """Stage 2 in one block pair: all pairs of different components that the bounds leave.
+    """Stages 2 and 3 in one block pair: the pairs of different components that the bounds leave.
 
     ``side`` 0 rows belong to the row block and 1 to the column block; a pair needs
     a row-block member. ``best``: of each row-block member, only the pair with most
-    bits in common.
+    bits in common. Otherwise a spanning forest of all pairs, fewer than the members.
     """
     ids, n, comp, side = (group[c].to_numpy() for c in ("id", "n", "comp", "side"))
     order = np.lexsort((side, ids))
@@ -330,9 +366,11 @@ def cross_pairs(group: pa.Table, percent: int, best: bool = False) -> pa.Table:
     ids, n, comp, side = ids[order], n[order], comp[order], side[order]
     tree = SignatureTree(n, group["bits"].take(pa.array(order)).to_pylist(), comp)
     out, most, partner = [], np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+    forest = Forest(np.arange(len(ids)))
     for a, b in tree.pairs(percent):
         if not best:
-            ok = (side[a] == 0) | (side[b] == 0)
+            ok = np.flatnonzero((side[a] == 0) | (side[b] == 0))
+            ok = ok[forest.add(a[ok], b[ok])]
             out.append((ids[a[ok]], ids[b[ok]]))
             continue
         bits = tree.common(a, b)
@@ -346,6 +384,58 @@ def cross_pairs(group: pa.Table, percent: int, best: bool = False) -> pa.Table:
     return _pairs_table(out)
 
 
+def overlaps(sets: list[np.ndarray], x: int, others: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of set ``x`` with the sets ``others``, all sorted and not empty."""
+    own, out = sets[x], []
+    step = max(1, (1 << 19) // max(len(sets[i]) for i in others))
+    for i in range(0, len(others), step):
+        part = [sets[j] for j in others[i:i + step]]
+        flat = np.concatenate(part)
+        at = np.searchsorted(own, flat)
+        at[at == len(own)] = 0
+        starts = np.cumsum([0, *map(len, part[:-1])])
+        out.append(np.add.reduceat(own[at] == flat, starts, dtype=np.int64))
+    return np.concatenate(out)
+
+
+def exact_links(group: pa.Table, percent: int) -> pa.Table:
+    """Stage 3 in one block pair of a group of near sets: a spanning forest of the links between different components.
+
+    Members of a size band, and smaller ones that may link with them, share a tree over bitmaps of
+    eight bits a shingle or more; the pairs that it leaves are counted on the full sets.
+    """
+    ids, comp, side = (group[c].to_numpy() for c in ("id", "comp", "side"))
+    raw, seen = group["shingles"].to_pylist(), {}
+    for i in np.lexsort((side, ids)):
+        seen.setdefault((ids[i], raw[i]), i)
+    order = np.array(list(seen.values()))
+    size = np.array([len(raw[i]) // 8 for i in order])
+    by = np.lexsort((ids[order], size, comp[order]))
+    order, size = order[by], size[by]
+    ids, comp, side, sets = ids[order], comp[order], side[order], [np.frombuffer(raw[i], np.uint64) for i in order]
+    forest, out = Forest(np.searchsorted(comp, comp)), []
+    for band in np.unique(np.searchsorted(_LOWS, size, "right") - 1):
+        low, end = int(_LOWS[band]), int(_LOWS[band + 1])
+        take = np.flatnonzero((100 * size >= percent * low) & (size < end))
+        width = 4 * bitmap_bytes(end - 1)
+        tree = SignatureTree(size[take], [_bitmap(sets[i], width) for i in take], comp[take])
+        for a, b in tree.pairs(percent):
+            a, b = take[a], take[b]
+            ok = (side[a] == 0) | (side[b] == 0)
+            a, b = a[ok], b[ok]
+            by = np.argsort(a, kind="stable")
+            firsts, starts = np.unique(a[by], return_index=True)
+            for x, others in zip(firsts, np.split(b[by], starts[1:]), strict=True):
+                others = others[forest.root[others] != forest.root[x]]
+                if not len(others):
+                    continue
+                both = overlaps(sets, x, others)
+                others = others[100 * both >= percent * (size[x] + size[others] - both)]
+                others = others[forest.add(np.full(len(others), x), others)]
+                out.append((np.full(len(others), ids[x]), ids[others]))
+    return _pairs_table(out)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that link, by their full sets."""
     def run(batches):
@@ -369,27 +459,44 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     return links
 
 
-def cross_candidates(rows: DataFrame, comp: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Distinct pairs of different components in the subtrees that hold several."""
+def cross_blocks(rows: DataFrame, comp: DataFrame, data: DataFrame) -> DataFrame:
+    """Block pairs (key, r, q) of the members ``rows(key, id, weight)`` of each key that holds several components, with
+    their ``data``."""
     labelled = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).select(
-        "key", "c", "id", "comp")
-    # Members outside the component with most members of the subtree make the row blocks.
-    per = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = materialise(per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("t"), F.sum("k").alias("c2")).select(
-        "key", F.col("t.comp").alias("main"), (F.col("c2") - F.col("t.k")).alias("rest")).where("rest > 0"),
-        "jaccard-mixed")
-    grid = labelled.join(main, "key").join(bits, "id")
-    nr, nc = F.ceil(F.col("rest") / BLOCK), F.ceil(F.col("c") / BLOCK)
+        "key", "id", "weight", "comp")
+    # Members outside the component with most members of the key make the row blocks.
+    per = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("w"))
+    main = materialise(per.groupBy("key").agg(F.max(F.struct("k", "comp", "w")).alias("t"), F.count(F.lit(1)).alias("comps"),
+                                              F.sum("w").alias("all")).where("comps > 1").select(
+        "key", F.col("t.comp").alias("main"), (F.col("all") - F.col("t.w")).alias("rest"), "all"), "jaccard-mixed")
+    grid = labelled.drop("weight").join(main, "key").join(data, "id")
+    nr, nc = F.ceil(F.col("rest") / BLOCK), F.ceil(F.col("all") / BLOCK)
     row = F.pmod(F.xxhash64("id"), nr).cast("long")
     col = F.pmod(F.xxhash64("id"), nc).cast("long")
     span = lambda k: F.sequence(F.lit(0).cast("long"), (k - 1).cast("long"))
-    fields = ["key", "id", "comp", "n", "bits"]
+    fields = ["key", "id", "comp", *[c for c in data.columns if c != "id"]]
     as_row = grid.where("comp <> main").select(*fields, F.lit(0).alias("side"), row.alias("r"), F.explode(span(nc)).alias("q"))
     as_col = grid.select(*fields, F.lit(1).alias("side"), F.explode(span(nr)).alias("r"), col.alias("q"))
-    return map_groups(as_row.unionByName(as_col), ["key", "r", "q"],
+    return as_row.unionByName(as_col)
+
+
+def cross_candidates(rows: DataFrame, comp: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Distinct pairs of different components in the subtrees that hold several (see ``cross_pairs``)."""
+    return map_groups(cross_blocks(rows.select("key", "id", F.lit(1).alias("weight")), comp, bits), ["key", "r", "q"],
                       lambda group: cross_pairs(group, percent, best), "a long, b long").distinct()
 
 
+def near_links(near: DataFrame, comp: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join all components that any links inside the groups ``near(id, component)`` join."""
+    near = materialise(near.select("id", F.col("component").alias("key")), "jaccard-near")
+    s = materialise(set_table(docs, near, words), "jaccard-sets")
+    weight = s.groupBy("id").agg(F.sum(F.ceil(F.length("shingles") / PART)).alias("weight"))
+    links = materialise(map_groups(cross_blocks(near.join(weight, "id"), comp, s), ["key", "r", "q"],
+                                   lambda group: exact_links(group, percent), "a long, b long").distinct(), "jaccard-links")
+    discard(s)
+    return links
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id`` (smallest id reachable by links)."""
     table = materialise(shingle_table(docs, words, percent), "jaccard-keys")
@@ -423,10 +530,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     links = verify(stage1.distinct(), texts, words, percent)
 
     comp = components(links)
-    for best in (True, False):
-        more = cross_candidates(rows, comp, bits, percent, best)
-        links = links.unionByName(verify(more, texts, words, percent))
-        comp = components(links)
+    links = links.unionByName(verify(cross_candidates(rows, comp, bits, percent, True), texts, words, percent))
+    comp = components(links)
+    near = components(cross_candidates(rows, comp, bits, percent, False))
+    links = links.unionByName(near_links(near, comp, texts, words, percent))
+    comp = components(links)
     linked = member.where("rep is not null").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return linked.unionByName(member.where("rep is null").select(
