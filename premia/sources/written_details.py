@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
+import functools
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +22,14 @@ from .schema import (CALENDAR_SCHEMA, FORECAST_SCHEMA, PARTITION_COLUMN, PLAN_SC
 CSV_OPTIONS = {"header": True, "enforceSchema": False, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
 
 
+PARQUET_OPTIONS = {"compression": "zstd"}
+OPEN_MONTHS = 128       # files that a task holds open while rows are dealt by month
+MONTH_SCANS = 512       # months gathered by a scan each; more are shuffled by month
+# One task a month, or one for each 16 MB of it: what a task sorts fits its memory.
+GATHER_SETTINGS = {"spark.sql.files.maxPartitionBytes": "16m", "spark.sql.files.openCostInBytes": "64k",
+                   "spark.sql.files.minPartitionNum": "1"}
+
+
 class SchemaError(ValueError):
     pass
 
@@ -113,12 +125,68 @@ def laid_out(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(PARTITION_COLUMN, "report_date")
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the writes inside."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def deal_by_month(rows: DataFrame, path: str) -> None:
+    """Write rows into month folders as they come, without a shuffle.
+
+    A task keeps the files of up to ``OPEN_MONTHS`` months open, with small buffers, so its rows
+    are not sorted either: a task's rows may be those of one large CSV file, more than its memory
+    holds. Rows of further months are sorted and then written.
+    """
+    with _settings(rows.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_MONTHS)}):
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "static").options(**PARQUET_OPTIONS)
+             .option("parquet.block.size", 8 << 20).option("parquet.dictionary.page.size", 64 << 10)
+             .partitionBy(PARTITION_COLUMN).parquet(path))
+
+
+def _gathered(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows that ``deal_by_month`` wrote, placed and sorted as by ``laid_out``: each month's files are one scan, so
+    no task reads two months and none are shuffled; splits deal a large month over many tasks."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    months = sorted(x.getPath().toString() for x in fs.listStatus(where) if x.isDirectory())
+    if not 0 < len(months) <= MONTH_SCANS:
+        return laid_out(read_fact(spark, path, schema))
+    schema = read_fact(spark, path, schema).schema
+    scans = [spark.read.schema(schema).option("basePath", path).parquet(m) for m in months]
+    return functools.reduce(DataFrame.union, scans).sortWithinPartitions(PARTITION_COLUMN, "report_date")
+
+
 def write_fact(fact: DataFrame, path: str, placed: bool = False) -> None:
-    """Write the fact as Parquet partitioned by report month; ``placed`` rows are ``laid_out`` already."""
+    """Write the fact as Parquet partitioned by report month; ``placed`` rows are ``laid_out`` already.
+
+    Other rows are first dealt into month folders beside the table, then each month is gathered and
+    sorted: whole rows as Parquet are a fraction of the same rows in a shuffle.
+    """
     if PARTITION_COLUMN not in fact.columns:
         fact = fact.withColumn(PARTITION_COLUMN, F.trunc("report_date", "month"))
-    ((fact if placed else laid_out(fact))
-         .write.mode("overwrite").option("partitionOverwriteMode", "static")
+    spark = fact.sparkSession
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if placed or table.getParent() is None:         # nothing lies beside a root folder
+        return _write_months(fact if placed else laid_out(fact), path)
+    dealt = spark._jvm.org.apache.hadoop.fs.Path(table.getParent(), f"_{table.getName()}-{uuid.uuid4().hex[:12]}")
+    try:
+        deal_by_month(fact, dealt.toString())
+        with _settings(spark, GATHER_SETTINGS):
+            _write_months(_gathered(spark, dealt.toString(), fact.schema), path)
+    finally:
+        dealt.getFileSystem(spark._jsc.hadoopConfiguration()).delete(dealt, True)
+
+
+def _write_months(rows: DataFrame, path: str) -> None:
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "static").options(**PARQUET_OPTIONS)
          .partitionBy(PARTITION_COLUMN).parquet(path))
 
 
