@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.schema import PARTITION_COLUMN, WRITTEN_DETAILS_COLUMNS
-from ..sources.written_details import CSV_OPTIONS
+from ..sources.written_details import CSV_OPTIONS, deal_by_month
 
 
 FILE = "_landed_file"
@@ -81,8 +81,7 @@ class _Append:
             batch = batch.drop(FILE)
         listed = "".join(json.dumps(dict(zip(("file_path", "file_size", "modified"), f, strict=True))) + "\n" for f in sorted(files))
         if not fs.exists(path(f"{stage}/_SUCCESS")):
-            batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-                PARTITION_COLUMN).parquet(stage)
+            deal_by_month(batch, stage)
             self.rows += spark.read.schema(batch.schema).parquet(stage).count()
         elif fs.exists(path(f"{stage}/inputs.json")):
             staged = "".join(r.value + "\n" for r in spark.read.text(f"{stage}/inputs.json").collect())

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from conftest import FACT_SCHEMA, NEW, row
 from premia.sources import written_details as W
@@ -69,3 +70,18 @@ def test_empty_fact_and_failing_rows(spark, tmp_path):
     with pytest.raises(Exception, match="wrong row"):
         write_fact(fact.withColumn("state", W.F.raise_error(W.F.lit("wrong row")).cast("string")), str(tmp_path / "fact"))
     assert [x.name for x in tmp_path.iterdir()] == ["fact"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+def test_rows_dealt_by_month_are_not_sorted_first(spark, tmp_path, monkeypatch):
+    seen, plain = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **k):
+        seen.append((path, spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return plain(self, path, *a, **k)
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    from premia.streaming.ingest import _Append
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "metadata").write_text('{"id":"one"}')
+    append = _Append(str(tmp_path / "fact"), str(tmp_path / "c"))
+    append(_mixed(spark).selectExpr("*", "trunc(report_date, 'month') as report_month"), 0)
+    assert seen == [(f"{tmp_path}/fact/_staged/one/0", "128")] and append.rows == 129
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
