@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.classify import classify
 from ..session import new_table_path
-from .schema import PARTITION_COLUMN
+from .schema import MONEY, PARTITION_COLUMN
 from .written_details import footer_scan, laid_out, read_fact, write_fact
 
 # FIXED VALUES — fixture parameters (the standard periods of the test data).
@@ -86,14 +86,23 @@ def _code(labels: list[str], label: str) -> Column:
     return F.lit(labels.index(label) + 1).cast("tinyint")
 
 
-def _label(labels: list[str], code: str) -> Column:
+def _label(labels: list[str], code: Column) -> Column:
     """The label of a code, null for no code."""
-    expr = F.when(F.col(code) == 1, labels[0])
+    expr = F.when(code == 1, labels[0])
     for k, label in enumerate(labels[1:], 2):
-        expr = expr.when(F.col(code) == k, label)
+        expr = expr.when(code == k, label)
     return expr
 
 
+# The codes of a row lie in the bits of one number, from the lowest on: transaction (3), returned (2: 0 null, 1 no,
+# 2 yes), cat (1), channel and sub-channel (3 each: 0 null). A column each would take eight bytes of every shuffled row.
+_RETURNED, _CAT, _CHANNEL, _SUB_CHANNEL = 3, 5, 6, 9
+
+
+def _bits(at: int, n: int) -> Column:
+    return F.shiftright("codes", at).bitwiseAND(F.lit((1 << n) - 1))
+
+
 def _trans_code() -> Column:
     ln, st = F.col("l_linenumber"), F.col("l_linestatus")
     code = lambda label: _code(_TRANS_CODES, label)
@@ -127,15 +136,16 @@ def _joined(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None) -> Da
     if as_of_exclusive:
         li = li.where(F.col("l_shipdate") < F.lit(as_of_exclusive).cast("timestamp_ntz"))
     price = F.col("l_extendedprice")
-    li = li.select("l_orderkey", "l_partkey", "l_suppkey", _trans_code().alias("trans"),
-                   F.when(F.col("l_linenumber") == 7, -price).otherwise(price).alias("price"),
-                   F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "N", 0)
-                    .cast("tinyint").alias("returned"),
-                   F.col("l_shipdate").cast("date").alias("report_date"))
+    amount = F.when(F.col("l_linenumber") == 7, -price).otherwise(price)
+    returned = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "N", 1).otherwise(0)
+    li = li.select("l_orderkey", "l_partkey", "l_suppkey", amount.try_cast(MONEY).alias("price"),
+                   F.when(amount.try_cast(MONEY).isNull(), amount).alias("price_unfit"),     # an error if the row is kept
+                   F.col("l_shipdate").cast("date").alias("report_date"),
+                   (_trans_code() + returned * (1 << _RETURNED)).cast("int").alias("codes"))
     orders = _read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("channel_type"),
-        F.col("o_orderdate").cast("date").alias("trans_date"), _sub_channel().alias("sub"))
-    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", _channel().alias("chan"))
+        F.col("o_orderdate").cast("date").alias("trans_date"), F.coalesce(_sub_channel(), F.lit(0)).alias("sub"))
+    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.coalesce(_channel(), F.lit(0)).alias("chan"))
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = _read(spark, sf_dir, "part").select(
         "p_partkey", F.coalesce(F.col("p_size") % 3 == 0, F.lit(False)).alias("cat"))
@@ -144,18 +154,21 @@ def _joined(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None) -> Da
     order_attrs = (orders
                    .join(customer, orders.o_custkey == customer.c_custkey)
                    .join(nation, F.col("c_nationkey") == nation.n_nationkey)
-                   .select("o_orderkey", "channel_type", "trans_date", "sub", "chan", "n_name"))
+                   .select("o_orderkey", "channel_type", "trans_date", "n_name",
+                           (F.col("chan") * (1 << _CHANNEL) + F.col("sub") * (1 << _SUB_CHANNEL)).cast("int").alias("order_codes")))
 
     # No hand-placed repartition: the planner's own join shuffles are the ones AQE
     # may split when one key holds a large share of rows (skew join). Part comes first:
     # where it is too large to broadcast, that shuffle moves no column of the orders.
     return (li
             .join(part, li.l_partkey == part.p_partkey)
+            .withColumn("codes", F.col("codes") + F.when(F.col("cat"), 1 << _CAT).otherwise(0))
+            .drop("p_partkey", "cat")
             .join(order_attrs, li.l_orderkey == order_attrs.o_orderkey)
             .join(supplier, li.l_suppkey == supplier.s_suppkey)
-            .select("l_orderkey", "l_partkey", "trans_date", "report_date", "trans", "price", "returned",
-                    F.col("n_name").alias("state"), "chan", "sub", "channel_type",
-                    F.when(F.col("l_suppkey") % NULL_HOSPITAL_EVERY != 0, F.col("s_name")).alias("hospital"), "cat",
+            .select("l_orderkey", "l_partkey", "trans_date", "report_date", "price", "price_unfit",
+                    (F.col("codes") + F.col("order_codes")).alias("codes"), F.col("n_name").alias("state"), "channel_type",
+                    F.when(F.col("l_suppkey") % NULL_HOSPITAL_EVERY != 0, F.col("s_name")).alias("hospital"),
                     F.trunc("report_date", "month").alias(PARTITION_COLUMN)))
 
 
@@ -174,17 +187,17 @@ def fixture_fact(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None =
         F.concat(F.lit("PET"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("pet_id"),
         "trans_date",
         "report_date",
-        _label(_TRANS_CODES, "trans").alias("trans_code"),
-        F.col("price").cast("decimal(18,2)").alias("written_amount"),
-        F.col("returned").cast("int").alias("returned_pet"),
+        _label(_TRANS_CODES, _bits(0, 3)).alias("trans_code"),
+        F.coalesce("price", F.col("price_unfit").cast(MONEY)).alias("written_amount"),
+        F.when(_bits(_RETURNED, 2) > 0, _bits(_RETURNED, 2) - 1).alias("returned_pet"),
         "state",
-        _label(_CHANNELS, "chan").alias("channel"),
-        _label(_SUB_CHANNELS, "sub").alias("sub_channel"),
+        _label(_CHANNELS, _bits(_CHANNEL, 3)).alias("channel"),
+        _label(_SUB_CHANNELS, _bits(_SUB_CHANNEL, 3)).alias("sub_channel"),
         "channel_type",
         "hospital",
         F.when(F.col("l_partkey") % 4 == 0, 1).otherwise(0).alias("wellness"),
         F.when(F.col("l_partkey") % 5 == 0, 0).otherwise(1).alias("accident"),
-        F.when(F.col("cat"), "Cat").otherwise("Dog").alias("species"),
+        F.when(_bits(_CAT, 1) == 1, "Cat").otherwise("Dog").alias("species"),
         PARTITION_COLUMN,
     )
     fact = classify(fact)
