@@ -10,8 +10,8 @@ that lays the fact out by month, move keys, codes and dates; texts are built aft
 skew-join handling on, a key holding a third of the rows is split across tasks. Only the columns
 each side needs are read (column pruning reaches the scans), and the as-of cut on
 ``l_shipdate`` is pushed to the lineitem scan. Spark decides broadcast vs
-sort-merge from the sides' measured sizes (``autoBroadcastJoinThreshold`` + AQE),
-so nothing is broadcast without a size check.
+sort-merge from the sides' measured sizes (``autoBroadcastJoinThreshold`` + AQE); suppliers are
+broadcast up to ``BROADCAST_ROWS``, counted first. Nothing is broadcast without such a check.
 """
 
 from __future__ import annotations
@@ -58,6 +58,7 @@ PRIORITY_TO_SUB_CHANNEL = [
 NULL_CHANNEL_EVERY = 33     # c_custkey % 33 = 0 -> no channel
 NULL_HOSPITAL_EVERY = 7     # l_suppkey % 7 = 0 -> no hospital
 
+BROADCAST_ROWS = 500_000    # suppliers sent to every task, about 50 MB; more are joined by a shuffle of the line items
 
 # FIXED VALUES — the columns read from each test table, with their stored types.
 # A declared schema skips per-table schema inference and prunes columns at the source.
@@ -130,6 +131,11 @@ def _sub_channel() -> Column:
     return expr
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """Rows to be broadcast if they are few, by count: Spark's own estimates stop at a few megabytes of files."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _joined(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None) -> DataFrame:
     """One narrow row of keys, codes and dates per line item with an order, part and supplier."""
     li = _read(spark, sf_dir, "lineitem")
@@ -149,7 +155,7 @@ def _joined(spark: SparkSession, sf_dir: str, as_of_exclusive: str | None) -> Da
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = _read(spark, sf_dir, "part").select(
         "p_partkey", F.coalesce(F.col("p_size") % 3 == 0, F.lit(False)).alias("cat"))
-    supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    supplier = _bounded(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
 
     order_attrs = (orders
                    .join(customer, orders.o_custkey == customer.c_custkey)

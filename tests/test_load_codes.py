@@ -57,3 +57,19 @@ def test_a_price_without_an_amount_fails_only_where_its_row_is_kept(spark, tmp_p
     _write(spark, tmp_path / "b", [(0, 0, 1, 7, 1e300, None, None, DAY)], [(0, 1, "P", DAY, None)], [(1, 1, None)])
     with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
         fixture_fact(spark, str(tmp_path / "b")).collect()
+
+
+def test_suppliers_are_broadcast_by_their_count(spark, tmp_path, monkeypatch):
+    from premia.sources import fixture
+    _write(spark, tmp_path, [(0, 0, s, 1, 1.5, None, None, DAY) for s in (1, 2, None)], [(0, 1, "P", DAY, None)], [(1, 1, None)])
+    plan = lambda f: f._jdf.queryExecution().optimizedPlan().toString()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = fixture_fact(spark, str(tmp_path))
+        monkeypatch.setattr(fixture, "BROADCAST_ROWS", 0)
+        many = fixture_fact(spark, str(tmp_path))
+        assert "strategy=broadcast" in plan(few) and "strategy=broadcast" not in plan(many)
+        assert few.collect() == many.collect() and few.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
