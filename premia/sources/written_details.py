@@ -22,11 +22,12 @@ from .schema import (CALENDAR_SCHEMA, FORECAST_SCHEMA, PARTITION_COLUMN, PLAN_SC
 CSV_OPTIONS = {"header": True, "enforceSchema": False, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
 
 
-PARQUET_OPTIONS = {"compression": "zstd"}
+# Files of at most 400,000 rows (some 9 MB): a reader packs no more rows into a task than with larger snappy files.
+PARQUET_OPTIONS = {"compression": "zstd", "maxRecordsPerFile": 400_000}
 OPEN_MONTHS = 128       # files that a task holds open while rows are dealt by month
 MONTH_SCANS = 512       # months gathered by a scan each; more are shuffled by month
-# One task a month, or one for each 16 MB of it: what a task sorts fits its memory.
-GATHER_SETTINGS = {"spark.sql.files.maxPartitionBytes": "16m", "spark.sql.files.openCostInBytes": "64k",
+# One task a month, or one for each 8 MB of it: what a task sorts fits its memory.
+GATHER_SETTINGS = {"spark.sql.files.maxPartitionBytes": "8m", "spark.sql.files.openCostInBytes": "64k",
                    "spark.sql.files.minPartitionNum": "1"}
 
 
